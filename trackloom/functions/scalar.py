@@ -63,15 +63,21 @@ def _short_line_m(p1: Column, l1: Column, p2: Column, l2: Column) -> Column:
     """Bowring's closed form for short lines on the ellipsoid; arguments in radians."""
     e2 = number(SECOND_ECCENTRICITY_SQ)
     cos1 = F.cos(p1)
-    a = F.sqrt(1 + e2 * cos1 * cos1 * cos1 * cos1)
-    b2 = 1 + e2 * cos1 * cos1
+    c2 = cos1 * cos1
+    a = F.sqrt(1 + e2 * c2 * c2)
+    b2 = 1 + e2 * c2
     b = F.sqrt(b2)
     w = a * (l2 - l1) / 2
     dp = p2 - p1
     d = dp / (2 * b) * (1 + 3 * e2 / (4 * b2) * dp * F.sin(2 * p1 + number(2.0 / 3.0) * dp))
     e = F.sin(d) * F.cos(w)
     f = F.sin(w) * (b * cos1 * F.cos(d) - F.sin(p1) * F.sin(d)) / a
-    return number(EARTH_A) * F.sqrt(1 + e2) / b2 * 2 * F.asin(F.least(F.sqrt(e * e + f * f), number(1.0)))
+    return number(EARTH_A) * F.sqrt(1 + e2) / b2 * 2 * F.asin(F.least(F.hypot(e, f), number(1.0)))
+
+
+def _let(body, **values: Column) -> Column:
+    """``body`` of a struct of values, each computed once."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
 
 
 def _long_line_m(p1: Column, l1: Column, p2: Column, l2: Column) -> Column:
@@ -82,37 +88,77 @@ def _long_line_m(p1: Column, l1: Column, p2: Column, l2: Column) -> Column:
     turn = number(2 * math.pi)
     dl = (l2 - l1) - turn * F.round((l2 - l1) / turn)
 
-    def angles(lam: Column) -> dict[str, Column]:
-        x = F.cos(u2) * F.sin(lam)
-        y = F.cos(u1) * F.sin(u2) - F.sin(u1) * F.cos(u2) * F.cos(lam)
-        sin_s = F.sqrt(x * x + y * y)
-        cos_s = F.sin(u1) * F.sin(u2) + F.cos(u1) * F.cos(u2) * F.cos(lam)
-        sin_a = F.when(sin_s == 0, number(0)).otherwise(F.cos(u1) * F.cos(u2) * F.sin(lam) / F.nullif(sin_s, number(0)))
-        cos2a = 1 - sin_a * sin_a
-        cos2m = F.when(cos2a < 1e-15, number(0)).otherwise(cos_s - 2 * F.sin(u1) * F.sin(u2) / F.nullif(cos2a, number(0)))
-        return {"sin_s": sin_s, "cos_s": cos_s, "sin_a": sin_a, "cos2a": cos2a, "cos2m": cos2m}
-
-    def better(state: Column, _: Column) -> Column:
-        g = angles(state)
-        sigma = F.atan2(g["sin_s"], g["cos_s"])
-        c = number(EARTH_F / 16) * g["cos2a"] * (4 + number(EARTH_F) * (4 - 3 * g["cos2a"]))
-        inner = g["cos2m"] + c * g["cos_s"] * (2 * g["cos2m"] * g["cos2m"] - 1)
-        return dl + (1 - c) * number(EARTH_F) * g["sin_a"] * (sigma + c * g["sin_s"] * inner)
-
-    def metres(lam: Column) -> Column:
-        g = angles(lam)
-        sigma = F.atan2(g["sin_s"], g["cos_s"])
-        usq = g["cos2a"] * number((EARTH_A**2 - EARTH_B**2) / EARTH_B**2)
-        big_a = 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq)))
-        big_b = usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq)))
-        m = g["cos2m"]
-        s = g["sin_s"]
-        ds = big_b * s * (
-            m + big_b / 4 * (g["cos_s"] * (2 * m * m - 1) - big_b / 6 * m * (4 * s * s - 3) * (4 * m * m - 3))
+    def on_sphere(g: Column, lam: Column, body) -> Column:
+        x = g["c2"] * F.sin(lam)
+        y = g["c1"] * g["s2"] - g["s1"] * g["c2"] * F.cos(lam)
+        cos_s = g["s1"] * g["s2"] + g["c1"] * g["c2"] * F.cos(lam)
+
+        def with_azimuth(k: Column) -> Column:
+            sin_a = F.coalesce(g["c1"] * g["c2"] * F.sin(lam) / F.nullif(k["sin_s"], number(0)), number(0))
+            return _let(with_midpoint(k), sin_a=sin_a)
+
+        def with_midpoint(k: Column):
+            def inner(m: Column) -> Column:
+                cos2a = 1 - m["sin_a"] * m["sin_a"]
+                cos2m = F.when(cos2a < 1e-15, number(0)).otherwise(
+                    k["cos_s"] - 2 * g["s1"] * g["s2"] / F.nullif(cos2a, number(0))
+                )
+                return _let(
+                    body,
+                    sin_s=k["sin_s"],
+                    cos_s=k["cos_s"],
+                    sigma=F.atan2(k["sin_s"], k["cos_s"]),
+                    sin_a=m["sin_a"],
+                    cos2a=cos2a,
+                    m=cos2m,
+                )
+
+            return inner
+
+        return _let(with_azimuth, sin_s=F.hypot(x, y), cos_s=cos_s)
+
+    def better(g: Column):
+        def step(lam: Column, _: Column) -> Column:
+            def next_lam(t: Column) -> Column:
+                c = number(EARTH_F / 16) * t["cos2a"] * (4 + number(EARTH_F) * (4 - 3 * t["cos2a"]))
+                inner = t["m"] + c * t["cos_s"] * (2 * t["m"] * t["m"] - 1)
+                return g["dl"] + (1 - c) * number(EARTH_F) * t["sin_a"] * (t["sigma"] + c * t["sin_s"] * inner)
+
+            return on_sphere(g, lam, next_lam)
+
+        return step
+
+    def metres(t: Column) -> Column:
+        usq = t["cos2a"] * number((EARTH_A**2 - EARTH_B**2) / EARTH_B**2)
+        return _let(
+            lambda q: number(EARTH_B)
+            * q["a"]
+            * (
+                t["sigma"]
+                - q["b"]
+                * t["sin_s"]
+                * (
+                    t["m"]
+                    + q["b"]
+                    / 4
+                    * (
+                        t["cos_s"] * (2 * t["m"] * t["m"] - 1)
+                        - q["b"] / 6 * t["m"] * (4 * t["sin_s"] * t["sin_s"] - 3) * (4 * t["m"] * t["m"] - 3)
+                    )
+                )
+            ),
+            a=1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq))),
+            b=usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq))),
         )
-        return number(EARTH_B) * big_a * (sigma - ds)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), dl, better, metres)
+    return _let(
+        lambda g: F.aggregate(F.sequence(F.lit(1), F.lit(12)), g["dl"], better(g), lambda lam: on_sphere(g, lam, metres)),
+        c1=F.cos(u1),
+        s1=F.sin(u1),
+        c2=F.cos(u2),
+        s2=F.sin(u2),
+        dl=dl,
+    )
 
 
 def geodesic_m(lat1, lon1, lat2, lon2) -> Column:

@@ -23,6 +23,7 @@ from trackloom.operators.quantiles import class_by_boundaries, global_boundaries
 from trackloom.operators.satellites import align_satellites
 from trackloom.operators.summary import comparison_bounds, reference_point, track_bounds
 from trackloom.operators.terrain import above_neutral, clip_dem, dem_lods, enrich_terrain
+from trackloom.plans.skew import attach_track, split_hot_tracks
 from trackloom.sinks.catalogue import catalogue, save_track
 from trackloom.sinks.document import (
     dem_documents,
@@ -79,6 +80,7 @@ def export_tracks(
     cell_deg: float = 1.0,
 ) -> Export:
     """Documents for every track: points, satellites, terrain levels, overlays and the catalogue."""
+    points = split_hot_tracks(points, order="idx")
     lods = None
     if tiles is not None and pixels is not None:
         bounds = track_bounds(points)
@@ -142,9 +144,9 @@ def process_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     schema_a = None
     if "nmea" in kinds:
         names = found.where(F.col("kind") == "nmea").select(F.concat(F.lit("nmea_"), "stem").alias("track_id"), F.col("name").alias("source_file"))
-        tokens = read_nmea(spark, path).join(names.select("track_id"), "track_id", "left_semi")
+        tokens = attach_track(read_nmea(spark, path), names.select("track_id"), how="left_semi")
         schema_a, track = process_nmea(tokens)
-        tables.append(track.join(names, "track_id"))
+        tables.append(attach_track(track, names))
     for kind, reader in (("gpx", read_gpx), ("kml", read_kml), ("igc", read_igc)):
         if kind in kinds:
             tables.append(process_points(reader(spark, path)))
@@ -153,6 +155,7 @@ def process_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     points = tables[0].drop("chunk")
     for other in tables[1:]:
         points = points.unionByName(other.drop("chunk"), allowMissingColumns=True)
+    points = split_hot_tracks(points, order="idx")
     if "cuts" not in kinds:
         return points, points.select("track_id").distinct().limit(0), schema_a
     instructions, _ = read_cuts(spark, path)

@@ -199,7 +199,7 @@ def signed_coord(degrees, direction) -> Column:
 
 def dm_to_deg(field) -> Column:
     """``dddmm.mmmm`` text to degrees; NULL if empty or not numeric."""
-    value = F.nullif(F.trim(col(field)), F.lit("")).try_cast("double")
+    value = col(field).try_cast("double")
     whole = F.floor(value / 100)
     return whole + (value - whole * 100) / 60
 
@@ -276,7 +276,7 @@ def iso_time(text) -> Column:
 
 def safe_cast(text, dtype: str, default=None) -> Column:
     """Cast text; empty, missing or unreadable text gives the default."""
-    value = F.nullif(F.trim(col(text)), F.lit("")).try_cast(dtype)
+    value = col(text).try_cast(dtype)
     return value if default is None else F.coalesce(value, F.lit(default).cast(dtype))
 
 

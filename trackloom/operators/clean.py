@@ -36,7 +36,7 @@ def drop_bad_gga(df: DataFrame) -> DataFrame:
 def anchor_join(df: DataFrame) -> DataFrame:
     """RMC and VTG rows whose time is the time of a usable GGA of the track."""
     anchors = df.where(_is("GGA") & ~_bad_gga() & F.col("ts").isNotNull()).select("track_id", "ts").distinct()
-    return skew_join(df.where(F.col("sentence_type").isin("RMC", "VTG")), anchors, ["track_id", "ts"], "left_semi")
+    return skew_join(df.where(F.col("sentence_type").isin("RMC", "VTG")), anchors, ["track_id", "ts"], "left_semi", within_track=True)
 
 
 def drop_unanchored(df: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def drop_unanchored(df: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_anchored", F.lit(True))
     )
-    joined = skew_join(df, anchors, ["track_id", "ts"])
+    joined = skew_join(df, anchors, ["track_id", "ts"], within_track=True)
     return joined.where(~F.col("sentence_type").isin("RMC", "VTG") | F.col("_anchored").isNotNull()).drop("_anchored")
 
 
@@ -94,4 +94,4 @@ def duplicate_times(df: DataFrame) -> DataFrame:
 def same_timestamp_group(df: DataFrame) -> DataFrame:
     """Mark each row with the number of rows of its track at the same time."""
     per_time = df.groupBy("track_id", "ts").agg(F.count(F.lit(1)).alias("n_same_ts"))
-    return skew_join(df, per_time, ["track_id", "ts"])
+    return skew_join(df, per_time, ["track_id", "ts"], within_track=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as S
 from trackloom.plans.sequence import carry, row_index, running_sum, with_neighbours
+from trackloom.plans.session import settle
 from trackloom.plans.skew import attach_track, skew_join, split_hot_tracks
 
 LINE_ORDER = ("line_no",)
@@ -21,8 +22,9 @@ _GRAMMAR = r"^\$?([A-Za-z]{2}[A-Z]{3}(?:,[^*]*)?)(?:\*([0-9A-Fa-f]{2}))?$"
 
 def xor_checksum(body: Column) -> Column:
     """Two hex digits: XOR of all characters."""
-    codes = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    return F.lpad(F.hex(F.aggregate(codes, F.lit(0), lambda a, x: a.bitwiseXOR(x)).cast("bigint")), 2, "0")
+    # splitting leaves an empty last piece, whose code 0 changes nothing
+    total = F.aggregate(F.split(body, ""), F.lit(0), lambda a, c: a.bitwiseXOR(F.ascii(c)))
+    return F.lpad(F.hex(total.cast("bigint")), 2, "0")
 
 
 def tokenize(lines: DataFrame) -> DataFrame:
@@ -31,23 +33,25 @@ def tokenize(lines: DataFrame) -> DataFrame:
     ``status`` is ``parsed``, ``malformed`` (no sentence, or wrong checksum) or ``other`` (undecodable bytes).
     """
     text = F.trim(F.col("value"))
-    body = F.nullif(F.regexp_extract(text, _GRAMMAR, 1), F.lit(""))
-    given = F.upper(F.nullif(F.regexp_extract(text, _GRAMMAR, 2), F.lit("")))
+    body, checksum = F.col("body"), F.col("checksum")
     return (
-        lines.where(text != "")
-        .withColumn("body", body)
-        .withColumn("checksum", given)
-        .withColumn("computed", xor_checksum(F.col("body")))
+        lines.withColumn("_text", text)
+        .where(F.col("_text") != "")
+        .withColumns({"body": F.regexp_extract("_text", _GRAMMAR, 1), "checksum": F.upper(F.regexp_extract("_text", _GRAMMAR, 2))})
+        .withColumns({"body": F.when(body != "", body), "checksum": F.when(checksum != "", checksum)})
+        .withColumn("computed", xor_checksum(body))
         .withColumn(
             "status",
-            F.when(F.col("value").contains("�"), "other")
-            .when(F.col("body").isNull(), "malformed")
-            .when(F.col("checksum").isNotNull() & (F.col("checksum") != F.col("computed")), "malformed")
+            F.when(F.col("_text").contains("\ufffd"), "other")
+            .when(body.isNull(), "malformed")
+            .when(checksum.isNotNull() & (checksum != F.col("computed")), "malformed")
             .otherwise("parsed"),
         )
         .withColumn("fields", F.when(F.col("status") == "parsed", F.split("body", ",")))
-        .withColumn("talker_id", F.upper(F.substring(F.get("fields", F.lit(0)), 1, 2)))
-        .withColumn("sentence_type", F.substring(F.get("fields", F.lit(0)), 3, 3))
+        .withColumn("_address", F.get("fields", F.lit(0)))
+        .withColumn("talker_id", F.upper(F.substring("_address", 1, 2)))
+        .withColumn("sentence_type", F.substring("_address", 3, 3))
+        .drop("_text", "_address")
     )
 
 
@@ -62,16 +66,21 @@ def count_types(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.col("sentence_type").isNotNull()).groupBy("sentence_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _field(i: int) -> Column:
+    return F.trim(F.get("fields", F.lit(i)))
+
+
 def _text(i: int) -> Column:
-    return F.nullif(F.trim(F.get("fields", F.lit(i))), F.lit(""))
+    return F.nullif(_field(i), F.lit(""))
 
 
 def _real(i: int) -> Column:
-    return _text(i).try_cast("double")
+    """Number in a field; a cast of blank text is NULL already."""
+    return _field(i).try_cast("double")
 
 
 def _whole(i: int) -> Column:
-    return _text(i).try_cast("int")
+    return _field(i).try_cast("int")
 
 
 def time_micros(text: Column) -> Column:
@@ -117,17 +126,26 @@ def extract_fields(tokens: DataFrame) -> DataFrame:
     def of(sentence: str, value: Column) -> Column:
         return F.when(kind == sentence, value)
 
-    lat = F.coalesce(of("RMC", S.signed_coord(S.dm_to_deg(_text(3)), _text(4))), of("GGA", S.signed_coord(S.dm_to_deg(_text(2)), _text(3))))
-    lon = F.coalesce(of("RMC", S.signed_coord(S.dm_to_deg(_text(5)), _text(6))), of("GGA", S.signed_coord(S.dm_to_deg(_text(4)), _text(5))))
+    # the position fields of RMC start one place later than those of GGA
+    raw = {
+        name: F.when(kind == "RMC", _field(i + 1)).when(kind == "GGA", _field(i))
+        for name, i in (("_lat", 2), ("_ns", 3), ("_lon", 4), ("_ew", 5))
+    }
+    raw["_time"] = F.when(kind.isin("RMC", "GGA"), _field(1))
+    raw["_date"] = of("RMC", _field(9))
     keep = [c for c in ("track_id", "line_no", "chunk") if c in tokens.columns]
-    return tokens.where((F.col("status") == "parsed") & kind.isin("RMC", "GGA", "VTG", "GSA", "GSV")).select(
+    known = tokens.where((F.col("status") == "parsed") & kind.isin("RMC", "GGA", "VTG", "GSA", "GSV"))
+    staged = known.select(*keep, kind, "talker_id", "fields", *[v.alias(n) for n, v in raw.items()])
+    staged = staged.withColumns({"_lat": S.dm_to_deg("_lat"), "_lon": S.dm_to_deg("_lon")})
+    ns, ew = F.nullif(F.col("_ns"), F.lit("")), F.nullif(F.col("_ew"), F.lit(""))
+    return staged.select(
         *keep,
         kind,
         "talker_id",
-        of("RMC", date_ddmmyy(_text(9))).alias("own_date"),
-        F.when(kind.isin("RMC", "GGA"), time_micros(_text(1))).alias("own_time"),
-        lat.alias("lat"),
-        lon.alias("lon"),
+        date_ddmmyy(F.col("_date")).alias("own_date"),
+        time_micros(F.col("_time")).alias("own_time"),
+        S.signed_coord("_lat", ns).alias("lat"),
+        S.signed_coord("_lon", ew).alias("lon"),
         of("RMC", _text(2)).alias("rmc_status"),
         of("RMC", _real(7)).alias("rmc_speed_knots"),
         of("RMC", _real(8)).alias("rmc_true_course"),
@@ -212,8 +230,10 @@ def group_gsv(clocked: DataFrame) -> DataFrame:
 def build_schema_a(clocked: DataFrame) -> DataFrame:
     """All sentences and satellite groups of a track in one table, ordered by time with ``seq``.
 
-    Rows without a time come first; satellite groups follow the other sentences of the same time.
+    Rows without a time come first; satellite groups follow the other sentences of the same time. The parsed
+    sentences are written once, because sentences, groups and the final clock all start from them.
     """
+    clocked = settle(clocked, "sentences")
     drop = ["own_date", "own_time", "date", "time", "clock", "gsv_num_messages", "gsv_msg_num", "gsv_in_view"]
     others = clocked.where(F.col("sentence_type") != "GSV").drop(*drop, "gsv_satellites")
     groups = group_gsv(clocked).drop("group_no", "n_sentences", "header_in_view")
@@ -236,7 +256,7 @@ def check_gga_against_rmc(schema_a: DataFrame, tolerance_deg: float = POSITION_T
     dlat, dlon = F.abs(F.col("_rmc.lat") - F.col("lat")), F.abs(F.col("_rmc.lon") - F.col("lon"))
     complete = dlat.isNotNull() & dlon.isNotNull()
     return (
-        skew_join(schema_a, rmc, ["track_id", "ts"])
+        skew_join(schema_a, rmc, ["track_id", "ts"], within_track=True)
         .withColumn("pos_mismatch", F.when(gga & complete, (dlat > tol) | (dlon > tol)))
         .withColumn("time_mismatch", F.when(gga & F.col("_rmc").isNotNull(), F.lit(False)))
         .drop("_rmc")

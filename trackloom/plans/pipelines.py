@@ -23,6 +23,7 @@ from trackloom.operators.quantiles import class_by_boundaries, global_boundaries
 from trackloom.operators.satellites import align_satellites
 from trackloom.operators.summary import comparison_bounds, reference_point, track_bounds
 from trackloom.operators.terrain import above_neutral, clip_dem, dem_lods, enrich_terrain
+from trackloom.plans.session import settle
 from trackloom.plans.skew import attach_track, split_hot_tracks
 from trackloom.sinks.catalogue import catalogue, save_track
 from trackloom.sinks.document import (
@@ -42,8 +43,9 @@ from trackloom.sources.nmea import read_nmea
 
 
 def sentence_table(tokens: DataFrame) -> DataFrame:
-    """Tokenized lines to the typed sentence table."""
-    return apply_types(check_gga_against_rmc(build_schema_a(carry_clock(extract_fields(tokens)))))
+    """Tokenized lines to the typed sentence table, written once: filters and satellites both read it."""
+    rows = settle(build_schema_a(carry_clock(extract_fields(tokens))), "schema-a")
+    return apply_types(check_gga_against_rmc(rows))
 
 
 def process_nmea(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""Session helpers: reliable checkpoints and shared scratch folders."""
+"""Session helpers: tables written once into the shared folder."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="trackloom-")
-    spark.sparkContext.setCheckpointDir(made)
+    spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
@@ -26,10 +28,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint store, so later uses neither recompute it nor lose it."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it from there.
+
+    Used where a result is needed several times: it is computed once, survives lost executors, and later
+    readers fetch only the columns they use. The folder belongs to the cluster, which clears it.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

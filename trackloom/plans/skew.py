@@ -74,7 +74,7 @@ def split_hot_tracks(
             F.least(F.ceil(F.col("_n") / F.lit(target_rows)), F.lit(_SUB_SPLITS - 1)).alias("_parts"),
         )
     )
-    cells = settle(cells)
+    cells = settle(cells, "cells")
     if cells.count() <= BROADCAST_ROWS:
         cells = F.broadcast(cells)
     within = (pos - F.col("_cell") * F.lit(cell)) * F.col("_parts") / F.lit(float(cell))
@@ -108,14 +108,22 @@ def attach_track(df: DataFrame, per_track: DataFrame, key: Keys = ("track_id",),
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, keys: Keys, how: str = "left", target_rows: int = TARGET_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    keys: Keys,
+    how: str = "left",
+    target_rows: int = TARGET_ROWS,
+    within_track: bool = False,
 ) -> DataFrame:
     """Equi-join in which a key with more than ``target_rows`` left rows is salted.
 
     Only the hot keys are salted, and only their right rows are repeated. The table of hot keys has at most
-    rows/target_rows rows, which bounds the broadcast.
+    rows/target_rows rows, which bounds the broadcast. ``within_track`` says that the key contains the track and
+    that the rows went through ``split_hot_tracks``: without chunks no track is hot, so no key can be.
     """
     keys = list(keys)
+    if within_track and CHUNK not in left.columns:
+        return left.join(right, keys, how)
     hot = (
         left.groupBy(*keys)
         .count()

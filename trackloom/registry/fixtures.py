@@ -63,49 +63,64 @@ def _slot(j: int, s: int) -> str:
     return f"',' || {prn} || ',' || {elev} || ',' || {azim} || ',' || {snr}"
 
 
-def _gsv(j: int) -> str:
+def _gsv(j: int) -> tuple[int, str, str, str]:
     slots = " || ".join(_slot(j, s) for s in range(4))
     talker = "CASE event_id % 3 WHEN 0 THEN 'GP' WHEN 1 THEN 'GL' ELSE 'GA' END"
-    return f"""SELECT user_id AS track_id, event_id * 8 + {3 + j} AS line_no, 0 AS fault,
-  {talker} || 'GSV,' || CAST(1 + event_id % 3 AS STRING) || ',{j},12' || {slots} AS body
-FROM {{events}} WHERE event_type IN ('error', 'signup') AND event_id % 19 <> 0 AND {j} <= 1 + event_id % 3
-  AND NOT (event_id % 5 = 0 AND {j} = 1 + event_id % 3)"""
-
-
-# per line the sentence body and what is wrong with the line: 0 nothing, 1 checksum, 2 no sentence, 3 no checksum
-BODIES = "\nUNION ALL\n".join(
-    [
-        f"""SELECT user_id AS track_id, event_id * 8 AS line_no, CASE WHEN event_id % 6 = 0 THEN 3 ELSE 0 END AS fault,
-  'GPRMC,' || {_HMS} || ',' || CASE WHEN event_id % 11 = 0 THEN 'V' ELSE 'A' END || ',' || {_LAT} || ',' || {_NS} || ','
+    when = f"event_type IN ('error', 'signup') AND event_id % 19 <> 0 AND {j} <= 1 + event_id % 3 AND NOT (event_id % 5 = 0 AND {j} = 1 + event_id % 3)"
+    return 3 + j, when, "0", f"{talker} || 'GSV,' || CAST(1 + event_id % 3 AS STRING) || ',{j},12' || {slots}"
+
+
+# Lines of one event: place, condition, what is wrong with the line (0 nothing, 1 checksum, 2 no sentence,
+# 3 no checksum), and the sentence body.
+LINES = [
+    (
+        0,
+        "TRUE",
+        "CASE WHEN event_id % 6 = 0 THEN 3 ELSE 0 END",
+        f"""'GPRMC,' || {_HMS} || ',' || CASE WHEN event_id % 11 = 0 THEN 'V' ELSE 'A' END || ',' || {_LAT} || ',' || {_NS} || ','
   || CASE WHEN event_id % 37 = 0 THEN '' ELSE {_LON} END || ',' || {_EW} || ',' || {_KNOTS} || ',' || CAST(event_id % 360 AS STRING) || '.5,'
-  || CASE WHEN event_id % 7 = 3 THEN '' ELSE {_DATE} END || ',,,A' AS body
-FROM {{events}}""",
-        f"""SELECT user_id AS track_id, event_id * 8 + 1 AS line_no, 0 AS fault,
-  'GPGGA,' || {_HMS} || ',' || CASE WHEN event_id % 23 = 0 THEN '4530.0000' ELSE {_LAT} END || ',' || {_NS} || ',' || {_LON} || ',' || {_EW} || ','
+  || CASE WHEN event_id % 7 = 3 THEN '' ELSE {_DATE} END || ',,,A'""",
+    ),
+    (
+        1,
+        "event_id % 10 <> 9",
+        "0",
+        f"""'GPGGA,' || {_HMS} || ',' || CASE WHEN event_id % 23 = 0 THEN CAST(40 + user_id % 20 AS STRING) || '30.0000' ELSE {_LAT} END || ',' || {_NS} || ',' || {_LON} || ',' || {_EW} || ','
   || CAST(event_id % 6 AS STRING) || ',' || CAST(event_id % 13 AS STRING) || ',' || {_DOP} || ','
-  || CASE WHEN event_id % 17 = 0 THEN '' ELSE CAST(300 + event_id % 500 AS STRING) || '.' || CAST(event_id % 10 AS STRING) END || ',M,46.9,M,,' AS body
-FROM {{events}} WHERE event_id % 10 <> 9""",
-        f"""SELECT user_id AS track_id, event_id * 8 + 2 AS line_no, 0 AS fault,
-  'GPVTG,' || CAST(event_id % 360 AS STRING) || '.5,T,,M,' || {_KNOTS} || ',N,'
-  || CASE WHEN event_id % 8 = 0 THEN '' ELSE CAST(event_id % 70 AS STRING) || '.25' END || ',K,A' AS body
-FROM {{events}} WHERE event_type IN ('view', 'click', 'purchase')""",
-        f"""SELECT user_id AS track_id, event_id * 8 + 3 AS line_no, 0 AS fault,
-  'GNGSA,A,' || CAST(1 + event_id % 3 AS STRING) || ',,,,,,,,,,,,,' || CAST(event_id % 5 AS STRING) || '.5,' || {_DOP} || ',' || CAST(event_id % 3 AS STRING) || '.75' AS body
-FROM {{events}} WHERE event_type <> 'signup'""",
-        *[_gsv(j) for j in (1, 2, 3)],
-        """SELECT user_id AS track_id, event_id * 8 + 4 AS line_no, 0 AS fault, 'GPGSV,1,1,00' AS body
-FROM {events} WHERE event_type IN ('error', 'signup') AND event_id % 19 = 0""",
-        """SELECT user_id AS track_id, event_id * 8 + 7 AS line_no, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS fault,
-  CASE WHEN event_id % 2 = 0 THEN 'GPRMC,000000.00,A,4500.0000,N,00800.0000,E,1.0,2.0,010124,,,A' ELSE 'no sentence ' || CAST(event_id AS STRING) END AS body
-FROM {events} WHERE event_id % 29 = 0""",
-    ]
+  || CASE WHEN event_id % 17 = 0 THEN '' ELSE CAST(300 + event_id % 500 AS STRING) || '.' || CAST(event_id % 10 AS STRING) END || ',M,46.9,M,,'""",
+    ),
+    (
+        2,
+        "event_type IN ('view', 'click', 'purchase')",
+        "0",
+        f"""'GPVTG,' || CAST(event_id % 360 AS STRING) || '.5,T,,M,' || {_KNOTS} || ',N,'
+  || CASE WHEN event_id % 8 = 0 THEN '' ELSE CAST(event_id % 70 AS STRING) || '.25' END || ',K,A'""",
+    ),
+    (
+        3,
+        "event_type <> 'signup'",
+        "0",
+        f"""'GNGSA,A,' || CAST(1 + event_id % 3 AS STRING) || ',,,,,,,,,,,,,' || CAST(event_id % 5 AS STRING) || '.5,' || {_DOP} || ',' || CAST(event_id % 3 AS STRING) || '.75'""",
+    ),
+    *[_gsv(j) for j in (1, 2, 3)],
+    (4, "event_type IN ('error', 'signup') AND event_id % 19 = 0", "0", "'GPGSV,1,1,00'"),
+    (
+        7,
+        "event_id % 29 = 0",
+        "CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END",
+        """CASE WHEN event_id % 2 = 0 THEN 'GPRMC,000000.00,A,4500.0000,N,00800.0000,E,1.0,2.0,010124,,,A' ELSE 'no sentence ' || CAST(event_id AS STRING) END""",
+    ),
+]
+BODIES = "\nUNION ALL\n".join(
+    f"SELECT user_id AS track_id, event_id * 8 + {k} AS line_no, {fault} AS fault, {body} AS body FROM events WHERE {when}"
+    for k, when, fault, body in LINES
 )
 
 # The same views for the SQL side, as WITH items.
 Q_TRACK = "track AS (" + TRACK.format(events="events") + ")"
 Q_SENTENCES = "sentences AS (" + SENTENCES + ")"
 Q_CUTS = "cuts AS (" + CUTS.format(events="events", q='"') + ")"
-Q_BODIES = "bodies AS (" + BODIES.format(events="events") + ")"
+Q_BODIES = "bodies AS (" + BODIES + ")"
 Q_LINES = """lines AS (SELECT track_id, line_no, fault, body,
   upper(lpad(printf('%x', list_reduce(list_transform(string_split(body, ''), lambda c: ascii(c)), lambda a, b: xor(a, b))), 2, '0')) AS computed,
   CASE fault WHEN 0 THEN '$' || body || '*' || computed WHEN 1 THEN '$' || body || '*00' WHEN 2 THEN body ELSE '$' || body END AS value
@@ -140,7 +155,16 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(BODIES, events=events(spark, sf_dir))
+    """The lines of each event, from one scan."""
+    slots = [
+        F.when(
+            F.expr(when),
+            F.struct(F.expr(f"event_id * 8 + {k}").alias("line_no"), F.expr(fault).alias("fault"), F.expr(body).alias("body")),
+        )
+        for k, when, fault, body in LINES
+    ]
+    found = F.filter(F.array(*slots), lambda x: x.isNotNull())
+    return events(spark, sf_dir).select(F.col("user_id").alias("track_id"), F.inline(found))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

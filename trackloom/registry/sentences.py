@@ -129,7 +129,7 @@ def extract_gsv(spark, sf):
     )
 
 
-@query("parse_stats", with_(Q_BODIES) + "SELECT track_id, count_if(fault IN (0, 3)) AS n_parsed, count_if(fault IN (1, 2)) AS n_malformed, CAST(0 AS BIGINT) AS n_other FROM bodies GROUP BY track_id")
+@query("parse_stats", with_(Q_BODIES) + "SELECT track_id, CAST(count_if(fault IN (0, 3)) AS BIGINT) AS n_parsed, CAST(count_if(fault IN (1, 2)) AS BIGINT) AS n_malformed, CAST(0 AS BIGINT) AS n_other FROM bodies GROUP BY track_id")
 def parse_stats(spark, sf):
     return nmea.parse_stats(_tokens(spark, sf))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import scalar as S
 from trackloom.operators.edit import MIN_SPEED_MPS, NEIGHBOURS
 from trackloom.operators.quantiles import exact_quantiles
-from trackloom.plans.skew import attach_track
+from trackloom.plans.skew import CHUNK, attach_track
 
 JOIN_MODES = ("gap", "bridge")
 PART = ("merge_id", "part_no")
@@ -45,7 +45,7 @@ def _seam_speeds(rows: DataFrame, parts: DataFrame, n: int) -> DataFrame:
         attach_track(rows.where(F.col("speed_kmh").isNotNull()), parts.select(*PART).join(lacking, "merge_id"), PART, "inner")
         .select("merge_id", "speed_kmh", F.explode(F.filter("_lacking", lambda k: k >= row_part)).alias("part_no"))
     )
-    median = exact_quantiles(wide, "speed_kmh", [0.5], PART, large=True).select(*PART, F.col("q")[0].alias("_median"))
+    median = exact_quantiles(wide, "speed_kmh", [0.5], PART, large=CHUNK in rows.columns).select(*PART, F.col("q")[0].alias("_median"))
     return (
         seams.select("merge_id", F.col("seam_part").alias("part_no"))
         .join(near, list(PART), "left")

@@ -36,6 +36,7 @@ from trackloom.sinks.document import (
 from trackloom.sinks.gpx import write_gpx
 from trackloom.sources.cuts import read_cuts
 from trackloom.sources.discover import discover_inputs
+from trackloom.sources.files import track_id
 from trackloom.sources.gpx import read_gpx
 from trackloom.sources.igc import read_igc
 from trackloom.sources.kml import read_kml
@@ -145,7 +146,7 @@ def process_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     tables: list[DataFrame] = []
     schema_a = None
     if "nmea" in kinds:
-        names = found.where(F.col("kind") == "nmea").select(F.concat(F.lit("nmea_"), "stem").alias("track_id"), F.col("name").alias("source_file"))
+        names = found.where(F.col("kind") == "nmea").select(track_id("nmea", F.col("path")).alias("track_id"), F.col("name").alias("source_file"))
         tokens = attach_track(read_nmea(spark, path), names.select("track_id"), how="left_semi")
         schema_a, track = process_nmea(tokens)
         tables.append(attach_track(track, names))

@@ -232,7 +232,7 @@ def cut_label(spark, sf):
     "write_cuts",
     CUT_SQL + """SELECT track_id, '{"source":"t' || track_id || '.txt","n_points_reference":' || n_points || ',"cut_ranges":[' ||
   (SELECT string_agg('{"start":' || "start" || ',"end":' || "end" || ',"mode":"' || mode || '"}', ',' ORDER BY "start") FROM cuts c WHERE c.track_id = n.track_id) || '],"created_at":"2024-02-01T00:00:00Z"' ||
-  CASE WHEN track_id % 3 > 0 THEN ',"z_offset_m":' || CAST((track_id % 3) / 4::DOUBLE + 0.05::DOUBLE AS DECIMAL(9, 1)) ELSE '' END || '}' AS document FROM counts n""",
+  CASE WHEN track_id % 3 > 0 THEN ',"z_offset_m":' || floor((track_id % 3) / 4::DOUBLE * 10 + 0.5::DOUBLE) / 10 ELSE '' END || '}' AS document FROM counts n""",
 )
 def write_cuts(spark, sf):
     t = F.col("track_id")

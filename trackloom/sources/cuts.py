@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.operators.edit import cut_error
-from trackloom.sources.files import file_name
+from trackloom.sources.files import file_name, options
 
 SUFFIX = ".cuts.json"
 _RANGE = "struct<start:bigint,end:bigint,mode:string>"
@@ -65,8 +65,7 @@ def parse_cuts(files: DataFrame) -> DataFrame:
 def read_cuts(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """(instructions, rejects) below a path; ``source_name`` is the log's file name taken from the document's."""
     files = (
-        spark.read.option("pathGlobFilter", f"*{SUFFIX}")
-        .option("wholetext", True)
+        spark.read.options(wholetext="true", **options(f"*{SUFFIX}"))
         .text(path)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )

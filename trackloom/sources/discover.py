@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.sources.cuts import SUFFIX
-from trackloom.sources.files import file_name, stem
+from trackloom.sources.files import file_name, options, stem
 
 FORMATS = {"txt": "nmea", "gpx": "gpx", "kml": "kml", "igc": "igc", "tif": "dem", "tiff": "dem", "asc": "dem", "png": "picture"}
 
@@ -44,5 +44,5 @@ def sidecars(classified: DataFrame) -> DataFrame:
 
 def discover_inputs(spark: SparkSession, path) -> DataFrame:
     """Every file below a path with its kind and sidecar. File contents are not read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    files = spark.read.format("binaryFile").options(**options(None)).load(path).select("path", "length")
     return sidecars(overlay_pairs(classify(files))).select("path", "name", "stem", "kind", "length", "cuts_path")

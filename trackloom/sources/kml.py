@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as S
-from trackloom.sources.files import in_file_order
+from trackloom.sources.files import in_file_order, options
 
 TRACK_SCHEMA = "when array<string>, `gx:coord` array<string>"
 
@@ -46,8 +46,6 @@ def points_from_tracks(tracks: DataFrame) -> DataFrame:
 
 def read_kml(spark: SparkSession, path, glob: str | None = "*.kml") -> DataFrame:
     """All points of all ``gx:Track`` elements below ``path``; files with only lines or points give no rows."""
-    reader = spark.read.format("xml").option("rowTag", "gx:Track").schema(TRACK_SCHEMA)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    scan = in_file_order(reader.load(path), F.col("_metadata.file_path"), "kml")
+    scan = spark.read.format("xml").options(rowTag="gx:Track", **options(glob)).schema(TRACK_SCHEMA).load(path)
+    scan = in_file_order(scan, F.col("_metadata.file_path"), "kml")
     return points_from_tracks(scan.withColumnRenamed("gx:coord", "coord"))

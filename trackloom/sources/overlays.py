@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.sources.files import file_name, stem
+from trackloom.sources.files import file_name, options, stem
 
 CORNERS = ("tl", "tr", "bl", "br")
 
@@ -77,11 +77,11 @@ def _listed(df: DataFrame) -> DataFrame:
 def read_overlays(spark: SparkSession, path) -> DataFrame:
     """All overlays below a path, with the picture's path."""
     texts = (
-        spark.read.option("pathGlobFilter", "*.txt").option("wholetext", True).text(path)
+        spark.read.options(wholetext="true", **options("*.txt")).text(path)
         .select(F.col("_metadata.file_path").alias("_path"), "value")
     )
     pictures = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select(F.col("path").alias("_path"))
+        spark.read.format("binaryFile").options(**options("*.png")).load(path).select(F.col("path").alias("_path"))
     )
     pictures = _listed(pictures).withColumnRenamed("_path", "picture")
     return parse_overlays(pair_by_stem(_listed(texts).drop("_path"), pictures))

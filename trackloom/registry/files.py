@@ -1 +1,493 @@
-"""Queries."""
+"""Readers and writers. Logs are made from the event table, written to the shared folder and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trackloom.functions.scalar import geodesic_sql
+from trackloom.operators import nmea
+from trackloom.operators.enrich import enrich_speed
+from trackloom.operators.satellites import align_satellites
+from trackloom.plans import pipelines
+from trackloom.plans.sequence import row_index
+from trackloom.plans.session import scratch_path
+from trackloom.registry import query
+from trackloom.registry.edits import _merge_sql, paired
+from trackloom.registry.fixtures import (
+    Q_BODIES,
+    Q_CUTS,
+    Q_IDX,
+    Q_LINES,
+    Q_TRACK,
+    cuts,
+    events,
+    lines,
+    track,
+    with_,
+)
+from trackloom.registry.points import D as D_SQL
+from trackloom.registry.points import _terrain_track, rounded
+from trackloom.registry.satellites import A_SQL as SAT_SQL
+from trackloom.registry.satellites import bursts, points
+from trackloom.registry.sentences import SQL_PROCESS
+from trackloom.registry.terrain import CELL, L_SQL, pixels, tiles
+from trackloom.sinks.catalogue import catalogue, load_track, save_track
+from trackloom.sinks.document import overlay_documents, track_documents
+from trackloom.sinks.gpx import gpx_documents, write_gpx
+from trackloom.sources import igc as igc_source
+from trackloom.sources import kml as kml_source
+from trackloom.sources.cuts import cut_rows, parse_cuts
+from trackloom.sources.dem import read_ascii_grid
+from trackloom.sources.discover import classify, overlay_pairs, sidecars
+from trackloom.sources.gpx import gpx_speed_mps, points_from_elements, read_gpx
+from trackloom.sources.igc import read_igc
+from trackloom.sources.kml import read_kml
+from trackloom.sources.nmea import corrupt_lines, read_nmea
+from trackloom.sources.overlays import overlay_bounds, pair_by_stem, parse_overlays
+
+T = with_(Q_TRACK)
+P = with_(Q_TRACK, Q_IDX)
+
+
+def _ntz(c: str):
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+def _write_logs(df: DataFrame, spark, label: str) -> str:
+    """One file per track in line order."""
+    path = scratch_path(spark, label)
+    ordered = df.repartition("track_id").sortWithinPartitions("track_id", "line_no")
+    ordered.select("track_id", "value").write.partitionBy("track_id").text(path)
+    return path
+
+
+def _tid():
+    return F.col("track_id").cast("bigint").alias("track_id")
+
+
+# --- NMEA -----------------------------------------------------------------------------------
+
+
+@query(
+    "read_nmea",
+    with_(Q_BODIES, Q_LINES) + """SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY line_no) - 1 AS place, CASE WHEN fault IN (1, 2) THEN 'malformed' ELSE 'parsed' END AS status,
+  CASE WHEN fault IN (0, 3) THEN substr(body, 3, 3) END AS sentence_type, md5(value) AS line_md5 FROM lines""",
+)
+def read_nmea_query(spark, sf):
+    tokens = read_nmea(spark, _write_logs(lines(spark, sf), spark, "nmea"), glob=None)
+    placed = row_index(tokens, order=("line_no",), name="place")
+    return placed.select(_tid(), "place", "status", "sentence_type", F.md5("value").alias("line_md5"))
+
+
+@query("corrupt_lines", with_(Q_BODIES, Q_LINES) + "SELECT track_id, 'malformed' AS status, value FROM lines WHERE fault IN (1, 2)")
+def corrupt_lines_query(spark, sf):
+    return corrupt_lines(nmea.tokenize(lines(spark, sf))).select("track_id", "status", "value")
+
+
+@query("process_directory", SQL_PROCESS)
+def process_directory(spark, sf):
+    """A directory of NMEA logs, through discovery, parsing and enrichment."""
+    found, _, _ = pipelines.process_directory(spark, _write_logs(lines(spark, sf), spark, "directory"))
+    return found.select(
+        _tid(), "idx", _ntz("ts"), F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.round("alt", 3).alias("alt"),
+        F.round("speed_kmh", 3).alias("speed_kmh"), F.round("distance_m", 2).alias("distance_m"), "num_sats",
+    )
+
+
+# --- GPX ------------------------------------------------------------------------------------
+
+Q_GPX = """gpx AS (SELECT track_id, idx, ts, round(lat, 7) AS lat, round(lon, 7) AS lon, round(alt, 2) AS alt, round(round(speed_kmh / 3.6::DOUBLE, 3) * 3.6::DOUBLE, 6) AS speed_kmh, hdop FROM pts)"""
+Q_GPX_STEPS = f"""gsteps AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000000::DOUBLE AS dt_s FROM gpx WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
+gdist AS (SELECT *, CASE WHEN dt_s > 0 THEN {geodesic_sql('plat', 'plon', 'lat', 'lon')} END AS distance_m FROM gsteps)"""
+
+
+def _gpx_folder(spark, sf) -> str:
+    path = scratch_path(spark, "gpx")
+    write_gpx(row_index(track(spark, sf)), path)
+    return path
+
+
+@query("read_gpx", with_(Q_TRACK, Q_IDX, Q_GPX) + "SELECT track_id, ts, lat, lon, alt, speed_kmh, hdop FROM gpx")
+def read_gpx_query(spark, sf):
+    df = read_gpx(spark, _gpx_folder(spark, sf), glob=None)
+    return df.select(_tid(), _ntz("ts"), "lat", "lon", "alt", F.round("speed_kmh", 6).alias("speed_kmh"), "hdop")
+
+
+@query("process_gpx", with_(Q_TRACK, Q_IDX, Q_GPX, Q_GPX_STEPS) + "SELECT track_id, idx, round(distance_m, 2) AS distance_m FROM gdist")
+def process_gpx(spark, sf):
+    df = pipelines.process_points(read_gpx(spark, _gpx_folder(spark, sf), glob=None))
+    return df.select(_tid(), "idx", F.round("distance_m", 2).alias("distance_m"))
+
+
+@query(
+    "gpx_speed",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 2.5 WHEN 2 THEN 3.5 WHEN 3 THEN 2.5 END AS mps FROM events""",
+)
+def gpx_speed(spark, sf):
+    m = F.col("event_id") % 5
+    df = events(spark, sf).select(
+        "event_id", F.when(m == 0, "1.5").when(m == 3, "bad").alias("a"), F.when(m.isin(0, 1, 3), "2.5").alias("b"), F.when(m == 2, "3.5").alias("c")
+    )
+    return df.select("event_id", gpx_speed_mps("a", "b", "c").alias("mps"))
+
+
+@query(
+    "gpx_points",
+    """SELECT event_id AS seq, ts, CAST(event_id % 90 AS DOUBLE) AS lat, CAST(event_id % 180 AS DOUBLE) AS lon, CASE WHEN event_id % 4 <> 0 THEN 12.5::DOUBLE END AS alt FROM events WHERE event_id % 6 <> 0 AND event_id % 7 <> 0""",
+)
+def gpx_points(spark, sf):
+    """Elements with unreadable coordinates or no time are dropped."""
+    e = F.col("event_id")
+    none = F.lit(None).cast("string")
+    elements = events(spark, sf).select(
+        e.alias("line_no"),
+        F.when(e % 6 == 0, "north").otherwise((e % 90).cast("string")).alias("_lat"),
+        (e % 180).cast("string").alias("_lon"),
+        F.when(e % 4 == 0, "").otherwise("12.5").alias("ele"),
+        F.when(e % 7 != 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).alias("time"),
+        none.alias("hdop"),
+        none.alias("speed"),
+        F.struct(none.alias("speed"), none.alias("gpx:speed")).alias("extensions"),
+    )
+    return points_from_elements(elements).select("seq", _ntz("ts"), "lat", "lon", "alt")
+
+
+def _sql_num(v: str, n: int) -> str:
+    return f"regexp_replace(regexp_replace(printf('%.{n}f', {v}), '0+$', ''), '\\.$', '')"
+
+
+_GPX_POINT = f"""'    <trkpt lat="' || {_sql_num('lat', 7)} || '" lon="' || {_sql_num('lon', 7)} || '">' || coalesce('<ele>' || {_sql_num('alt', 2)} || '</ele>', '') || '<time>' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+  || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE printf('.%06d', epoch_us(ts) % 1000000) END || 'Z</time>' || coalesce('<speed>' || {_sql_num('speed_kmh / 3.6::DOUBLE', 3)} || '</speed>', '') || '<hdop>' || {_sql_num('hdop', 2)} || '</hdop></trkpt>'"""
+
+
+@query(
+    "write_gpx",
+    P + f"""SELECT track_id, CAST(0 AS BIGINT) AS part, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<gpx version="1.1" creator="trackloom" xmlns="http://www.topografix.com/GPX/1/1">' || chr(10) || '<trk><name>' || track_id || '</name>' || chr(10)
+  || '  <trkseg>' || chr(10) || string_agg({_GPX_POINT}, chr(10) ORDER BY idx) || chr(10) || '  </trkseg>' || chr(10) || '</trk>' || chr(10) || '</gpx>' || chr(10)) AS document_md5 FROM pts GROUP BY track_id""",
+)
+def write_gpx_query(spark, sf):
+    docs = gpx_documents(row_index(track(spark, sf)))
+    return docs.select("track_id", "part", F.md5("document").alias("document_md5"))
+
+
+@query("merge_and_write", _merge_sql("FALSE").replace("SELECT merge_id, CAST(part_no AS INTEGER) AS segment_no, idx + CASE WHEN part_no = 1 THEN coalesce(n_first, 0) ELSE 0 END AS merged_idx,", "SELECT merge_id, count(*) AS n_points, min(ts) AS ts_start, max(ts) AS ts_end FROM (SELECT merge_id,").rstrip() + ") GROUP BY merge_id")
+def merge_and_write(spark, sf):
+    """Merged tracks written as GPX and read again."""
+    path = scratch_path(spark, "merged")
+    pipelines.merge_and_write(paired(spark, sf), path)
+    df = read_gpx(spark, path, glob=None)
+    named = df.withColumn("merge_id", F.col("track_id").cast("bigint"))
+    cut = F.date_trunc("millisecond", "ts").cast("timestamp_ntz")
+    return named.groupBy("merge_id").agg(F.count(F.lit(1)).alias("n_points"), F.min(cut).alias("ts_start"), F.max(cut).alias("ts_end"))
+
+
+# --- KML ------------------------------------------------------------------------------------
+
+
+@query("read_kml", T + "SELECT track_id, ts, round(lat, 5) AS lat, round(lon, 5) AS lon, CASE WHEN seq % 3 <> 0 THEN round(hdop, 1) END AS alt FROM track WHERE seq % 11 <> 0")
+def read_kml_query(spark, sf):
+    return _kml(spark, sf).select(_tid(), _ntz("ts"), "lat", "lon", "alt")
+
+
+def _kml(spark, sf) -> DataFrame:
+    q = F.col("seq")
+    when = F.concat(F.lit("<when>"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z</when>"))
+    alt = F.when(q % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.format_string("%.1f", "hdop")))
+    place = F.concat(F.format_string("%.5f", "lon"), F.lit(" "), F.format_string("%.5f", "lat"), alt)
+    coord = F.concat(F.lit("<gx:coord>"), F.when(q % 11 == 0, "here there").otherwise(place), F.lit("</gx:coord>"))
+    listed = track(spark, sf).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", when.alias("w"), coord.alias("c")))).alias("p"))
+    element = F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2" xmlns:gx="http://www.google.com/kml/ext/2.2"><Placemark><gx:Track>\n'),
+        F.array_join(F.col("p.w"), "\n"),
+        F.array_join(F.col("p.c"), "\n"),
+        F.lit("\n</gx:Track><gx:Track><when>2024-01-01T00:00:00Z</when></gx:Track></Placemark></kml>"),
+    )
+    path = _write_logs(listed.select("track_id", F.lit(0).alias("line_no"), element.alias("value")), spark, "kml")
+    return read_kml(spark, path, glob=None)
+
+
+Q_KML = "gpx AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY ts, seq) - 1 AS idx, ts, round(lat, 5) AS lat, round(lon, 5) AS lon FROM track WHERE seq % 11 <> 0)"
+
+
+@query("process_kml", with_(Q_TRACK, Q_KML, Q_GPX_STEPS) + "SELECT track_id, idx, round(distance_m, 2) AS distance_m, round(distance_m / dt_s * 3.6::DOUBLE, 4) AS speed_kmh FROM gdist")
+def process_kml(spark, sf):
+    return rounded(pipelines.process_points(_kml(spark, sf)).withColumn("track_id", _tid()), ["track_id", "idx"], distance_m=2, speed_kmh=4)
+
+
+@query(
+    "kml_coord",
+    """SELECT event_id, CASE WHEN event_id % 5 >= 3 THEN NULL ELSE CAST(event_id % 180 AS DOUBLE) END AS lon, CASE WHEN event_id % 5 >= 3 THEN NULL ELSE CAST(event_id % 90 AS DOUBLE) END AS lat,
+  CASE WHEN event_id % 5 = 0 THEN event_id % 100 + 0.5::DOUBLE END AS alt FROM events""",
+)
+def kml_coord(spark, sf):
+    e = F.col("event_id")
+    two = F.concat(F.lit("  "), (e % 180).cast("string"), F.lit(" "), (e % 90).cast("string"))
+    m = e % 5
+    text = F.when(m == 0, F.concat(two, F.lit(" "), (e % 100).cast("string"), F.lit(".5 "))).when(m.isin(1, 2), two).when(m == 3, (e % 180).cast("string")).otherwise(F.concat(two, F.lit(" high")))
+    return events(spark, sf).select("event_id", kml_source.kml_coord(text).alias("c")).select("event_id", "c.lon", "c.lat", "c.alt")
+
+
+# --- IGC ------------------------------------------------------------------------------------
+
+_SECOND = "(hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INT))"
+# a date record before the first fix of each track and before some later ones
+Q_IGC = f"""igc0 AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS n FROM track),
+igc1 AS (SELECT *, CASE WHEN n = 1 OR seq % 25 = 0 THEN CAST(ts AS DATE) END AS header FROM igc0),
+igc2 AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY seq) AS day, count(header) OVER (PARTITION BY track_id ORDER BY seq) AS block, {_SECOND} AS sec FROM igc1),
+igc3 AS (SELECT * FROM igc2 WHERE seq % 9 <> 0),
+igc4 AS (SELECT *, CASE WHEN sec < lag(sec) OVER (PARTITION BY track_id, day ORDER BY seq) - 1 THEN 1 ELSE 0 END AS fell FROM igc3),
+igc AS (SELECT track_id, seq, day, sec, CAST(sum(fell) OVER (PARTITION BY track_id, day ORDER BY seq) AS INTEGER) AS day_offset,
+  (40 + seq % 40) + (seq % 60000) / 1000::DOUBLE / 60::DOUBLE AS lat, -((seq % 100) + (seq * 7 % 60000) / 1000::DOUBLE / 60::DOUBLE) AS lon,
+  CASE seq % 4 WHEN 0 THEN CAST(seq % 3000 AS DOUBLE) WHEN 1 THEN CASE WHEN seq % 2000 = 0 THEN NULL ELSE CAST(seq % 2000 AS DOUBLE) END WHEN 2 THEN 0 ELSE CAST(1 + seq % 500 AS DOUBLE) END AS alt FROM igc4)"""
+
+
+def _igc_lines(spark, sf) -> DataFrame:
+    q = F.col("seq")
+
+    def digits(x, n):
+        return F.lpad(x.cast("string"), n, "0")
+
+    df = track(spark, sf).drop("chunk")
+    first = df.groupBy("track_id").agg(F.min("seq").alias("first"))
+    df = df.join(first, "track_id")
+    # gnss altitude, or 0 so that the pressure altitude counts, or both 0
+    gnss = F.when(q % 4 == 0, q % 3000).when(q % 4 == 3, 1 + q % 500).otherwise(F.lit(0))
+    pressure = F.when(q % 4 == 1, q % 2000).when(q % 4 == 0, q % 3000).otherwise(F.lit(0))
+    valid = F.when(q % 9 == 0, "V").otherwise("A")
+    fix = F.concat(
+        F.lit("B"), F.date_format("ts", "HHmmss"), digits(40 + q % 40, 2), digits(q % 60000, 5), F.lit("N"),
+        digits(q % 100, 3), digits(q * 7 % 60000, 5), F.lit("W"), valid, digits(pressure, 5), digits(gnss, 5), F.lit("007"),
+    )
+    header = F.when((q == F.col("first")) | (q % 25 == 0), F.concat(F.lit("HFDTEDATE:"), F.date_format("ts", "ddMMyy"), F.lit(",01")))
+    both = F.filter(F.array(F.struct(F.lit(0).alias("k"), header.alias("v")), F.struct(F.lit(1).alias("k"), fix.alias("v"))), lambda x: x["v"].isNotNull())
+    return df.select("track_id", "seq", F.explode(both).alias("x")).select("track_id", (q * 2 + F.col("x.k")).alias("line_no"), F.col("x.v").alias("value"))
+
+
+@query("read_igc", with_(Q_TRACK, Q_IGC) + "SELECT track_id, make_timestamp((epoch_us(CAST(day AS TIMESTAMP)) + (CAST(day_offset AS BIGINT) * 86400 + sec) * 1000000)) AS ts, round(lat, 9) AS lat, round(lon, 9) AS lon, alt FROM igc")
+def read_igc_query(spark, sf):
+    df = read_igc(spark, _write_logs(_igc_lines(spark, sf), spark, "igc"), glob=None)
+    return df.select(_tid(), _ntz("ts"), F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "alt")
+
+
+@query(
+    "process_igc",
+    with_(Q_TRACK, Q_IGC) + "SELECT track_id, count(*) AS n_points, max(day_offset) AS last_offset FROM igc GROUP BY track_id",
+)
+def process_igc(spark, sf):
+    made = _igc_lines(spark, sf)
+    track_rows = pipelines.process_points(igc_source.points_from_lines(made))
+    offsets = igc_source.day_rollover(igc_source.fixes(made)).groupBy("track_id").agg(F.max("day_offset").alias("last_offset"))
+    return track_rows.groupBy("track_id").agg(F.count("idx").alias("n_points")).join(offsets, "track_id")
+
+
+@query("igc_day_rollover", with_(Q_TRACK, Q_IGC) + "SELECT track_id, seq * 2 + 1 AS line_no, day_offset FROM igc")
+def igc_day_rollover(spark, sf):
+    return igc_source.day_rollover(igc_source.fixes(_igc_lines(spark, sf))).select("track_id", "line_no", "day_offset")
+
+
+@query(
+    "igc_date",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(ts AS DATE) WHEN 1 THEN CAST(ts AS DATE) WHEN 2 THEN NULL ELSE DATE '1999-05-06' END AS day FROM events""",
+)
+def igc_date(spark, sf):
+    m = F.col("event_id") % 4
+    day = F.date_format("ts", "ddMMyy")
+    text = F.when(m == 0, F.concat(F.lit("HFDTE"), day)).when(m == 1, F.concat(F.lit("HFDTEDATE:"), day, F.lit(",02"))).when(m == 2, "HFDTE321399").otherwise("HFDTE060599")
+    return events(spark, sf).select("event_id", igc_source.igc_date(text).alias("day"))
+
+
+@query(
+    "igc_altitude",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(event_id % 1000 + 1 AS DOUBLE) WHEN 1 THEN 700 WHEN 2 THEN 0 WHEN 3 THEN NULL ELSE NULL END AS alt FROM events""",
+)
+def igc_altitude(spark, sf):
+    e = F.col("event_id")
+    m = e % 5
+    gnss = F.when(m == 0, F.lpad((e % 1000 + 1).cast("string"), 5, "0")).when(m.isin(1, 2), "00000").when(m == 3, "12x45").otherwise("     ")
+    pressure = F.when(m.isin(0, 1), "00700").when(m == 2, "00000").when(m == 3, "00700").otherwise("     ")
+    line = F.concat(F.lit("B1234564730123N00812345EA"), pressure, gnss)
+    return events(spark, sf).select("event_id", igc_source.igc_altitude(line).alias("alt"))
+
+
+# --- cut instructions, overlays, directories ------------------------------------------------
+
+
+def _cut_documents(spark, sf) -> DataFrame:
+    t = F.col("track_id")
+    listed = cuts(spark, sf).groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "mode")), asc=False).alias("cut_ranges"))
+    sound = F.to_json(
+        F.struct(F.concat(F.lit("t"), t.cast("string")).alias("source"), F.lit(60).alias("n_points_reference"), "cut_ranges", F.lit(1.5).alias("z_offset_m"))
+    )
+    m = t % 8
+    text = (
+        F.when(m == 0, "{broken")
+        .when(m == 1, '{"source": "", "cut_ranges": []}')
+        .when(m == 2, '{"source": "a", "n_points_reference": "many"}')
+        .when(m == 3, '{"source": "a", "cut_ranges": {"start": 1}}')
+        .when(m == 4, '{"source": "a", "cut_ranges": [{"start": 5, "end": 2}]}')
+        .when(m == 5, '{"source": "a", "cut_ranges": [{"start": 1, "end": 2}], "z_offset_m": "high"}')
+        .otherwise(sound)
+    )
+    return listed.select("track_id", F.concat(F.lit("file:/logs/t"), t.cast("string"), F.lit(".txt.cuts.json")).alias("path"), text.alias("value"))
+
+
+@query("read_cuts", with_(Q_CUTS) + """SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY "start") - 1 AS INTEGER) AS cut_id, "start" AS cut_start, "end" AS cut_end, mode FROM cuts WHERE track_id % 8 > 5""")
+def read_cuts_query(spark, sf):
+    parsed = parse_cuts(_cut_documents(spark, sf))
+    rows = cut_rows(parsed.where(F.col("reason").isNull()))
+    return rows.select("track_id", "cut_id", F.col("start").alias("cut_start"), F.col("end").alias("cut_end"), "mode")
+
+
+@query(
+    "reject_cuts",
+    with_(Q_CUTS) + """SELECT DISTINCT track_id, CASE track_id % 8 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'source missing or empty' WHEN 2 THEN 'n_points_reference is no integer' WHEN 3 THEN 'cut_ranges is no list'
+  WHEN 4 THEN 'start after end' WHEN 5 THEN 'z_offset_m is no number' END AS reason FROM cuts""",
+)
+def reject_cuts(spark, sf):
+    return parse_cuts(_cut_documents(spark, sf)).select("track_id", "reason")
+
+
+def _overlay_texts(spark, sf) -> DataFrame:
+    t = F.col("track_id")
+    lat, lon = t % 60, t % 150
+
+    def corner(dx, dy):
+        return F.concat((lon + dx).cast("string"), F.lit(".25, "), (lat + dy).cast("string"), F.lit(".5\n"))
+
+    body = F.concat(
+        F.lit("# chart\nelevation_m: "), (t % 900).cast("string"), F.lit(".5\nSubdivision: "), (t % 300).cast("string"), F.lit("\n\n"),
+        corner(0, 1), corner(2, 1), corner(0, 0), corner(2, 0), F.lit("ignored\n"),
+    )
+    text = F.when(t % 5 == 0, "1 2\n3 4\n").when(t % 5 == 1, F.concat(body, F.lit("north west\n"))).otherwise(body)
+    return track(spark, sf).select("track_id").distinct().select("track_id", F.concat(F.lit("chart"), t.cast("string")).alias("name"), text.alias("value"))
+
+
+_OVERLAYS = """SELECT track_id, track_id % 150 AS x, track_id % 60 AS y, track_id % 900 + 0.5::DOUBLE AS elevation_m, CASE WHEN track_id % 300 BETWEEN 2 AND 256 THEN CAST(track_id % 300 AS INTEGER) END AS subdivision
+FROM (SELECT DISTINCT track_id FROM track) WHERE track_id % 5 > 1"""
+
+
+@query("read_overlays", T + f"SELECT track_id, x + 0.25::DOUBLE AS tl_lon, y + 1.5::DOUBLE AS tl_lat, x + 2.25::DOUBLE AS br_lon, elevation_m, subdivision FROM ({_OVERLAYS})")
+def read_overlays_query(spark, sf):
+    df = parse_overlays(_overlay_texts(spark, sf))
+    return df.select("track_id", F.col("corner_tl.lon").alias("tl_lon"), F.col("corner_tl.lat").alias("tl_lat"), F.col("corner_br.lon").alias("br_lon"), "elevation_m", "subdivision")
+
+
+@query("overlay_bounds", T + f"SELECT track_id, x + 0.25::DOUBLE AS lon_min, y + 0.5::DOUBLE AS lat_min, x + 2.25::DOUBLE AS lon_max, y + 1.5::DOUBLE AS lat_max FROM ({_OVERLAYS})")
+def overlay_bounds_query(spark, sf):
+    return overlay_bounds(parse_overlays(_overlay_texts(spark, sf))).select("track_id", "lon_min", "lat_min", "lon_max", "lat_max")
+
+
+@query(
+    "write_overlay_catalogue",
+    T + f"""SELECT track_id, '{{"name":"chart' || track_id || '","image":"charts/chart' || track_id || '.png","corner_tl":[' || (x + 0.25::DOUBLE) || ',' || (y + 1.5::DOUBLE) || '],"corner_tr":[' || (x + 2.25::DOUBLE) || ',' || (y + 1.5::DOUBLE)
+  || '],"corner_bl":[' || (x + 0.25::DOUBLE) || ',' || (y + 0.5::DOUBLE) || '],"corner_br":[' || (x + 2.25::DOUBLE) || ',' || (y + 0.5::DOUBLE) || '],"elevation_m":' || elevation_m || CASE WHEN subdivision IS NULL THEN '' ELSE ',"subdivision":' || subdivision END || '}}' AS document FROM ({_OVERLAYS})""",
+)
+def write_overlay_catalogue(spark, sf):
+    docs = overlay_documents(parse_overlays(_overlay_texts(spark, sf)))
+    return docs.select(F.regexp_extract("name", r"(\d+)$", 1).cast("bigint").alias("track_id"), "document")
+
+
+@query(
+    "overlay_pair_join",
+    "SELECT folder, name, event_id FROM (SELECT event_id, 'u' || user_id AS folder, 'f' || CAST(floor(event_id / 2) AS BIGINT) AS name FROM events WHERE event_id % 2 = 0) t WHERE EXISTS (SELECT 1 FROM events p WHERE p.event_id % 2 = 1 AND 'u' || p.user_id = folder AND 'f' || CAST(floor(p.event_id / 2) AS BIGINT) = name) OR event_id % 10 = 0",
+)
+def overlay_pair_join(spark, sf):
+    e = F.col("event_id")
+    named = events(spark, sf).select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("folder"), F.concat(F.lit("f"), F.floor(e / 2).cast("string")).alias("name"))
+    pictures = named.where((e % 2 == 1) | (e % 10 == 0)).select("folder", "name").distinct()
+    return pair_by_stem(named.where(e % 2 == 0), pictures).select("folder", "name", "event_id")
+
+
+_EXT = "['txt', 'gpx', 'kml', 'igc', 'png', 'tif', 'txt.cuts.json', 'doc'][CAST(1 + event_id % 8 AS BIGINT)]"
+_LISTING = f"listing AS (SELECT event_id, user_id, 'log ' || (event_id // 16) AS stem, {_EXT} AS ext FROM events)"
+_KIND = "CASE ext WHEN 'txt' THEN CASE WHEN EXISTS (SELECT 1 FROM listing p WHERE p.ext = 'png' AND p.user_id = l.user_id AND p.stem = l.stem) THEN 'overlay' ELSE 'nmea' END WHEN 'tif' THEN 'dem' WHEN 'png' THEN 'picture' WHEN 'txt.cuts.json' THEN 'cuts' WHEN 'doc' THEN 'other' ELSE ext END"
+
+
+def _listing(spark, sf) -> DataFrame:
+    e = F.col("event_id")
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("txt", "gpx", "kml", "igc", "png", "tif", "txt.cuts.json", "doc")]), (e % 8 + 1).cast("int"))
+    path = F.concat(F.lit("file:/logs/u"), F.col("user_id").cast("string"), F.lit("/log%20"), F.floor(e / 16).cast("string"), F.lit("."), ext)
+    return events(spark, sf).select("event_id", path.alias("path"), F.lit(1).alias("length"))
+
+
+@query("discover_inputs", f"WITH {_LISTING} SELECT event_id, stem || '.' || ext AS name, {_KIND} AS kind FROM listing l")
+def discover_inputs_query(spark, sf):
+    return overlay_pairs(classify(_listing(spark, sf))).select("event_id", "name", "kind")
+
+
+@query(
+    "sidecar_join",
+    f"WITH {_LISTING} SELECT l.event_id, s.event_id IS NOT NULL AS has_cuts FROM listing l LEFT JOIN listing s ON s.ext = 'txt.cuts.json' AND l.ext = 'txt' AND s.user_id = l.user_id AND s.stem = l.stem WHERE l.ext <> 'txt.cuts.json'",
+)
+def sidecar_join(spark, sf):
+    return sidecars(classify(_listing(spark, sf))).select("event_id", F.col("cuts_path").isNotNull().alias("has_cuts"))
+
+
+# --- tables, documents, catalogue -----------------------------------------------------------
+
+
+@query("load_track", P + "SELECT track_id, seq, idx, ts, lat, lon, alt, speed_kmh, hdop FROM pts")
+def load_track_query(spark, sf):
+    path = scratch_path(spark, "saved")
+    save_track(row_index(track(spark, sf)), path)
+    return load_track(spark, path).select("track_id", "seq", "idx", "ts", "lat", "lon", "alt", "speed_kmh", "hdop")
+
+
+@query("save_track", SAT_SQL + "SELECT track_id, seq, ts, talker_id, x.prn AS prn, x.snr AS snr FROM (SELECT *, unnest(s) AS x FROM bursts)")
+def save_track_query(spark, sf):
+    """Nested satellite lists survive."""
+    path = scratch_path(spark, "saved")
+    save_track(bursts(spark, sf), path)
+    rows = load_track(spark, path).select("track_id", "seq", "ts", "talker_id", F.explode("gsv_satellites").alias("x"))
+    return rows.select("track_id", "seq", "ts", "talker_id", "x.prn", "x.snr")
+
+
+@query(
+    "read_ascii_grid",
+    L_SQL + "SELECT tile_id, r AS row_no, c AS col_no, elev FROM pixels",
+)
+def read_ascii_grid_query(spark, sf):
+    px, t = pixels(spark, sf), tiles(spark, sf)
+    rows = px.groupBy("tile_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce(F.col("elev"), F.lit(-9999.0)).cast("string").alias("v")))).alias("l"))
+    body = rows.select("tile_id", (F.col("row") + 10).alias("line_no"), F.array_join(F.col("l.v"), " ").alias("value"))
+    pairs = [("ncols", "n_cols"), ("nrows", "n_rows"), ("xllcorner", "left"), ("yllcorner", "bottom"), ("cellsize", "dx")]
+    head = F.array(*[F.concat(F.lit(f"{h} "), F.col(c).cast("string")) for h, c in pairs], F.lit("NODATA_value -9999"))
+    header = t.select("tile_id", F.posexplode(head).alias("line_no", "value"))
+    path = _write_logs(header.unionByName(body).withColumnRenamed("tile_id", "track_id"), spark, "grid")
+    _, back = read_ascii_grid(spark, path, glob=None)
+    return back.select(F.col("tile_id").cast("bigint").alias("tile_id"), F.col("row").alias("row_no"), F.col("col").alias("col_no"), "elev")
+
+
+@query(
+    "write_track_document",
+    D_SQL + """SELECT track_id, CAST(0 AS BIGINT) AS part, idx, round(lat, 7) AS lat, round(alt, 1) AS alt, round(speed_kmh, 2) AS speed_kmh, round(distance_m, 1) AS distance_m, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS timestamp_ms,
+  count(*) OVER (PARTITION BY track_id) AS n_points, round(alt - t, 1) AS above_terrain FROM (SELECT *, CASE WHEN seq % 9 <> 0 THEN 300 + hdop END AS t FROM speeds)""",
+)
+def write_track_document(spark, sf):
+    """The documents, read back as JSON."""
+    docs = track_documents(enrich_speed(_terrain_track(spark, sf)))
+    kind = "struct<meta:struct<n_points:bigint>,points:struct<lat:array<double>,alt:array<double>,speed_kmh:array<double>,distance_m:array<double>,timestamp_ms:array<bigint>,above_terrain:array<double>>>"
+    df = docs.withColumn("d", F.from_json("document", kind)).select("track_id", "part", "d.meta.n_points", "d.points.*")
+    names = ["lat", "alt", "speed_kmh", "distance_m", "timestamp_ms", "above_terrain"]
+    rows = df.select("track_id", "part", "n_points", F.posexplode(F.arrays_zip(*names)).alias("i", "p"))
+    return rows.select("track_id", "part", F.col("i").cast("bigint").alias("idx"), "n_points", "p.*")
+
+
+@query(
+    "write_catalogue",
+    SAT_SQL + """SELECT track_id, count(*) AS n_points, CASE WHEN track_id IN (SELECT track_id FROM aligned) THEN 'satellites.json' END AS satellites, 'charts.json' AS charts FROM points GROUP BY track_id""",
+)
+def write_catalogue(spark, sf):
+    df = points(spark, sf)
+    return catalogue(df, align_satellites(df, bursts(spark, sf)), None, 1).select("track_id", "n_points", "satellites", "charts")
+
+
+@query(
+    "export_tracks",
+    L_SQL + "SELECT track_id, string_agg(DISTINCT lod, ',' ORDER BY lod) AS levels FROM lods GROUP BY track_id",
+)
+def export_tracks(spark, sf):
+    """The whole export; the catalogue says which levels each track has."""
+    out = pipelines.export_tracks(row_index(track(spark, sf)), None, tiles(spark, sf), pixels(spark, sf), cell_deg=CELL)
+    return out.catalogue.select("track_id", F.array_join("dem_lods", ",").alias("levels"))

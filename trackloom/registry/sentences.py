@@ -379,7 +379,10 @@ done AS (SELECT *, CASE WHEN dt_s > 0 THEN {geodesic_sql('plat', 'plon', 'lat',
     )
 
 
-@query("process_nmea", _process_sql())
+SQL_PROCESS = _process_sql()
+
+
+@query("process_nmea", SQL_PROCESS)
 def process_nmea_query(spark, sf):
     _, track = process_nmea(_tokens(spark, sf))
     return track.select("track_id", "idx", _ntz("ts"), F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"),

@@ -280,14 +280,21 @@ def safe_cast(text, dtype: str, default=None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default).cast(dtype))
 
 
+def fixed(value, decimals: int) -> Column:
+    """Text with fixed decimals, rounded from the exact binary value, halves to even."""
+    pattern = "0." + "0" * decimals if decimals else "0"
+    return F.call_function("format_number", col(value).cast("double"), F.lit(pattern))
+
+
 def round_or_null(value, decimals: int) -> Column:
+    """Rounded as ``fixed`` rounds; NaN becomes NULL."""
     v = col(value).cast("double")
-    return F.round(F.when(~F.isnan(v), v), decimals)
+    return fixed(F.when(~F.isnan(v), v), decimals).cast("double")
 
 
 def format_number(value, decimals: int) -> Column:
     """Fixed decimals without trailing zeros: 7.0 -> 7, 7.50 -> 7.5."""
-    text = F.format_string(f"%.{decimals}f", col(value).cast("double"))
+    text = fixed(value, decimals)
     if decimals > 0:
         text = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
     return F.when(col(value).isNotNull(), F.when(text == "", F.lit("0")).otherwise(text))
@@ -300,7 +307,7 @@ def xml_escape(text) -> Column:
 
 
 def _shown(value, decimals: int, suffix: str) -> Column:
-    text = F.concat(F.format_string(f"%.{decimals}f", col(value).cast("double")), F.lit(suffix))
+    text = F.concat(fixed(value, decimals), F.lit(suffix))
     return F.when(col(value).isNotNull(), text).otherwise(F.lit("N/A"))
 
 

@@ -96,6 +96,20 @@ def exact_quantiles(
     )
 
 
+def exact_quantiles_of(
+    df: DataFrame, channels: dict[str, Column], probs: list[float], key: Keys = TRACK
+) -> DataFrame:
+    """``exact_quantiles`` of several values in one pass: one column per channel, a struct of ``q``, ``n``, ``lo``, ``hi``."""
+    chunk = [CHUNK] if CHUNK in df.columns else []
+    pairs = F.array(*[F.struct(F.lit(n).alias("channel"), v.cast("double").alias("v")) for n, v in channels.items()])
+    long = df.select(*key, *chunk, F.inline(pairs))
+    q = exact_quantiles(long, "v", probs, (*key, "channel"))
+    picked = [
+        F.max_by(F.struct("q", "n", "lo", "hi"), F.when(F.col("channel") == n, F.lit(1))).alias(n) for n in channels
+    ]
+    return q.groupBy(*key).agg(*picked)
+
+
 def _all_groups(df: DataFrame, per_group: DataFrame, key: Keys) -> DataFrame:
     return df.select(*key).distinct().join(per_group, list(key), "left")
 
@@ -105,11 +119,14 @@ def quantile_breaks(
 ) -> DataFrame:
     """``n + 1`` class limits, without repeats, rounded, padded with the last; zeros if fewer than two values."""
     q = exact_quantiles(df, value, even_probabilities(n), key, large)
-    limits = F.transform(F.array_distinct("q"), lambda b: F.round(b, 3))
+    return _all_groups(df, q, key).select(*key, breaks_of(F.col("q"), F.col("lo"), F.col("hi"), n).alias("breaks"))
+
+
+def breaks_of(q: Column, lo: Column, hi: Column, n: int) -> Column:
+    """Class limits from quantiles."""
+    limits = F.transform(F.array_distinct(q), lambda b: F.round(b, 3))
     padded = F.concat(limits, F.array_repeat(F.element_at(limits, -1), F.lit(n + 1) - F.size(limits)))
-    zeros = F.array_repeat(S.number(0), n + 1)
-    breaks = F.when(F.col("lo") < F.col("hi"), padded).otherwise(zeros)
-    return _all_groups(df, q, key).select(*key, breaks.alias("breaks"))
+    return F.when(lo < hi, padded).otherwise(F.array_repeat(S.number(0), n + 1))
 
 
 def quantile_boundaries(df: DataFrame, value: str, n: int = DEFAULT_CLASSES, key: Keys = TRACK) -> DataFrame:
@@ -216,8 +233,11 @@ def robust_scale(
     """98th percentile of the magnitudes; if that is 0 the largest; if there is none, 1."""
     size = df.withColumn("_abs", F.abs(F.col(value).cast("double")))
     q = exact_quantiles(size, "_abs", [p], key, large)
-    chosen = F.when(F.col("q")[0] > 0, F.col("q")[0]).when(F.col("hi") > 0, F.col("hi")).otherwise(S.number(1))
-    return _all_groups(df, q, key).select(*key, F.coalesce(chosen, S.number(1)).alias(name))
+    return _all_groups(df, q, key).select(*key, scale_of(F.col("q")[0], F.col("hi")).alias(name))
+
+
+def scale_of(percentile: Column, largest: Column) -> Column:
+    return F.when(percentile > 0, percentile).when(largest > 0, largest).otherwise(S.number(1))
 
 
 def pooled_scale(df: DataFrame, values: list[str], name: str = "scale", key: Keys = TRACK) -> DataFrame:

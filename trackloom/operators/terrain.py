@@ -163,11 +163,8 @@ def prune_tiles(bounds: DataFrame, tiles: DataFrame, cell_deg: float = 1.0) -> D
     )
 
 
-def clip_dem(bounds: DataFrame, tiles: DataFrame, pixels: DataFrame, cell_deg: float = 1.0) -> DataFrame:
-    """The pixels of each overlapping tile whose centre lies in the padded bounds.
-
-    Grids are keyed ``(track_id, tile_id)`` and renumbered from their first row and column.
-    """
+def clip_windows(bounds: DataFrame, tiles: DataFrame, cell_deg: float = 1.0) -> DataFrame:
+    """Per track and overlapping tile the rows and columns whose pixel centres lie in the padded bounds."""
     west, east = F.greatest("box_w", "left"), F.least("box_e", "right")
     south, north = F.greatest("box_s", "bottom"), F.least("box_n", "top")
     # a centre lies at origin + (i + 0.5) * step
@@ -179,21 +176,31 @@ def clip_dem(bounds: DataFrame, tiles: DataFrame, pixels: DataFrame, cell_deg: f
             "r1": F.least(F.col("n_rows") - 1, F.floor((F.col("top") - south) / F.col("dy") - S.number(0.5))),
         }
     )
-    windows = windows.where((F.col("c0") <= F.col("c1")) & (F.col("r0") <= F.col("r1"))).select(
-        "track_id", "tile_id", "priority", "left", "top", "dx", "dy", "c0", "c1", "r0", "r1"
+    windows = windows.where((F.col("c0") <= F.col("c1")) & (F.col("r0") <= F.col("r1")))
+    lat0, lat1 = pixel_centre("r0", "c0")[0], pixel_centre("r1", "c0")[0]
+    return windows.select(
+        "track_id", "tile_id", "priority", "left", "top", "dx", "dy", "c0", "c1", "r0", "r1",
+        (F.col("r1") - F.col("r0") + 1).cast("int").alias("n_rows"),
+        (F.col("c1") - F.col("c0") + 1).cast("int").alias("n_cols"),
+        ((lat0 + lat1) / 2).alias("mid_lat"),
     )
+
+
+def clip_pixels(windows: DataFrame, pixels: DataFrame) -> DataFrame:
+    """The pixels inside each window, renumbered from its first row and column."""
+    extra = [c for c in ("lod", "step_row", "step_col") if c in windows.columns]
     joined = pixels.select("tile_id", "row", "col", "elev").join(windows, "tile_id")
     lat, lon = pixel_centre("row", "col")
-    return joined.where(
-        F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    ).select(
+    inside = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
+    return joined.where(inside).select(
         "track_id",
         "tile_id",
+        *extra,
         "priority",
         (F.col("row") - F.col("r0")).cast("int").alias("row"),
         (F.col("col") - F.col("c0")).cast("int").alias("col"),
-        (F.col("r1") - F.col("r0") + 1).cast("int").alias("n_rows"),
-        (F.col("c1") - F.col("c0") + 1).cast("int").alias("n_cols"),
+        "n_rows",
+        "n_cols",
         "dx",
         "dy",
         lat.alias("lat"),
@@ -202,6 +209,11 @@ def clip_dem(bounds: DataFrame, tiles: DataFrame, pixels: DataFrame, cell_deg: f
     )
 
 
+def clip_dem(bounds: DataFrame, tiles: DataFrame, pixels: DataFrame, cell_deg: float = 1.0) -> DataFrame:
+    """The part of each overlapping tile around each track; grids are keyed ``(track_id, tile_id)``."""
+    return clip_pixels(clip_windows(bounds, tiles, cell_deg), pixels)
+
+
 def downsample_steps(n_rows, n_cols, dx, dy, ref_lat, target_m: float | None, max_px: int | None) -> tuple[Column, Column]:
     """(row step, column step): the coarser of the wanted pixel size and the axis limit, at least 1."""
     one = F.lit(1)
@@ -310,20 +322,12 @@ def mosaic_dem(pixels: DataFrame, tiles: DataFrame, key: Keys = ()) -> DataFrame
     )
 
 
-def dem_lods(clipped: DataFrame, levels=LODS, sigma: float = 1.0) -> DataFrame:
-    """Three detail levels per track: the clipped tile with the most pixels at that level, decimated and blurred."""
-    key = ["track_id", "tile_id"]
-    middle = clipped.groupBy(*key).agg(((F.min("lat") + F.max("lat")) / 2).alias("_mid_lat"))
+def lod_windows(windows: DataFrame, levels=LODS) -> DataFrame:
+    """Per track and level the window with the most pixels after decimation, with its steps."""
     table = F.array(
         *[F.struct(F.lit(i).alias("lod"), S.number(m).alias("m"), F.lit(px).alias("px")) for i, m, px in levels]
     )
-    sized = (
-        clipped.select(*key, "priority", "n_rows", "n_cols", "dx", "dy")
-        .distinct()
-        .join(middle, key)
-        .withColumn("l", F.explode(table))
-        .select("*", "l.lod", "l.m", "l.px")
-    )
+    sized = windows.select("*", F.inline(table))
     k = S.number(S.METRES_PER_DEGREE)
 
     def step(n: str, size: Column) -> Column:
@@ -334,13 +338,20 @@ def dem_lods(clipped: DataFrame, levels=LODS, sigma: float = 1.0) -> DataFrame:
     sized = sized.withColumns(
         {
             "step_row": step("n_rows", F.col("dy") * k),
-            "step_col": step("n_cols", F.col("dx") * (k * F.cos(F.radians("_mid_lat")))),
+            "step_col": step("n_cols", F.col("dx") * (k * F.cos(F.radians("mid_lat")))),
         }
     )
     count = F.ceil(F.col("n_rows") / F.col("step_row")) * F.ceil(F.col("n_cols") / F.col("step_col"))
-    best = largest_tile(sized.withColumn("n_pixels", count)).select("track_id", "tile_id", "lod", "step_row", "step_col")
-    picked = clipped.join(best, key)
-    thin = decimate_dem(picked, F.col("step_row"), F.col("step_col"))
+    return largest_tile(sized.withColumn("n_pixels", count))
+
+
+def dem_lods(windows: DataFrame, pixels: DataFrame, levels=LODS, sigma: float = 1.0) -> DataFrame:
+    """Three detail levels per track: the largest clipped tile of each level, decimated and blurred.
+
+    The choice needs the windows only, so pixels are read once and only for the chosen tiles.
+    """
+    grid = clip_pixels(lod_windows(windows, levels), pixels)
+    thin = decimate_dem(grid, F.col("step_row"), F.col("step_col")).drop("step_row", "step_col")
     return smooth_dem(thin, sigma, ("track_id", "tile_id", "lod"))
 
 

@@ -22,7 +22,7 @@ from trackloom.operators.nmea import (
 from trackloom.operators.quantiles import class_by_boundaries, global_boundaries
 from trackloom.operators.satellites import align_satellites
 from trackloom.operators.summary import comparison_bounds, reference_point, track_bounds
-from trackloom.operators.terrain import above_neutral, clip_dem, dem_lods, enrich_terrain
+from trackloom.operators.terrain import above_neutral, clip_windows, dem_lods, enrich_terrain
 from trackloom.plans.session import settle
 from trackloom.plans.skew import attach_track, split_hot_tracks
 from trackloom.sinks.catalogue import catalogue, save_track
@@ -62,7 +62,7 @@ def process_points(points: DataFrame) -> DataFrame:
 
 @dataclass
 class Export:
-    """The outputs of one export, each a DataFrame that nothing has computed yet."""
+    """The outputs of one export, each a lazy DataFrame over intermediate tables that are written once."""
 
     points: DataFrame
     documents: DataFrame
@@ -87,11 +87,11 @@ def export_tracks(
     lods = None
     if tiles is not None and pixels is not None:
         bounds = track_bounds(points)
-        points = above_neutral(enrich_terrain(points, tiles, pixels, 0.0, cell_deg))
-        lods = dem_lods(clip_dem(bounds, tiles, pixels, cell_deg))
+        points = settle(above_neutral(enrich_terrain(points, tiles, pixels, 0.0, cell_deg)), "points")
+        lods = settle(dem_lods(clip_windows(bounds, tiles, cell_deg), pixels), "lods")
     aligned = None
     if schema_a is not None:
-        aligned = align_satellites(points, schema_a.where(F.col("sentence_type") == "GSV"))
+        aligned = settle(align_satellites(points, schema_a.where(F.col("sentence_type") == "GSV")), "aligned")
     return Export(
         points=points,
         documents=track_documents(points, derivations, source_type),

@@ -461,8 +461,8 @@ def read_ascii_grid_query(spark, sf):
 
 @query(
     "write_track_document",
-    D_SQL + """SELECT track_id, CAST(0 AS BIGINT) AS part, idx, round(lat, 7) AS lat, round(alt, 1) AS alt, round(speed_kmh, 2) AS speed_kmh, round(distance_m, 1) AS distance_m, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS timestamp_ms,
-  count(*) OVER (PARTITION BY track_id) AS n_points, round(alt - t, 1) AS above_terrain FROM (SELECT *, CASE WHEN seq % 9 <> 0 THEN 300 + hdop END AS t FROM speeds)""",
+    D_SQL + """SELECT track_id, CAST(0 AS BIGINT) AS part, idx, CAST(printf('%.7f', lat) AS DOUBLE) AS lat, CAST(printf('%.1f', alt) AS DOUBLE) AS alt, CAST(printf('%.2f', speed_kmh) AS DOUBLE) AS speed_kmh, CAST(printf('%.1f', distance_m) AS DOUBLE) AS distance_m, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS timestamp_ms,
+  count(*) OVER (PARTITION BY track_id) AS n_points, CAST(printf('%.1f', alt - t) AS DOUBLE) AS above_terrain FROM (SELECT *, CASE WHEN seq % 9 <> 0 THEN 300 + hdop END AS t FROM speeds)""",
 )
 def write_track_document(spark, sf):
     """The documents, read back as JSON."""

@@ -134,10 +134,18 @@ clip AS (SELECT track_id, tile_id, priority, CAST(r - r0 AS INT) AS r, CAST(c -
 C_SQL = with_(Q_TRACK, Q_TILES, Q_PIXELS, Q_BOX, Q_CLIP)
 
 
+def _windows(spark, sf) -> DataFrame:
+    return terrain.clip_windows(summary.track_bounds(track(spark, sf)), tiles(spark, sf), CELL)
+
+
 def _clipped(spark, sf) -> DataFrame:
     return terrain.clip_dem(summary.track_bounds(track(spark, sf)), tiles(spark, sf), pixels(spark, sf), CELL)
 
 
+def _lods(spark, sf) -> DataFrame:
+    return terrain.dem_lods(_windows(spark, sf), pixels(spark, sf))
+
+
 @query("prune_tiles", with_(Q_TRACK, Q_TILES, Q_BOX) + "SELECT track_id, tile_id FROM pruned")
 def prune_tiles(spark, sf):
     return terrain.prune_tiles(summary.track_bounds(track(spark, sf)), tiles(spark, sf), CELL).select("track_id", "tile_id")
@@ -219,13 +227,13 @@ L_SQL = with_(Q_TRACK, Q_TILES, Q_PIXELS, Q_BOX, Q_CLIP, Q_LODS)
 
 @query("dem_lods", L_SQL + "SELECT track_id, tile_id, lod, r AS row_no, c AS col_no, round(elev, 6) AS elev FROM lods")
 def dem_lods(spark, sf):
-    df = terrain.dem_lods(_clipped(spark, sf))
+    df = _lods(spark, sf)
     return df.select("track_id", "tile_id", "lod", F.col("row").alias("row_no"), F.col("col").alias("col_no"), F.round("elev", 6).alias("elev"))
 
 
 @query("largest_tile", with_(Q_TRACK, Q_TILES, Q_PIXELS, Q_BOX, Q_CLIP, Q_LODS) + "SELECT track_id, lod, tile_id FROM lod_best WHERE lod = 0")
 def largest_tile(spark, sf):
-    sized = _clipped(spark, sf).select("track_id", "tile_id", "priority", (F.col("n_rows") * F.col("n_cols")).alias("n_pixels")).distinct()
+    sized = _windows(spark, sf).select("track_id", "tile_id", "priority", (F.col("n_rows") * F.col("n_cols")).alias("n_pixels"))
     return terrain.largest_tile(sized.withColumn("lod", F.lit(0))).select("track_id", "lod", "tile_id")
 
 
@@ -252,7 +260,7 @@ def reduce_to_budget(spark, sf):
 def write_dem_level(spark, sf):
     """The documents, read back as JSON and summed up."""
     bounds = summary.track_bounds(track(spark, sf))
-    docs = dem_documents(terrain.dem_lods(_clipped(spark, sf)), bounds)
+    docs = dem_documents(_lods(spark, sf), bounds)
     kind = "struct<lod:int,grid:struct<n_rows:bigint,n_cols:bigint,elevations:array<double>>>"
     df = docs.withColumn("d", F.from_json("document", kind)).withColumn("e", F.filter("d.grid.elevations", lambda x: x.isNotNull()))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)

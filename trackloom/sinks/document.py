@@ -14,13 +14,17 @@ from trackloom.functions import scalar as S
 from trackloom.operators.kinematics import decompose_acceleration, energy_profile
 from trackloom.operators.quantiles import (
     DEFAULT_CLASSES,
+    breaks_of,
+    class_of,
+    even_probabilities,
+    exact_quantiles_of,
     pooled_scale,
-    quantile_breaks,
-    quantile_class,
-    robust_scale,
+    scale_of,
 )
 from trackloom.operators.satellites import burst_index, burst_lookup
-from trackloom.operators.summary import track_mode, track_summary
+from trackloom.operators.summary import FLIGHT_MEDIAN_AGL_M, track_summary
+from trackloom.plans.session import settle
+from trackloom.plans.skew import attach_track
 
 PART_POINTS = 100_000
 
@@ -57,6 +61,7 @@ BREAK_COLUMNS = {
     "energy_height_m": "energy_height_m",
     "hdop": "hdop",
 }
+VECTORS = ["accel_long_mps2", "accel_lateral_mps2", "accel_vertical_mps2"]
 _OPTIONAL = {
     "terrain_elev": "double",
     "speed_kmh": "double",
@@ -83,16 +88,49 @@ def with_export_columns(points: DataFrame) -> DataFrame:
         }
     )
     order = ("idx",)
-    df = decompose_acceleration(energy_profile(df, order=order), smooth_window=3, order=order)
-    df = quantile_class(df, "speed_kmh", "speed_q_idx")
-    return quantile_class(df, "alt", "alt_q_idx")
+    return decompose_acceleration(energy_profile(df, order=order), smooth_window=3, order=order)
 
 
-def track_metadata(df: DataFrame, n: int = DEFAULT_CLASSES) -> DataFrame:
+def track_quantiles(df: DataFrame, n: int = DEFAULT_CLASSES) -> DataFrame:
+    """Quantiles of every shown value and of the magnitudes behind the scales, one row per track."""
+    shown = {f"q_{name}": F.col(c) for name, c in BREAK_COLUMNS.items()}
+    q = exact_quantiles_of(df, shown, [*even_probabilities(n), 0.5])
+    sizes = {"s_accel": F.abs("accel_mps2"), "s_energy": F.abs("energy_rate_mps")}
+    scales = exact_quantiles_of(df, sizes, [0.98])
+    return q.join(scales, "track_id", "full").join(pooled_scale(df, VECTORS, "s_gvec"), "track_id", "full")
+
+
+def with_classes(df: DataFrame, quantiles: DataFrame, n: int = DEFAULT_CLASSES) -> DataFrame:
+    """Add the speed and altitude classes."""
+
+    def classed(name: str, value: str) -> Column:
+        q = F.col(f"q_{name}")
+        bins = F.array_distinct(F.slice(q["q"], 1, n + 1))
+        return F.when(F.coalesce(q["lo"] < q["hi"], F.lit(False)), class_of(F.col(value), bins)).otherwise(F.lit(0))
+
+    joined = attach_track(df, quantiles.select("track_id", "q_speed_kmh", "q_altitude_m"))
+    return joined.withColumns(
+        {"speed_q_idx": classed("speed_kmh", "speed_kmh"), "alt_q_idx": classed("altitude_m", "alt")}
+    ).drop("q_speed_kmh", "q_altitude_m")
+
+
+def track_metadata(df: DataFrame, quantiles: DataFrame, n: int = DEFAULT_CLASSES) -> DataFrame:
     """One row per track with the ``meta``, ``quantile_breaks`` and ``scales`` structs."""
-    meta = track_summary(df).join(track_mode(df), "track_id")
+    median = F.col("q_altitude_gnd_m.q")[n + 1]
+    mode = F.when(median > FLIGHT_MEDIAN_AGL_M, "flight").otherwise("ground")
+    meta = track_summary(df).join(quantiles, "track_id", "left").withColumn("track_mode", mode)
     bounds = F.struct(*[F.round(c, 6).alias(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")])
-    out = meta.select(
+    breaks = [
+        breaks_of(
+            F.slice(F.col(f"q_{name}.q"), 1, n + 1), F.col(f"q_{name}.lo"), F.col(f"q_{name}.hi"), n
+        ).alias(name)
+        for name in BREAK_COLUMNS
+    ]
+
+    def scale(name: str) -> Column:
+        return scale_of(F.col(f"{name}.q")[0], F.col(f"{name}.hi"))
+
+    return meta.select(
         "track_id",
         F.struct(
             F.col("track_id").alias("name"),
@@ -105,24 +143,11 @@ def track_metadata(df: DataFrame, n: int = DEFAULT_CLASSES) -> DataFrame:
             "track_mode",
             "has_terrain",
         ).alias("meta"),
-    )
-    for name, column in BREAK_COLUMNS.items():
-        out = out.join(quantile_breaks(df, column, n).withColumnRenamed("breaks", f"_b_{name}"), "track_id")
-    vectors = ["accel_long_mps2", "accel_lateral_mps2", "accel_vertical_mps2"]
-    out = (
-        out.join(robust_scale(df, "accel_mps2", "_s_accel"), "track_id")
-        .join(robust_scale(df, "energy_rate_mps", "_s_energy"), "track_id")
-        .join(pooled_scale(df, vectors, "_s_gvec"), "track_id")
-    )
-    breaks = [F.col(f"_b_{name}").alias(name) for name in BREAK_COLUMNS]
-    return out.select(
-        "track_id",
-        "meta",
         F.struct(*breaks, F.lit(n).alias("n_quantiles")).alias("quantile_breaks"),
         F.struct(
-            F.round("_s_accel", 4).alias("accel_mps2"),
-            F.round("_s_energy", 4).alias("energy_rate_mps"),
-            F.round("_s_gvec", 4).alias("gvec_mps2"),
+            F.round(scale("s_accel"), 4).alias("accel_mps2"),
+            F.round(scale("s_energy"), 4).alias("energy_rate_mps"),
+            F.round(F.coalesce("s_gvec", S.number(1)), 4).alias("gvec_mps2"),
         ).alias("scales"),
     )
 
@@ -153,9 +178,13 @@ def point_arrays(df: DataFrame) -> DataFrame:
 
 
 def track_documents(points: DataFrame, derivations: DataFrame | None = None, source_type: str = "nmea") -> DataFrame:
-    """``(track_id, part, document)`` with one JSON text per part of a track."""
-    df = with_export_columns(points)
-    meta = track_metadata(df)
+    """``(track_id, part, document)`` with one JSON text per part of a track.
+
+    The derived columns are written once; quantiles, summary and arrays read what they need from there.
+    """
+    df = settle(with_export_columns(points), "export")
+    quantiles = settle(track_quantiles(df), "quantiles")
+    meta = track_metadata(df, quantiles)
     derived = F.lit(None).cast("string")
     if derivations is not None:
         packed = derivations.select(
@@ -166,7 +195,7 @@ def track_documents(points: DataFrame, derivations: DataFrame | None = None, sou
     meta = meta.withColumn(
         "meta", F.struct("meta.*", F.lit(source_type).alias("source_type"), derived.alias("derivation"))
     )
-    parts = point_arrays(df)
+    parts = point_arrays(with_classes(df, quantiles))
     body = F.struct("meta", "quantile_breaks", "scales", "points")
     return parts.join(meta, "track_id").select(
         "track_id", "part", F.to_json(body, {"ignoreNullFields": "false"}).alias("document")

@@ -17,6 +17,7 @@ from trackloom.plans.session import settle
 
 CHUNK = "chunk"
 TARGET_ROWS = 500_000
+TARGET_ROWS_CONF = "trackloom.targetRows"
 BROADCAST_ROWS = 1_000_000
 _SUB_SPLITS = 1 << 20
 _BEFORE_ALL = -(1 << 62)
@@ -24,6 +25,11 @@ _BEFORE_ALL = -(1 << 62)
 Keys = list[str] | tuple[str, ...]
 
 
+def target_rows_of(df: DataFrame) -> int:
+    """Rows that one task may hold of one key: the session's ``trackloom.targetRows``, else 500 000."""
+    return int(df.sparkSession.conf.get(TARGET_ROWS_CONF, str(TARGET_ROWS)))
+
+
 def position(df: DataFrame, order: str) -> Column:
     """Order column as a BIGINT: microseconds for timestamps, the value itself for integers."""
     kind = df.schema[order].dataType
@@ -36,7 +42,7 @@ def split_hot_tracks(
     df: DataFrame,
     key: Keys = ("track_id",),
     order: str = "ts",
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
     cell: int | None = None,
 ) -> DataFrame:
     """Add ``chunk`` if some track has more than ``target_rows`` rows, else return ``df`` unchanged.
@@ -49,6 +55,7 @@ def split_hot_tracks(
     key = list(key)
     if CHUNK in df.columns:
         return df
+    target_rows = target_rows or target_rows_of(df)
     if cell is None:
         is_time = isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType))
         cell = 3_600_000_000 if is_time else 65_536
@@ -112,7 +119,7 @@ def skew_join(
     right: DataFrame,
     keys: Keys,
     how: str = "left",
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
     within_track: bool = False,
 ) -> DataFrame:
     """Equi-join in which a key with more than ``target_rows`` left rows is salted.
@@ -124,6 +131,7 @@ def skew_join(
     keys = list(keys)
     if within_track and CHUNK not in left.columns:
         return left.join(right, keys, how)
+    target_rows = target_rows or target_rows_of(left)
     hot = (
         left.groupBy(*keys)
         .count()

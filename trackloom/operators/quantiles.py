@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as S
 from trackloom.plans.sequence import TRACK
+from trackloom.plans.session import settle
 from trackloom.plans.skew import CHUNK, Keys, attach_track, skew_join
 
 DEFAULT_CLASSES = 5
@@ -44,7 +45,8 @@ def _with_cells(data: DataFrame, key: Keys) -> tuple[DataFrame, DataFrame]:
 
 def _quantiles_by_counting(df: DataFrame, value: str, probs: list[float], key: Keys) -> DataFrame:
     key = list(key)
-    placed, sizes = _with_cells(_known(df, value, key), key)
+    # the narrow value table is read several times, so it is written once
+    placed, sizes = _with_cells(settle(_known(df, value, key), "values"), key)
     by_cell = Window.partitionBy(*key).orderBy("_cell")
     cells = placed.groupBy(*key, "_cell").agg(F.count(F.lit(1)).alias("_c"))
     cells = cells.withColumn("_upto", F.sum("_c").over(by_cell)).withColumn("_from", F.col("_upto") - F.col("_c"))
@@ -207,7 +209,7 @@ def rank_position(df: DataFrame, value: str, name: str = "rank_pos", key: Keys =
         ties = F.count(F.lit(1)).over(Window.partitionBy(*key, known, F.col(value)))
         place = (F.rank().over(order) - 1 + (ties - 1) / 2) / (n - 1)
         return df.withColumn(name, F.when(known & (n <= 1), S.number(0.5)).when(known, place))
-    placed, _ = _with_cells(_known(df, value, key), key)
+    placed, _ = _with_cells(settle(_known(df, value, key), "values"), key)
     per_chunk = placed.groupBy(*key, CHUNK, "_cell", "_v", "_n").agg(F.count(F.lit(1)).alias("_m"))
     per_value = per_chunk.groupBy(*key, "_cell", "_v", "_n").agg(F.sum("_m").alias("_m"))
     sizes = placed.groupBy(*key, "_cell").agg(F.count(F.lit(1)).alias("_c"))

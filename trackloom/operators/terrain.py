@@ -249,30 +249,30 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _blur_line(values: Column, sigma: float) -> Column:
-    """A line of values blurred, mirrored at its ends with the end value repeated."""
+def _blur_axis(df: DataFrame, grid: list[str], across: str, along: str, value: str, sigma: float, rest: list[str]) -> DataFrame:
+    """Blur every line of the grids; lines are mirrored at their ends with the end value repeated."""
     weights = gaussian_weights(sigma)
     radius = len(weights) // 2
-    n = F.size(values)
-    kernel = F.array(*[F.struct(F.lit(k - radius).alias("k"), S.number(w).alias("w")) for k, w in enumerate(weights)])
+    # one line of a raster, a few thousand values at most
+    lines = df.groupBy(*grid, across).agg(F.array_sort(F.collect_list(F.struct(along, value, *rest))).alias("_line"))
+    n = F.size("_line")
 
-    def source(i: Column) -> Column:
+    def mirrored(i: Column) -> Column:
         p = F.pmod(i, n * 2)
         return F.when(p < n, p).otherwise(n * 2 - 1 - p)
 
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.aggregate(kernel, S.number(0), lambda a, t: a + t["w"] * F.get(values, source(i + t["k"]))),
+    lines = lines.withColumn("_values", F.col("_line").getField(value)).withColumn(
+        "_padded", F.transform(F.sequence(F.lit(-radius), n + radius - 1), lambda i: F.get("_values", mirrored(i)))
     )
 
+    def blurred(i: Column) -> Column:
+        total = S.number(0)
+        for k, w in enumerate(weights):
+            total = total + S.number(w) * F.get("_padded", i + k)
+        return total
 
-def _blur_axis(df: DataFrame, grid: list[str], across: str, along: str, value: str, sigma: float, rest: list[str]) -> DataFrame:
-    # one line of a raster, a few thousand values at most
-    lines = df.groupBy(*grid, across).agg(
-        F.array_sort(F.collect_list(F.struct(along, value, *rest))).alias("_line")
-    )
-    blurred = lines.withColumn("_b", _blur_line(F.transform("_line", lambda p: p[value]), sigma))
-    return blurred.select(
+    lines = lines.withColumn("_b", F.transform(F.sequence(F.lit(0), n - 1), blurred))
+    return lines.select(
         *grid, across, F.explode(F.arrays_zip(F.col("_line").alias("p"), F.col("_b").alias("b"))).alias("z")
     ).select(
         *grid, across, F.col("z.p")[along].alias(along), F.col("z.b").alias(value), *[F.col("z.p")[c].alias(c) for c in rest]

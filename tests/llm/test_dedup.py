@@ -216,7 +216,7 @@ def lines_brute(rows, tau=2, min_chars=20, near_chars=40):
     for doc_id, text, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         gone = []
         lines = (text or "").split("\n")
-        for pos, line in enumerate(x.strip(" \t\r") for x in lines):
+        for pos, line in enumerate(x.strip(" ") for x in lines):
             if len(line) < min_chars:
                 continue
             near = [s for s in seen if s == line or len(s) >= near_chars and len(line) >= near_chars and abs(len(s) - len(line)) <= tau and edits(s, line) <= tau]

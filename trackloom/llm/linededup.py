@@ -2,14 +2,15 @@
 
 Equal lines meet by a 128-bit hash, combined before the shuffle. Lines within ``tau`` edits are found as in a
 segment-partition join: a line is cut into tau + 1 even segments; if two lines are within tau edits, the longer one holds
-some segment of the shorter unchanged, at a place that their lengths confine to a few. So the segments of every distinct
-line are indexed under (length, number, content), every distinct line probes those places for each length from its
-own down to tau less, and candidates are verified by a banded bit-parallel automaton.
+some segment of the shorter unchanged, at a place that their lengths confine to a few. So every distinct line is dealt
+under hashes of (length, number, content) of its own segments, which index it, and of the substrings by which it may find
+lines of its own length down to tau less. Only keys under which different lines meet go on; there, pairs are first told
+apart by a signature of their character pairs, and then verified by a banded bit-parallel automaton.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.plans.session import settle
@@ -26,29 +27,35 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return (base * i + longer + 1).cast("int"), (base + (F.lit(i) >= F.lit(parts) - rest).cast("int")).cast("int")
 
 
-def index_keys(line: Column, length: Column, tau: int) -> Column:
-    """Array of the hashed keys under which a line is indexed."""
-    keys = []
-    for i in range(tau + 1):
-        start, size = _segment(length, i, tau + 1)
-        keys.append(F.xxhash64(length, F.lit(i), F.substr(line, start, size)))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, length: Column, tau: int) -> Column:
-    """Array of the hashed keys under which lines of the same or a smaller length within ``tau`` edits may be found.
+def segment_keys(line: Column, length: Column, tau: int) -> Column:
+    """Array of hashed keys: the tau + 1 under which a line is indexed, which also find lines of its length, then the others
+    under which lines of the same or a smaller length within ``tau`` edits may be found.
 
     Before segment i (from 0) at most i edits can have happened and after it at most tau - i; the difference of the
     lengths ties both together. Only shifts that satisfy both bounds are probed.
     """
-    keys = []
+    own, others = [], []
+    plain, octets = F.octet_length(line) == F.length(line), line.cast("binary")
+
+    def part(start: Column, size: Column) -> Column:
+        # characters of a text are found by counting, bytes at once; the hash is of the same bytes
+        return F.when(plain, F.substr(octets, start, size)).otherwise(F.substr(line, start, size).cast("binary"))
+
     for shorter in range(tau + 1):
         other = (length - shorter).cast("int")
         for i in range(tau + 1):
             start, size = _segment(other, i, tau + 1)
             for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
-                keys.append(F.xxhash64(other, F.lit(i), F.substr(line, (start + shift).cast("int"), size)))
-    return F.array(*keys)
+                key = F.xxhash64(other, F.lit(i), part((start + shift).cast("int"), size))
+                (others if shorter or shift else own).append(key)
+    return F.array(*own, *others)
+
+
+def signature(line: Column) -> Column:
+    """64 bits, each the parity of how many neighbouring pairs of characters fall to it; an edit changes at most 4 of them."""
+    pairs = F.regexp_extract_all(line, F.lit("(?s)(?=(..))"), F.lit(1))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(p), F.lit(64)))
+    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda bits, p: bits.bitwiseXOR(bit(p)))
 
 
 def characters(text: Column) -> Column:
@@ -86,11 +93,11 @@ def within_edits(a: Column, b: Column, tau: int) -> Column:
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(doc_id, pos, line, h1, h2): the trimmed lines of at least ``min_chars`` characters of rows that have an id."""
+    """(doc_id, pos, line, h1, h2): the lines, without spaces around them, of at least ``min_chars`` characters of rows that have an id."""
     rows = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line")
     )
-    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where(F.length("line") >= min_chars)
+    rows = rows.withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
@@ -108,35 +115,43 @@ def first_lines(lines: DataFrame) -> DataFrame:
     return first.select("h1", "h2", doc.cast("bigint").alias("doc_id"), pos.cast("int").alias("pos"), "rows")
 
 
-def near_candidates(lines: DataFrame, tau: int) -> DataFrame:
-    """Pairs (a, b), a < b, of the h1 of distinct lines that share a probed segment; each pair once."""
-    distinct = lines.select("line").distinct()
-    size = F.length("line").cast("int")
-    sides = [
-        distinct.select(F.xxhash64("line").alias("id"), F.explode_outer(keys(F.col("line"), size, tau)).alias("key"))
-        for keys in (index_keys, probe_keys)
-    ]
-    met = sides[0].withColumnRenamed("id", "x").join(sides[1].withColumnRenamed("id", "y"), "key").where("x <> y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def segment_meetings(lines: DataFrame, tau: int) -> DataFrame:
+    """(key, h1, indexed) of distinct lines, for the keys under which lines of different h1 meet; one shuffle of keys.
+
+    h1 without its lowest bit and whether the line is indexed there travel as one number. The smallest and the largest h1 of a
+    key tell whether lines differ; rows of a key are streamed for it, and spill if they are many.
+    """
+    lines = lines.select("line").distinct().select("line", F.xxhash64("line").bitwiseAND(F.lit(-2)).alias("h1"))
+    keys = segment_keys(F.col("line"), F.length("line").cast("int"), tau)
+    dealt = lines.select("h1", F.posexplode_outer(keys).alias("i", "key"))
+    dealt = dealt.select("key", F.col("h1").bitwiseOR((F.col("i") <= tau).cast("bigint")).alias("v"))
+    own = F.shiftright("v", 1)
+    of_key = Window.partitionBy("key")
+    met = dealt.withColumns({"low": F.min(own).over(of_key), "high": F.max(own).over(of_key)}).where("low <> high")
+    return met.select("key", F.col("v").bitwiseAND(F.lit(-2)).alias("h1"), (F.col("v").bitwiseAND(F.lit(1)) == 1).alias("indexed"))
 
 
 def near_repeats(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
     """(doc_id, pos) of first occurrences that are within ``tau`` edits of a line that occurs earlier."""
-    pairs = settle(near_candidates(lines, tau), "line-pairs")
-    ids = settle(pairs.select(F.explode_outer(F.array("a", "b")).alias("h1")).distinct(), "line-ids")
+    met = settle(segment_meetings(lines, tau), "segment-meetings")
+    ids = settle(met.select("h1").distinct(), "line-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = lines.join(wanted, "h1", "left_semi").select("h1", "h2", "line").distinct()
+    texts = lines.withColumn("_h1", F.col("h1")).withColumn("h1", F.col("h1").bitwiseAND(F.lit(-2)))
+    texts = texts.join(wanted, "h1", "left_semi").select("h1", F.col("_h1"), "h2", "line").distinct()
     # the characters are written, as the loop over them would otherwise split the text again at every step
-    texts = texts.withColumn("chars", characters(F.col("line"))).drop("line")
-    texts = settle(texts.join(first.select("h1", "h2", "doc_id", "pos"), ["h1", "h2"]), "line-texts")
-
-    def end(name: str) -> DataFrame:
-        return texts.select(F.col("h1").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("chars", "doc_id", "pos")])
-
-    both = pairs.join(end("a"), "a").join(end("b"), "b")
-    place = {x: F.struct(F.col(f"{x}_doc_id").alias("doc_id"), F.col(f"{x}_pos").alias("pos")) for x in "ab"}
-    close = both.where(within_edits(F.col("a_chars"), F.col("b_chars"), tau))
-    return close.select(F.greatest(place["a"], place["b"]).alias("p")).select("p.doc_id", "p.pos").distinct()
+    texts = texts.select("h1", "_h1", "h2", characters(F.col("line")).alias("chars"), signature(F.col("line")).alias("sig"))
+    places = first.select(F.col("h1").alias("_h1"), "h2", F.struct("doc_id", "pos").alias("place"))
+    texts = settle(texts.join(places, ["_h1", "h2"]), "line-texts")
+    known = met.join(texts.select("h1", "sig", "place", F.size("chars").alias("size")), "h1")
+    sides = [known.select("key", "indexed", *[F.col(c).alias(f"{x}_{c}") for c in ("sig", "place", "size")]) for x in "ab"]
+    near = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) <= 4 * tau
+    near &= F.abs(F.col("a_size") - F.col("b_size")) <= tau
+    pairs = sides[0].where("indexed").drop("indexed").join(sides[1].drop("indexed"), "key")
+    pairs = pairs.where((F.col("a_place") != F.col("b_place")) & near)
+    pairs = pairs.select(F.least("a_place", "b_place").alias("a"), F.greatest("a_place", "b_place").alias("b")).distinct()
+    ends = [texts.select(F.col("place").alias(x), F.col("chars").alias(f"{x}_chars")) for x in "ab"]
+    both = pairs.join(ends[0], "a").join(ends[1], "b")
+    return both.where(within_edits(F.col("a_chars"), F.col("b_chars"), tau)).select("b.doc_id", "b.pos").distinct()
 
 
 def kept_lines(
@@ -156,7 +171,7 @@ def kept_lines(
 
 def _long(lines: str, min_chars: int) -> Column:
     """The numbers of the lines that are long enough to be compared."""
-    number = F.transform(lines, lambda x, i: F.when(F.length(F.btrim(x, F.lit(" \t\r"))) >= min_chars, i))
+    number = F.transform(lines, lambda x, i: F.when(F.length(F.trim(x)) >= min_chars, i))
     return F.filter(number, lambda i: i.isNotNull())
 
 

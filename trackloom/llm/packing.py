@@ -9,7 +9,7 @@ all pieces of a length.
 
 from __future__ import annotations
 
-import re
+import gc
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -31,18 +31,23 @@ CAPACITY = 2048
 #: Most bytes that the vocabulary may have, as it is sent to every worker.
 VOCABULARY_BYTES = 64 << 20
 #: Words that a worker remembers the ids of, and the longest that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
-# The characters that \s matches, and control characters that some engines take for white space.
-_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_DOUBTFUL = "\x1c\x1d\x1e\x1f\u180e"
-_WORD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 64
+# White space of which not all engines agree that it is, or that does not stand alone.
+_WILD = (
+    "  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007",
+    *"\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000",
+)
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Words that are encoded at once.
+_LINE = 200
 
 
 class WordTokenizer:
     """Ids of texts by the ``tokenizers`` library, a word with the white space before it at a time.
 
     Byte-level BPE splits a text before it merges, and never from other characters into white space; so the ids of a text
-    are those of such words in turn, and the ids of a word can be remembered.
+    are those of such words in turn, and the ids of a word can be remembered. New words are encoded many to a line: a line
+    feed between words that hold none is a token of its own, at which the ids are divided again.
     """
 
     def __init__(self, vocabulary: str):
@@ -51,21 +56,55 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.stops = dict(zip(".,", self._encoded([".", ","]), strict=True))
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Remembers the ids of words, which are without the one space before them unless they begin with a line feed.
+
+        A full stop or comma after a letter is split off a word before its merges, so such words are learned without it.
+        """
+        known = self.known
+        ended = [w for w in words if w[-1:] in self.stops and w[-2:-1] in _LETTERS]
+        if ended:
+            bare = {w[:-1] for w in ended}
+            words = [w for w in {*words, *bare}.difference(ended) if w not in known]
+        plain = [w for w in words if "\n" not in w and w] if self.feed is not None else []
+        rest = [w for w in words if "\n" in w or not w] if plain else words
+        known.update(zip(rest, self._encoded([w if w[:1] == "\n" else " " + w for w in rest]), strict=True))
+        lines = [plain[i : i + _LINE] for i in range(0, len(plain), _LINE)]
+        for line, ids in zip(lines, self._encoded([" " + "\n ".join(x) for x in lines]), strict=True):
+            ends = (np.flatnonzero(np.frombuffer(ids, "<u4") == self.feed) * 4).tolist()
+            known.update((w, ids[a:b]) for w, a, b in zip(line, [0, *[x + 4 for x in ends]], [*ends, len(ids)], strict=True))
+        known.update((w, known[w[:-1]] + self.stops[w[-1]]) for w in ended)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        words = [[t] if any(c in t for c in _DOUBTFUL) else _WORD.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for text in words for w in text if w not in known})
-        found = dict(zip(new, self._encoded(new), strict=True)) if new else {}
-        known.update((w, x) for w, x in found.items() if len(w) <= REMEMBERED_CHARS)
-        return [b"".join([known[w] if w in known else found[w] for w in text]) for text in words]
+        # words are divided at single spaces and line feeds; a text with other white space, or more of it, is one word
+        tame = [not any(x in t for x in _WILD) for t in texts]
+        words = [t.replace("\n", " \n").split(" ") if ok else None for t, ok in zip(texts, tame, strict=True)]
+        known, get = self.known, self.known.get
+        heads = self._encoded([text[0] if text else t for text, t in zip(words, texts, strict=True)])
+        # one look at the memory for each word; those that it does not have are learned together and put in place
+        found = [list(map(get, text[1:])) if text else [] for text in words]
+        gaps = [[i for i, x in enumerate(row) if x is None] if None in row else () for row in found]
+        new = {text[i + 1] for text, at in zip(words, gaps, strict=True) for i in at}
+        if new:
+            self._learn(list(new))
+        for text, row, at in zip(words, found, gaps, strict=True):
+            for i in at:
+                row[i] = known[text[i + 1]]
+        for w in new:
+            if len(w) > REMEMBERED_CHARS:
+                del known[w]
+        if len(known) > REMEMBERED:
+            self.known = {w: known[w] for text in words if text for w in text[1:] if w in known}
+        return [head + b"".join(row) for head, row in zip(heads, found, strict=True)]
 
 
 @lru_cache(2)
@@ -100,6 +139,7 @@ def token_pieces(
 
     def run(batches):
         tokenizer, seen, part = _tokenizer(sent.value), Counter(), TaskContext.get().partitionId()
+        gc.disable()  # millions of words that are in no cycle, and that the collector would walk again and again
         for batch in batches:
             for piece_batch, texts in pieces_of(batch, "text"):
                 rows = []
@@ -111,6 +151,7 @@ def token_pieces(
                         seen[length] += 1
                 columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        gc.enable()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kinds = {"doc_id": None, "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "part": pa.int32(), "rank": pa.int64()}

@@ -79,31 +79,36 @@ def choose_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         "messages",
     )
     most = base.groupBy("_k").count().agg(F.max("count")).first()[0] or 0
-    # sums of the messages from a node up to, but without, the one that ``up`` names
-    jumps, now = [], base.select("_k", "node", "up", "score", F.lit(1).cast("bigint").alias("steps"))
+    # sums of the messages from a node up to, but without, the one that ``up`` names; who has no such one is at the root
+    state = ["_k", "node", "up", "score", "steps"]
+    now = base.withColumn("steps", F.lit(1).cast("bigint")).select(state)
+    ended, jumps = now.where("up is null"), []
     while True:
-        jumps.append(now.select("_k", "node", "up"))
-        if (1 << (len(jumps) - 1)) >= most or now.where("up is not null").isEmpty():
+        going = now.where("up is not null")
+        if (1 << len(jumps)) > most or going.isEmpty():
             break
-        far = now.select("_k", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_s"), F.col("steps").alias("_n"))
+        jumps.append(going.select("_k", "node", "up"))
+        far = ended.unionByName(going).select(
+            "_k", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_s"), F.col("steps").alias("_n")
+        )
         now = settle(
-            now.join(far, ["_k", "up"], "left").select(
-                "_k", "node", F.col("_up").alias("up"),
-                (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"),
-                (F.col("steps") + F.coalesce("_n", F.lit(0))).alias("steps"),
+            going.join(far, ["_k", "up"]).select(
+                "_k", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_s")).alias("score"),
+                (F.col("steps") + F.col("_n")).alias("steps"),
             ),
             "jumps",
         )
+        ended = ended.unionByName(now.where("up is null"))
     answered = base.where("up is not null").select("_k", F.col("up").alias("node")).distinct()
-    leaves = now.where("up is null").join(answered, ["_k", "node"], "left_anti")
+    leaves = ended.join(answered, ["_k", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("score"), F.desc("steps"), "node"))
     if branches is not None:
         leaves = leaves.withColumn("_r", rank).where(F.col("_r") <= branches)
-    depth = now.where("up is null").select("_k", "node", (F.col("steps") - 1).alias("depth"))
+    depth = ended.select("_k", "node", (F.col("steps") - 1).alias("depth"))
     chosen = leaves.select("_k", F.col("node").alias("path"), "node")
     # from each message on a path also the ones 2^i above it, the longest jumps first
     for jump in reversed(jumps):
-        up = chosen.join(jump.where("up is not null"), ["_k", "node"]).select("_k", "path", F.col("up").alias("node"))
+        up = chosen.join(jump, ["_k", "node"]).select("_k", "path", F.col("up").alias("node"))
         chosen = settle(chosen.unionByName(up), "paths")
     names = base.select("_k", "tree", "node")
     return chosen.join(depth, ["_k", "node"]).join(names, ["_k", "node"]).select("tree", "path", "node", "depth")

@@ -145,7 +145,7 @@ def bm25(rows, queries_, k):
 @pytest.mark.parametrize("small", [False, True])
 def test_search_against_brute_force(docs, small, monkeypatch):
     if small:  # many shards and task groups
-        for name, value in (("SHARD_ROWS", 20), ("BLOCK", 4), ("TASK_BYTES", 3000), ("TASK_QUERIES", 5)):
+        for name, value in (("SHARD_ROWS", 20), ("SHARD_WORDS", 2000), ("BLOCK", 4), ("TASK_BYTES", 3000), ("TASK_QUERIES", 5)):
             monkeypatch.setattr(search, name, value)
     rng = random.Random(1)
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(3000)]

@@ -5,14 +5,16 @@ the largest term weight there. Weights need the mean length and idf of the whole
 first; so every shard gives the scores that one index of everything would give, and the k best of the union are exact.
 
 For a query, the lists of rare terms are added up row by row; the frequent ones, whose lists would be the cost, are
-bounded by block maxima. Blocks are finished in the order of their upper bounds until the next bound is below the k-th best
-score so far: a block that cannot hold a result is skipped with all its postings, as the pivot of WAND skips rows.
+bounded by block maxima. The blocks with the highest bounds are finished first; then a block is only finished for the
+queries whose k-th best score so far does not exceed its bound, and skipped with all its postings for the others, as the
+pivot of WAND skips rows. Queries are looked at together, so bounds and scores are products of small matrices.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -25,14 +27,16 @@ from trackloom.llm.common import pieces_of
 from trackloom.plans.session import settle
 
 K1, B = 1.2, 0.75
-#: Rows and postings at which a shard ends, rows of a block, bytes of index and number of queries that meet in a task.
-SHARD_ROWS, SHARD_POSTINGS, BLOCK, TASK_BYTES, TASK_QUERIES = 1 << 14, 1 << 22, 64, 32 << 20, 4096
+#: Rows and words at which a shard ends, rows of a block, bytes of index and number of queries that meet in a task.
+SHARD_ROWS, SHARD_WORDS, BLOCK, TASK_BYTES, TASK_QUERIES = 1 << 14, 1 << 22, 64, 32 << 20, 4096
+#: Blocks that a query looks at before the others, and queries that are looked at together.
+FIRST, TOGETHER = 2, 512
 #: A term is frequent in a shard if at least this share of its rows hold it.
 FREQUENT = 1 / 32
 #: Scores are compared after rounding to so many digits, so that the order of additions cannot decide a tie.
 DIGITS = 9
 _WORD = re.compile(r"\w+")
-INDEX = "shard bigint, n int, terms array<string>, df array<int>, rows binary, counts binary, lengths binary, ids binary, bytes bigint"
+INDEX = "shard bigint, n int, terms string, df binary, rows binary, counts binary, wide boolean, lengths binary, ids binary, bytes bigint"
 
 
 def terms_of(text: str) -> list[str]:
@@ -43,42 +47,47 @@ def terms_of(text: str) -> list[str]:
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per shard of INDEX; rows without an id are left out, null text is empty.
 
-    A task holds the postings of one shard, which SHARD_ROWS and SHARD_POSTINGS bound (and the length of its last text).
+    A task holds the postings of one shard, which SHARD_ROWS and SHARD_WORDS bound (and the length of its last text).
     """
 
-    def packed(shard: int, ids: list[int], lists: dict[str, list[int]], lengths: list[int]) -> dict:
-        names = sorted(lists)
-        flat = np.concatenate([np.array(lists[t], np.int32) for t in names]) if names else np.empty(0, np.int32)
-        rows, counts = flat[0::2].astype("<i4"), flat[1::2].astype("<i4")
+    def packed(shard: int, ids: list[int], numbers: dict[str, int], held: list[np.ndarray]) -> dict:
+        lengths = np.array([len(x) for x in held], np.int64)
+        names = sorted(numbers)
+        place = np.empty(len(names), np.int64)
+        place[np.array([numbers[t] for t in names], np.int64)] = np.arange(len(names))
+        # (term, row) as one number: sorting brings the occurrences of a posting together
+        pairs = place[np.concatenate(held)] * len(ids) + np.repeat(np.arange(len(ids)), lengths)
+        postings, counts = np.unique(pairs, return_counts=True)
+        df, wide = np.bincount(postings // len(ids), minlength=len(names)), bool(len(counts)) and counts.max() > 255
+        terms = "\n".join(names)
         return {
-            "shard": shard, "n": len(ids), "terms": names, "df": [len(lists[t]) // 2 for t in names], "rows": rows.tobytes(),
-            "counts": counts.tobytes(), "lengths": np.array(lengths, "<i4").tobytes(), "ids": np.array(ids, "<i8").tobytes(),
-            "bytes": 8 * len(rows) + 16 * len(names),
+            "shard": shard, "n": len(ids), "terms": terms, "df": df.astype("<i4").tobytes(),
+            "rows": (postings % len(ids)).astype("<u2").tobytes(), "counts": counts.astype("<u4" if wide else "u1").tobytes(),
+            "wide": wide, "lengths": lengths.astype("<i4").tobytes(), "ids": np.array(ids, "<i8").tobytes(),
+            "bytes": (6 if wide else 3) * len(postings) + 4 * len(names) + len(terms) + 12 * len(ids),
         }
 
     schema = pa.schema([
-        ("shard", pa.int64()), ("n", pa.int32()), ("terms", pa.list_(pa.string())), ("df", pa.list_(pa.int32())),
-        ("rows", pa.binary()), ("counts", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("bytes", pa.int64()),
+        ("shard", pa.int64()), ("n", pa.int32()), ("terms", pa.string()), ("df", pa.binary()),
+        ("rows", pa.binary()), ("counts", pa.binary()), ("wide", pa.bool_()), ("lengths", pa.binary()), ("ids", pa.binary()), ("bytes", pa.int64()),
     ])
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
-        ids, lists, lengths, held = [], {}, [], 0
+        shard = TaskContext.get().partitionId() << 32
+        ids, numbers, held, words = [], defaultdict(count().__next__), [], 0
         for batch in batches:
             for part, texts in pieces_of(batch, "text"):
                 for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    words = terms_of(text)
-                    for term, n in Counter(words).items():
-                        lists.setdefault(term, []).extend((len(ids), n))
-                        held += 1
+                    found = terms_of(text)
+                    held.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                     ids.append(key)
-                    lengths.append(len(words))
-                    if len(ids) >= SHARD_ROWS or held >= SHARD_POSTINGS:
-                        yield pa.RecordBatch.from_pylist([packed(number, ids, lists, lengths)], schema=schema)
-                        number += 1
-                        ids, lists, lengths, held = [], {}, [], 0
+                    words += len(found)
+                    if len(ids) >= SHARD_ROWS or words >= SHARD_WORDS:
+                        yield pa.RecordBatch.from_pylist([packed(shard, ids, numbers, held)], schema=schema)
+                        shard += 1
+                        ids, numbers, held, words = [], defaultdict(count().__next__), [], 0
         if ids:
-            yield pa.RecordBatch.from_pylist([packed(number, ids, lists, lengths)], schema=schema)
+            yield pa.RecordBatch.from_pylist([packed(shard, ids, numbers, held)], schema=schema)
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, INDEX)
@@ -91,13 +100,15 @@ class Shard:
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.blocks = -(-len(self.ids) // BLOCK)
         lengths = np.frombuffer(row["lengths"], "<i4")
-        rows, counts = np.frombuffer(row["rows"], "<i4"), np.frombuffer(row["counts"], "<i4").astype(float)
+        rows = np.frombuffer(row["rows"], "<u2").astype(np.int32)
+        counts = np.frombuffer(row["counts"], "<u4" if row["wide"] else "u1").astype(float)
         impacts = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[rows] / mean_length))
-        ends = np.cumsum(row["df"])
+        sizes = np.frombuffer(row["df"], "<i4")
+        ends, terms = np.cumsum(sizes), row["terms"].split("\n") if len(sizes) else []
         self.rare: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.frequent: dict[str, int] = {}
         dense, maxima = [], []
-        for term, end, df in zip(row["terms"], ends.tolist(), row["df"], strict=True):
+        for term, end, df in zip(terms, ends.tolist(), sizes.tolist(), strict=True):
             if term not in wanted:
                 continue
             at, worth = rows[end - df : end], impacts[end - df : end]
@@ -112,42 +123,58 @@ class Shard:
         self.dense = np.array(dense).reshape(len(dense), self.blocks * BLOCK)
         self.maxima = np.array(maxima).reshape(len(maxima), self.blocks)
 
-    def best(self, terms: list[str], weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows with a score above 0; of equal scores the smaller ids."""
-        rare = [(self.rare[t], w) for t, w in zip(terms, weights, strict=True) if t in self.rare]
-        common = [(self.frequent[t], w) for t, w in zip(terms, weights, strict=True) if t in self.frequent]
-        sums = np.zeros(self.blocks * BLOCK)
-        if rare:
-            at = np.concatenate([x[0] for x, _ in rare])
-            worth = np.concatenate([x[1] * w for x, w in rare])
-            sums = np.bincount(at, worth, self.blocks * BLOCK)
-        lists = np.array([i for i, _ in common], int)
-        share = np.array([w for _, w in common])
-        bounds = sums.reshape(self.blocks, BLOCK).max(axis=1)
-        if len(lists):
-            bounds = bounds + share @ self.maxima[lists]
-        order = np.argsort(-bounds, kind="stable")
+    def best(self, queries: list[tuple[list[str], np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores, queries x k, of the k best rows of each query; of equal scores the smaller ids come first.
+
+        Places without a row that scores above 0 hold a score of 0.
+        """
+        width, many = self.blocks * BLOCK, len(queries)
+        sums, share = np.zeros((many, width)), np.zeros((many, len(self.dense)))
+        for q, (terms, weights) in enumerate(queries):
+            found = [(self.rare[t], w) for t, w in zip(terms, weights, strict=True) if t in self.rare]
+            if found:
+                at = np.concatenate([x[0] for x, _ in found])
+                worth = np.concatenate([x[1] for x, _ in found])
+                worth *= np.repeat([w for _, w in found], [len(x[0]) for x, _ in found])
+                sums[q] = np.bincount(at, worth, width)
+            common = [(self.frequent[t], w) for t, w in zip(terms, weights, strict=True) if t in self.frequent]
+            if common:
+                share[q, [i for i, _ in common]] = [w for _, w in common]
+        bounds = sums.reshape(many, self.blocks, BLOCK).max(axis=2) + share @ self.maxima
         bounds = np.round(bounds * (1 + 1e-9) + 1e-9, DIGITS)  # never below a score that is rounded
-        ids, scores, least, at, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 4
-        while at < len(order) and bounds[order[at]] >= least and bounds[order[at]] > 0:
-            chosen = order[at : at + step]
-            chosen = chosen[bounds[chosen] >= least]
-            at, step = at + step, min(64, step * 2)
-            places = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            places = places[places < len(self.ids)]
-            found = sums[places]
-            if len(lists):
-                found = found + share @ self.dense[np.ix_(lists, places)]
-            found = np.round(found, DIGITS)
-            use = found > 0
-            ids, scores = np.concatenate((ids, self.ids[places[use]])), np.concatenate((scores, found[use]))
-            if len(scores) > k:
-                kept = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[kept], scores[kept]
-            if len(scores) >= k:
-                least = scores.min()
-        kept = np.lexsort((ids, -scores))[:k]
-        return ids[kept], scores[kept]
+        ids = np.full((many, k), np.iinfo(np.int64).max)
+        scores, least = np.zeros((many, k)), np.zeros(many)
+
+        def finish(block: int, asked: np.ndarray) -> None:
+            """Complete scores of one block for some queries, merged into their best."""
+            lo, hi = block * BLOCK, min((block + 1) * BLOCK, len(self.ids))
+            some = np.round(sums[asked, lo:hi] + share[asked] @ self.dense[:, lo:hi], DIGITS)
+            use = some.max(axis=1) >= np.maximum(least[asked], 10.0**-DIGITS)
+            asked, some = asked[use], some[use]
+            if len(asked):
+                all_scores = np.concatenate((scores[asked], some), axis=1)
+                all_ids = np.concatenate((ids[asked], np.broadcast_to(self.ids[lo:hi], some.shape)), axis=1)
+                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+                ids[asked] = np.take_along_axis(all_ids, order, axis=1)
+                scores[asked] = np.take_along_axis(all_scores, order, axis=1)
+                least[asked] = scores[asked, -1]
+
+        # the blocks with the highest bounds first, so that most others are below the k-th best when their turn comes
+        done = np.zeros(bounds.shape, bool)
+        first = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST]
+        for turn in range(first.shape[1]):
+            block_of = first[:, turn]
+            for block in np.unique(block_of):
+                asked = np.flatnonzero(block_of == block)
+                asked = asked[(bounds[asked, block] >= least[asked]) & (bounds[asked, block] > 0)]
+                done[block_of == block, block] = True
+                if len(asked):
+                    finish(block, asked)
+        for block in np.argsort(-bounds.max(axis=0)):
+            asked = np.flatnonzero(~done[:, block] & (bounds[:, block] >= least) & (bounds[:, block] > 0))
+            if len(asked):
+                finish(block, asked)
+        return ids, scores
 
 
 def search(
@@ -162,8 +189,7 @@ def search(
     """
     spark = docs.sparkSession
     index = settle(index if index is not None else build_index(docs, doc_id, text), "index")
-    words = F.aggregate("df", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    total = index.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum(words).alias("postings")).first()
+    total = index.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
     result = "query_id bigint, doc_id bigint, score double"
     if not total["n"]:
         return spark.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
@@ -175,7 +201,7 @@ def search(
     all_words = index.select("lengths").mapInPandas(lengths, "words bigint").agg(F.sum("words")).first()[0]
     mean_length = max(1.0, all_words / total["n"])
 
-    def counted(batches):
+    def counted(batches):  # terms with their occurrences
         for batch in batches:
             for part, texts in pieces_of(batch, "text"):
                 rows = [(q, t, n) for q, x in zip(part.column(0).to_pylist(), texts, strict=True) for t, n in sorted(Counter(terms_of(x)).items())]
@@ -183,8 +209,16 @@ def search(
 
     asked = queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").cast("bigint").alias("query_id"), "text")
     asked = asked.mapInArrow(counted, "query_id bigint, term string, n int")
-    pairs = index.select(F.explode_outer(F.arrays_zip("terms", "df")).alias("x")).select("x.terms", "x.df")
-    df = pairs.groupBy(F.col("terms").alias("term")).agg(F.sum("df").alias("df"))
+
+    def lists(batches):
+        kind = pa.schema([("term", pa.string()), ("df", pa.int32())])
+        for batch in batches:
+            for terms, df in zip(batch["terms"].to_pylist(), batch["df"].to_pylist(), strict=True):
+                if df:
+                    yield pa.RecordBatch.from_arrays([pa.array(terms.split("\n")), pa.array(np.frombuffer(df, "<i4"))], schema=kind)
+
+    pairs = index.select("terms", "df").mapInArrow(lists, "term string, df int")
+    df = pairs.groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log(1 + (F.lit(float(total["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(df, "term").groupBy("query_id", "term").agg(F.max(F.col("n") * idf).alias("weight"))
     vectors = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))
@@ -197,21 +231,20 @@ def search(
     sent = sent.withColumn("_group", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
 
     def answer(shard_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        found: dict[int, list] = {}
         wanted = {t for terms in query_rows["term"] for t in terms}
-        query_ids, query_terms = query_rows["query_id"].tolist(), query_rows["term"].tolist()
-        query_weights = [np.asarray(w, float) for w in query_rows["weight"]]
+        asked = [(list(t), np.asarray(w, float)) for t, w in zip(query_rows["term"], query_rows["weight"], strict=True)]
+        ids, scores = np.full((len(asked), k), np.iinfo(np.int64).max), np.zeros((len(asked), k))
         for _, row in shard_rows.iterrows():
             shard = Shard(row, mean_length, wanted)
-            for q, terms, weights in zip(query_ids, query_terms, query_weights, strict=True):
-                ids, scores = shard.best(terms, weights, k)
-                found.setdefault(q, []).append((ids, scores))
-        parts = []
-        for q, some in found.items():
-            ids, scores = np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
-            kept = np.lexsort((ids, -scores))[:k]
-            parts.append(pd.DataFrame({"query_id": q, "doc_id": ids[kept], "score": scores[kept]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+            for at in range(0, len(asked), TOGETHER):
+                part = slice(at, at + TOGETHER)
+                found = shard.best(asked[part], k)
+                all_ids, all_scores = np.concatenate((ids[part], found[0]), axis=1), np.concatenate((scores[part], found[1]), axis=1)
+                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+                ids[part], scores[part] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
+        use = scores > 0
+        query_ids = np.repeat(query_rows["query_id"].to_numpy(np.int64), k).reshape(-1, k)
+        return pd.DataFrame({"query_id": query_ids[use], "doc_id": ids[use], "score": scores[use]})
 
     met = shards.groupBy("_group", "_block").cogroup(sent.groupBy("_group", "_block")).applyInPandas(answer, result)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))

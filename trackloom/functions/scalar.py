@@ -338,7 +338,7 @@ def _js_round(value) -> Column:
 
 
 def format_speed(kmh) -> Column:
-    shown = F.concat(F.format_string("%.1f", col(kmh).cast("double")), F.lit(" km/h"))
+    shown = F.concat(fixed(kmh, 1), F.lit(" km/h"))
     return F.when(col(kmh).isNull(), F.lit("–")).otherwise(shown)
 
 
@@ -347,7 +347,7 @@ def format_altitude(m) -> Column:
 
 
 def format_distance(m) -> Column:
-    km = F.concat(F.format_string("%.2f", col(m) / number(1000)), F.lit(" km"))
+    km = F.concat(fixed(col(m) / number(1000), 2), F.lit(" km"))
     return (
         F.when(col(m).isNull(), F.lit("–"))
         .when(col(m) >= 1000, km)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.operators.clean import filter_invalid
 from trackloom.operators.consolidate import consolidate
-from trackloom.operators.edit import add_z_offset, apply_sidecar_cuts, derivation
+from trackloom.operators.edit import add_z_offset, apply_cuts_raw, apply_sidecar_cuts, derivation
 from trackloom.operators.enrich import enrich_speed
 from trackloom.operators.merge import merge_tracks
 from trackloom.operators.nmea import (
@@ -34,7 +35,7 @@ from trackloom.sinks.document import (
     write_documents,
 )
 from trackloom.sinks.gpx import write_gpx
-from trackloom.sources.cuts import read_cuts
+from trackloom.sources.cuts import cut_rows, read_cuts
 from trackloom.sources.discover import discover_inputs
 from trackloom.sources.files import track_id
 from trackloom.sources.gpx import read_gpx
@@ -137,11 +138,13 @@ def merge_and_write(rows: DataFrame, path: str, mode: str = "gap") -> DataFrame:
 
 
 def process_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(track table, derivations, sentence table) of all logs in a directory, sidecar cuts applied.
+    """(track table, derivations, sentence table) of all logs in a directory, sidecar cuts applied to both tables.
 
-    One job per format, not per file. Formats without files are not scanned.
+    A track is a file, told by its folder and name; ``source_file`` is its name. One job per format, not per file. Formats
+    without files are not scanned. Derivations have the same columns whether or not there are cuts; the sentence table
+    is None where there are no NMEA logs.
     """
-    found = discover_inputs(spark, path)
+    found = settle(discover_inputs(spark, path), "inputs")
     kinds = {r["kind"] for r in found.select("kind").distinct().collect()}
     tables: list[DataFrame] = []
     schema_a = None
@@ -158,12 +161,21 @@ def process_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     points = tables[0].drop("chunk")
     for other in tables[1:]:
         points = points.unionByName(other.drop("chunk"), allowMissingColumns=True)
-    points = split_hot_tracks(points, order="idx")
-    if "cuts" not in kinds:
-        return points, points.select("track_id").distinct().limit(0), schema_a
+    # the cuts read the points several times: they are parsed once
+    points = split_hot_tracks(settle(points, "directory-points"), order="idx")
+    # a sidecar belongs to the log of its own folder
+    tracks = [
+        found.where((F.col("kind") == kind) & F.col("cuts_path").isNotNull()).select(
+            track_id(kind, F.col("path")).alias("track_id"), "cuts_path"
+        )
+        for kind in ("nmea", "gpx", "kml", "igc")
+    ]
     instructions, _ = read_cuts(spark, path)
-    files = points.select("track_id", F.col("source_file").alias("source_name")).distinct()
-    instructions = instructions.join(files, "source_name")
-    cuts = instructions.select("track_id", F.posexplode("cut_ranges").alias("cut_id", "c")).select("track_id", "cut_id", "c.*")
+    instructions = settle(
+        instructions.join(reduce(DataFrame.unionByName, tracks), F.col("path") == F.col("cuts_path")).drop("cuts_path"), "cuts"
+    )
+    cuts = cut_rows(instructions)
     done = add_z_offset(derivation(points, cuts), instructions)
-    return apply_sidecar_cuts(points, instructions), done, schema_a
+    if schema_a is not None:
+        schema_a = apply_cuts_raw(schema_a, points, cuts).drop("chunk")
+    return apply_sidecar_cuts(points, instructions).drop("chunk"), done, schema_a

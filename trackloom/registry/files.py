@@ -97,7 +97,7 @@ def process_directory(spark, sf):
 
 # --- GPX ------------------------------------------------------------------------------------
 
-Q_GPX = """gpx AS (SELECT track_id, idx, ts, round(lat, 7) AS lat, round(lon, 7) AS lon, round(alt, 2) AS alt, round(round(speed_kmh / 3.6::DOUBLE, 3) * 3.6::DOUBLE, 6) AS speed_kmh, hdop FROM pts)"""
+Q_GPX = """gpx AS (SELECT track_id, idx, ts, round(lat, 7) AS lat, round(lon, 7) AS lon, round(alt, 2) AS alt, round(CAST(printf('%.3f', speed_kmh / 3.6::DOUBLE) AS DOUBLE) * 3.6::DOUBLE, 6) AS speed_kmh, hdop FROM pts)"""
 Q_GPX_STEPS = f"""gsteps AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000000::DOUBLE AS dt_s FROM gpx WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
 gdist AS (SELECT *, CASE WHEN dt_s > 0 THEN {geodesic_sql('plat', 'plon', 'lat', 'lon')} END AS distance_m FROM gsteps)"""
 

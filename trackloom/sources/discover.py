@@ -44,5 +44,7 @@ def sidecars(classified: DataFrame) -> DataFrame:
 
 def discover_inputs(spark: SparkSession, path) -> DataFrame:
     """Every file below a path with its kind and sidecar. File contents are not read."""
-    files = spark.read.format("binaryFile").options(**options(None)).load(path).select("path", "length")
+    files = spark.read.format("binaryFile").options(**options(None)).load(path)
+    # the same form of path as the readers see
+    files = files.select(F.col("_metadata.file_path").alias("path"), "length")
     return sidecars(overlay_pairs(classify(files))).select("path", "name", "stem", "kind", "length", "cuts_path")

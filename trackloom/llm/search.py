@@ -28,9 +28,9 @@ from trackloom.plans.session import settle
 
 K1, B = 1.2, 0.75
 #: Rows and words at which a shard ends, rows of a block, bytes of index and number of queries that meet in a task.
-SHARD_ROWS, SHARD_WORDS, BLOCK, TASK_BYTES, TASK_QUERIES = 1 << 14, 1 << 22, 64, 32 << 20, 4096
+SHARD_ROWS, SHARD_WORDS, BLOCK, TASK_BYTES, TASK_QUERIES = 1 << 14, 1 << 21, 64, 32 << 20, 4096
 #: Blocks that a query looks at before the others, and queries that are looked at together.
-FIRST, TOGETHER = 2, 512
+FIRST, TOGETHER = 2, 256
 #: A term is frequent in a shard if at least this share of its rows hold it.
 FREQUENT = 1 / 32
 #: Scores are compared after rounding to so many digits, so that the order of additions cannot decide a tie.

@@ -12,6 +12,7 @@ pivot of WAND skips rows. Queries are looked at together, so bounds and scores a
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections import Counter, defaultdict
 from itertools import count
@@ -30,7 +31,7 @@ K1, B = 1.2, 0.75
 #: Rows and words at which a shard ends, rows of a block, bytes of index and number of queries that meet in a task.
 SHARD_ROWS, SHARD_WORDS, BLOCK, TASK_BYTES, TASK_QUERIES = 1 << 14, 1 << 21, 64, 32 << 20, 4096
 #: Blocks that a query looks at before the others, and queries that are looked at together.
-FIRST, TOGETHER = 2, 256
+FIRST, TOGETHER = 2, 128
 #: A term is frequent in a shard if at least this share of its rows hold it.
 FREQUENT = 1 / 32
 #: Scores are compared after rounding to so many digits, so that the order of additions cannot decide a tie.
@@ -39,6 +40,14 @@ _WORD = re.compile(r"\w+")
 INDEX = "shard bigint, n int, terms string, df binary, rows binary, counts binary, wide boolean, lengths binary, ids binary, bytes bigint"
 
 
+def release_memory() -> None:
+    """Gives memory that a reused worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def terms_of(text: str) -> list[str]:
     """Words in lower case: runs of letters, digits and underscores."""
     return _WORD.findall(text.lower())
@@ -88,6 +97,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                         ids, numbers, held, words = [], defaultdict(count().__next__), [], 0
         if ids:
             yield pa.RecordBatch.from_pylist([packed(shard, ids, numbers, held)], schema=schema)
+        ids, numbers, held = [], {}, []
+        release_memory()
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, INDEX)
@@ -96,7 +107,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 class Shard:
     """A shard's index with the weights of the whole corpus, for the terms that some query has."""
 
-    def __init__(self, row: pd.Series, mean_length: float, wanted: set[str]):
+    def __init__(self, row: dict, mean_length: float, wanted: set[str]):
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.blocks = -(-len(self.ids) // BLOCK)
         lengths = np.frombuffer(row["lengths"], "<i4")
@@ -222,7 +233,7 @@ def search(
     idf = F.log(1 + (F.lit(float(total["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(df, "term").groupBy("query_id", "term").agg(F.max(F.col("n") * idf).alias("weight"))
     vectors = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))
-    vectors = settle(vectors.select("query_id", "t.term", "t.weight"), "queries")
+    vectors = settle(vectors.select("query_id", F.array_join("t.term", "\n").alias("terms"), "t.weight"), "queries")
     blocks = max(1, -(-vectors.count() // TASK_QUERIES))
     groups = max(1, -(-total["bytes"] // TASK_BYTES))
     numbered = F.pmod(F.xxhash64("shard"), F.lit(groups)).alias("_group")
@@ -231,10 +242,11 @@ def search(
     sent = sent.withColumn("_group", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
 
     def answer(shard_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        wanted = {t for terms in query_rows["term"] for t in terms}
-        asked = [(list(t), np.asarray(w, float)) for t, w in zip(query_rows["term"], query_rows["weight"], strict=True)]
+        asked = [(t.split("\n"), np.asarray(w, float)) for t, w in zip(query_rows["terms"], query_rows["weight"], strict=True)]
+        wanted = {t for terms, _ in asked for t in terms}
         ids, scores = np.full((len(asked), k), np.iinfo(np.int64).max), np.zeros((len(asked), k))
-        for _, row in shard_rows.iterrows():
+        for row in shard_rows.to_dict("records"):
+            shard = None  # the one before goes first
             shard = Shard(row, mean_length, wanted)
             for at in range(0, len(asked), TOGETHER):
                 part = slice(at, at + TOGETHER)
@@ -242,6 +254,8 @@ def search(
                 all_ids, all_scores = np.concatenate((ids[part], found[0]), axis=1), np.concatenate((scores[part], found[1]), axis=1)
                 order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
                 ids[part], scores[part] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
+        shard = None
+        release_memory()
         use = scores > 0
         query_ids = np.repeat(query_rows["query_id"].to_numpy(np.int64), k).reshape(-1, k)
         return pd.DataFrame({"query_id": query_ids[use], "doc_id": ids[use], "score": scores[use]})

@@ -29,6 +29,8 @@ SAMPLE = 1 << 15
 VERIFY = 0.2
 #: Most bit patterns that a partition may be probed with.
 PATTERNS = 50_000
+#: A fingerprint that more than one row in so many has is joined without a shuffle; there are fewer than HOT_SHARE such.
+HOT_SHARE = 1024
 
 
 @dataclass(frozen=True)
@@ -168,14 +170,27 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     an empty result; columns other than id and text are not read.
     """
     rows = settle(fingerprints(docs, doc_id, text, words, seed), "fingerprints")
-    firsts = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    firsts = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     links = hamming_links(firsts.select("fp"), tau)
     roots = components(links)
     linked = roots.join(firsts, roots["node"] == firsts["fp"]).select("node", "root", "first")
     lowest = linked.groupBy("root").agg(F.min("first").alias("low"))
     of_node = linked.join(lowest, "root").select(F.col("node").alias("fp"), "low")
-    classes = firsts.join(of_node, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = firsts.join(of_node, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id"))
+    return _with_class(rows, settle(classes, "classes"))
+
+
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with the class of their fingerprint; those of the commonest fingerprints stay where they are.
+
+    A fingerprint is common if more than one row in HOT_SHARE has it, so fewer than HOT_SHARE are broadcast at any size and
+    no key of the shuffled join holds more rows than that share.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    common = F.col("n") * HOT_SHARE > total
+    few = F.broadcast(classes.where(common).select("fp", "component_id"))
+    others = rows.join(few.select("fp"), "fp", "left_anti").join(classes.where(~common).select("fp", "component_id"), "fp")
+    return rows.join(few, "fp").unionByName(others).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, tau: int = 2) -> DataFrame:

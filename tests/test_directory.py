@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from trackloom.plans.pipelines import process_directory
+from trackloom.plans.pipelines import export_directory, process_directory
 
 
 def sentence(body):
@@ -60,6 +60,30 @@ def test_tracks_and_cuts_of_a_directory(spark, folder):
     assert by_track(points) == [("log.txt", 47, 20), ("log.txt", 48, 15), ("my walk.gpx", 46, 5), ("tour.gpx", 47, 5), ("tour.gpx", 48, 5)]
     assert [(r["n_trim_cuts"], r["n_points_removed"]) for r in done.collect()] == [(1, 5)]
     assert sentences.count() < all_sentences.count()
+    assert [(r["source_name"], r["count_differs"]) for r in done.collect()] == [("log.txt", False)]
+
+
+def test_export_of_a_directory(spark, folder, tmp_path):
+    """Documents tell file, format, offset and satellites; grids and overlays of the folder are exported with them."""
+    cells = "\n".join(" ".join(str(100 * r + c) for c in range(4)) for r in range(4))
+    (folder / "a" / "hill.asc").write_text(f"ncols 4\nnrows 4\nxllcorner 8.0\nyllcorner 46.5\ncellsize 0.5\nNODATA_value -9999\n{cells}\n")
+    (folder / "a" / "chart.txt").write_text("8 48\n9 48\n8 47\n9 47\n")
+    (folder / "a" / "chart.png").write_bytes(b"\x89PNG")
+    cut = {"source": "tour.gpx", "n_points_reference": 7, "cut_ranges": [], "z_offset_m": 12.5}
+    (folder / "b" / "tour.gpx.cuts.json").write_text(json.dumps(cut))
+    export_directory(spark, str(folder), str(tmp_path / "out"))
+    kind = "struct<meta:struct<source_file:string,source_type:string,n_points:int,suggested_z_offset_m:double,has_satellites:boolean,has_terrain:boolean,derivation:struct<count_differs:boolean>>>"
+    docs = spark.read.text(str(tmp_path / "out" / "track")).selectExpr(f"from_json(value, '{kind}').meta AS m").select("m.*").collect()
+    told = sorted((d["source_file"], d["source_type"], d["n_points"], d["suggested_z_offset_m"], d["has_satellites"]) for d in docs)
+    assert told == [
+        ("log.txt", "nmea", 20, 0.0, False), ("log.txt", "nmea", 20, 0.0, False), ("my walk.gpx", "gpx", 5, 0.0, False),
+        ("tour.gpx", "gpx", 5, 0.0, False), ("tour.gpx", "gpx", 5, 12.5, False),
+    ]
+    assert [d["derivation"]["count_differs"] for d in docs if d["derivation"]] == [True]
+    assert any(d["has_terrain"] for d in docs) and not all(d["has_terrain"] for d in docs)
+    assert spark.read.text(str(tmp_path / "out" / "overlays")).count() == 1
+    found = spark.read.parquet(str(tmp_path / "out" / "catalogue"))
+    assert found.count() == 5 and {r["charts"] for r in found.collect()} == {"charts.json"}
 
 
 def test_nothing_to_read(spark, tmp_path):

@@ -9,7 +9,7 @@ from trackloom.operators import enrich as _enrich
 from trackloom.operators import merge as _merge
 from trackloom.operators import satellites as _satellites
 from trackloom.plans import pipelines as _pipelines
-from trackloom.plans.pipelines import export_tracks, merge_and_write, process_directory, write_export
+from trackloom.plans.pipelines import export_directory, export_tracks, merge_and_write, process_directory, write_export
 from trackloom.plans.skew import CHUNK as _CHUNK
 from trackloom.plans.skew import split_hot_tracks
 from trackloom.sinks.catalogue import load_track, save_track
@@ -58,6 +58,7 @@ __all__ = [
     "compare_tracks",
     "discover_inputs",
     "enrich_speed",
+    "export_directory",
     "export_tracks",
     "load_track",
     "merge_and_write",

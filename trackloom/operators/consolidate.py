@@ -74,7 +74,10 @@ def interpolate_linear(
     return df.withColumns({c: filled(c) for c in columns}).drop("_i", *helpers)
 
 
-def consolidate(schema_a: DataFrame) -> DataFrame:
-    """Sentence table to track table: one row per GGA time, gaps in altitude and speed filled."""
-    merged = split_hot_tracks(merge_sentences(schema_a))
+def consolidate(schema_a: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """Sentence table to track table: one row per GGA time, gaps in altitude and speed filled.
+
+    ``bound`` is a written table that holds all these sentences, by which long tracks are told.
+    """
+    merged = split_hot_tracks(merge_sentences(schema_a), bound=bound)
     return interpolate_linear(merged, ["alt", "speed_kmh", "speed_knots"])

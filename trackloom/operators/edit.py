@@ -138,12 +138,15 @@ def cut_points(points: DataFrame, effective: DataFrame) -> DataFrame:
     return rows.withColumns({"cut_id": F.col("_c.cut_id"), "mode": F.col("_c.mode")}).drop("_c", "_cuts")
 
 
-def apply_cuts_track(points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS) -> DataFrame:
+def apply_cuts_track(points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS, effective: DataFrame | None = None) -> DataFrame:
     """Drop the cut points, move what follows a bridge, renumber, and flag bridged points.
 
-    ``is_bridged`` is NULL for tracks without cuts, which pass unchanged.
+    ``is_bridged`` is NULL for tracks without cuts, which pass unchanged. ``effective`` are the effective cuts where
+    they are at hand.
     """
-    marked = mark_cuts(points, effective_cuts(points, cuts, n)).where(~F.col("in_cut"))
+    if effective is None:
+        effective = effective_cuts(points, cuts, n)
+    marked = mark_cuts(points, effective).where(~F.col("in_cut"))
     dtype = points.schema["ts"].dataType
     moved = marked.withColumns(
         {
@@ -194,9 +197,12 @@ def shift_by_breakpoints(rows: DataFrame, breakpoints: DataFrame) -> DataFrame:
     return summed.where(F.col("_row") == 1).drop("_row", "_step", CHUNK)
 
 
-def apply_cuts_raw(schema_a: DataFrame, points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS) -> DataFrame:
+def apply_cuts_raw(
+    schema_a: DataFrame, points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS, effective: DataFrame | None = None
+) -> DataFrame:
     """The cuts of a track applied by time to its sentences; satellite reports outside the cuts stay, moved."""
-    effective = effective_cuts(points, cuts, n)
+    if effective is None:
+        effective = effective_cuts(points, cuts, n)
     kept = drop_intervals(schema_a, cut_intervals(points, effective))
     breakpoints = effective.where(F.col("ts_after").isNotNull() & F.col("shift_s").isNotNull()).select(
         "track_id", F.col("ts_after").alias("ts"), "shift_s"
@@ -207,9 +213,10 @@ def apply_cuts_raw(schema_a: DataFrame, points: DataFrame, cuts: DataFrame, n: i
     return moved.withColumn("ts", F.when(F.col("ts").isNotNull(), ts)).drop("shift_s")
 
 
-def derivation(points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS) -> DataFrame:
+def derivation(points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS, effective: DataFrame | None = None) -> DataFrame:
     """What the cuts did per track: counts per mode, points before and after, total shift, severity."""
-    effective = effective_cuts(points, cuts, n)
+    if effective is None:
+        effective = effective_cuts(points, cuts, n)
     per_mode = effective.groupBy("track_id").agg(
         *[F.count_if(F.col("mode") == m).alias(f"n_{m}_cuts") for m in MODES],
         F.coalesce(F.sum("shift_s"), S.number(0)).alias("total_time_shift_s"),
@@ -230,9 +237,13 @@ def derivation(points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS) -> DataF
 
 
 def add_z_offset(derivations: DataFrame, instructions: DataFrame) -> DataFrame:
-    """Add the height offset of an instruction; one that has only an offset becomes an ``info`` record."""
+    """Add the height offset of an instruction; one that has only an offset becomes an ``info`` record.
+
+    The log's name and whether the instruction was made for another number of points are kept where it tells them.
+    """
     z = F.round(F.coalesce(F.col("z_offset_m"), S.number(0)), 2)
-    joined = instructions.select("track_id", z.alias("z_offset_m")).join(derivations, "track_id", "left")
+    told = [c for c in ("source_name", "count_differs") if c in instructions.columns]
+    joined = instructions.select("track_id", z.alias("z_offset_m"), *told).join(derivations, "track_id", "left")
     only = (F.col("z_offset_m") != 0) & F.col("severity").isNull()
     return joined.withColumns(
         {
@@ -242,7 +253,7 @@ def add_z_offset(derivations: DataFrame, instructions: DataFrame) -> DataFrame:
     )
 
 
-def apply_sidecar_cuts(points: DataFrame, instructions: DataFrame) -> DataFrame:
+def apply_sidecar_cuts(points: DataFrame, instructions: DataFrame, effective: DataFrame | None = None) -> DataFrame:
     """Apply each track's instruction, if it has one; other tracks pass unchanged.
 
     ``instructions`` has ``(track_id, cut_ranges, z_offset_m)``; the offset is shown only, never applied.
@@ -250,7 +261,7 @@ def apply_sidecar_cuts(points: DataFrame, instructions: DataFrame) -> DataFrame:
     cuts = instructions.select("track_id", F.posexplode("cut_ranges").alias("cut_id", "c")).select(
         "track_id", "cut_id", "c.*"
     )
-    edited = apply_cuts_track(points, cuts)
+    edited = apply_cuts_track(points, cuts, effective=effective)
     offsets = instructions.select("track_id", F.col("z_offset_m").alias("suggested_z_offset_m"))
     return attach_track(edited, offsets).withColumn(
         "suggested_z_offset_m", F.coalesce("suggested_z_offset_m", S.number(0))

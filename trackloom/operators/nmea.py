@@ -241,7 +241,7 @@ def build_schema_a(clocked: DataFrame) -> DataFrame:
         groups.withColumn("sentence_type", F.lit("GSV")), allowMissingColumns=True
     )
     rows = rows.withColumn("_late", (F.col("sentence_type") == "GSV").cast("int"))
-    return row_index(split_hot_tracks(rows), order=("ts", "_late", "line_no"), name="seq").drop("_late")
+    return row_index(split_hot_tracks(rows, bound=clocked), order=("ts", "_late", "line_no"), name="seq").drop("_late")
 
 
 def check_gga_against_rmc(schema_a: DataFrame, tolerance_deg: float = POSITION_TOLERANCE_DEG) -> DataFrame:

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.clean import filter_invalid
 from trackloom.operators.consolidate import consolidate
-from trackloom.operators.edit import add_z_offset, apply_cuts_raw, apply_sidecar_cuts, derivation
+from trackloom.operators.edit import (
+    add_z_offset,
+    apply_cuts_raw,
+    apply_sidecar_cuts,
+    check_reference_count,
+    derivation,
+    effective_cuts,
+    point_counts,
+)
 from trackloom.operators.enrich import enrich_speed
 from trackloom.operators.merge import merge_tracks
 from trackloom.operators.nmea import (
@@ -36,24 +44,31 @@ from trackloom.sinks.document import (
 )
 from trackloom.sinks.gpx import write_gpx
 from trackloom.sources.cuts import cut_rows, read_cuts
+from trackloom.sources.dem import read_ascii_grid
 from trackloom.sources.discover import discover_inputs
 from trackloom.sources.files import track_id
 from trackloom.sources.gpx import read_gpx
 from trackloom.sources.igc import read_igc
 from trackloom.sources.kml import read_kml
 from trackloom.sources.nmea import read_nmea
+from trackloom.sources.overlays import read_overlays
+
+
+def _sentences(tokens: DataFrame) -> DataFrame:
+    """Tokenized lines to sentences, written once: filters and satellites both read them."""
+    return settle(build_schema_a(carry_clock(extract_fields(tokens))), "schema-a")
 
 
 def sentence_table(tokens: DataFrame) -> DataFrame:
-    """Tokenized lines to the typed sentence table, written once: filters and satellites both read it."""
-    rows = settle(build_schema_a(carry_clock(extract_fields(tokens))), "schema-a")
-    return apply_types(check_gga_against_rmc(rows))
+    """Tokenized lines to the typed sentence table."""
+    return apply_types(check_gga_against_rmc(_sentences(tokens)))
 
 
 def process_nmea(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sentence table, track table). The sentence table is unfiltered: satellites are aligned against it."""
-    schema_a = sentence_table(tokens)
-    return schema_a, enrich_speed(consolidate(filter_invalid(schema_a)))
+    rows = _sentences(tokens)
+    schema_a = apply_types(check_gga_against_rmc(rows))
+    return schema_a, enrich_speed(consolidate(filter_invalid(schema_a), rows), bound=rows)
 
 
 def process_points(points: DataFrame) -> DataFrame:
@@ -83,7 +98,11 @@ def export_tracks(
     source_type: str = "nmea",
     cell_deg: float = 1.0,
 ) -> Export:
-    """Documents for every track: points, satellites, terrain levels, overlays and the catalogue."""
+    """Documents for every track: points, satellites, terrain levels, overlays and the catalogue.
+
+    ``source_type`` is that of tracks without a column of this name; columns ``source_file`` and
+    ``suggested_z_offset_m`` of the points are told in the documents.
+    """
     points = split_hot_tracks(points, order="idx")
     lods = None
     if tiles is not None and pixels is not None:
@@ -95,7 +114,7 @@ def export_tracks(
         aligned = settle(align_satellites(points, schema_a.where(F.col("sentence_type") == "GSV")), "aligned")
     return Export(
         points=points,
-        documents=track_documents(points, derivations, source_type),
+        documents=track_documents(points, derivations, source_type, aligned),
         catalogue=catalogue(points, aligned, lods, 0 if overlays is None else 1),
         satellites=None if aligned is None else satellite_documents(points, aligned),
         terrain_levels=None if lods is None else dem_documents(lods, bounds),
@@ -153,9 +172,10 @@ def process_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         tokens = attach_track(read_nmea(spark, path), names.select("track_id"), how="left_semi")
         schema_a, track = process_nmea(tokens)
         tables.append(attach_track(track, names))
+        tables[0] = tables[0].withColumn("source_type", F.lit("nmea"))
     for kind, reader in (("gpx", read_gpx), ("kml", read_kml), ("igc", read_igc)):
         if kind in kinds:
-            tables.append(process_points(reader(spark, path)))
+            tables.append(process_points(reader(spark, path)).withColumn("source_type", F.lit(kind)))
     if not tables:
         raise ValueError(f"no NMEA, GPX, KML or IGC files in {path}")
     points = tables[0].drop("chunk")
@@ -175,7 +195,24 @@ def process_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         instructions.join(reduce(DataFrame.unionByName, tracks), F.col("path") == F.col("cuts_path")).drop("cuts_path"), "cuts"
     )
     cuts = cut_rows(instructions)
-    done = add_z_offset(derivation(points, cuts), instructions)
+    effective = settle(effective_cuts(points, cuts), "effective-cuts")
+    checked = check_reference_count(instructions, point_counts(points)).drop("n_points")
+    done = add_z_offset(derivation(points, cuts, effective=effective), checked)
     if schema_a is not None:
-        schema_a = apply_cuts_raw(schema_a, points, cuts).drop("chunk")
-    return apply_sidecar_cuts(points, instructions).drop("chunk"), done, schema_a
+        schema_a = apply_cuts_raw(schema_a, points, cuts, effective=effective).drop("chunk")
+    return apply_sidecar_cuts(points, instructions, effective).drop("chunk"), done, schema_a
+
+
+def export_directory(spark: SparkSession, path: str, out: str, cell_deg: float = 1.0) -> Export:
+    """``process_directory``, then documents with satellites, elevation grids and overlays of the folder, below ``out``.
+
+    ``out`` must lie outside ``path``. Elevation grids are ASCII grids; what the folder lacks is not scanned.
+    """
+    points, derivations, schema_a = process_directory(spark, path)
+    points, derivations = settle(points, "edited-points"), settle(derivations, "derivations")
+    kinds = {r["kind"] for r in discover_inputs(spark, path).select("kind").distinct().collect()}
+    tiles, pixels = (settle(t, "grids") for t in read_ascii_grid(spark, path)) if "dem" in kinds else (None, None)
+    overlays = read_overlays(spark, path) if "overlay" in kinds else None
+    export = export_tracks(points, schema_a, tiles, pixels, overlays, derivations, cell_deg=cell_deg)
+    write_export(export, out)
+    return export

@@ -44,13 +44,15 @@ def split_hot_tracks(
     order: str = "ts",
     target_rows: int | None = None,
     cell: int | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``chunk`` if some track has more than ``target_rows`` rows, else return ``df`` unchanged.
 
     A histogram over cells of the order column (one hour, or 65 536 positions) is grouped into runs of
     about ``target_rows`` rows; a cell that is itself too full is divided evenly. Chunk numbers grow with
     the order column, so "all earlier rows" means "earlier chunks, then earlier rows of this chunk".
-    Rows that share one order value stay together.
+    Rows that share one order value stay together. ``bound`` is a table at hand, with at least as many rows of
+    each track: where none of its tracks is hot the rows need not be made to be counted.
     """
     key = list(key)
     if CHUNK in df.columns:
@@ -59,7 +61,9 @@ def split_hot_tracks(
     if cell is None:
         is_time = isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType))
         cell = 3_600_000_000 if is_time else 65_536
-    hot = df.groupBy(*key).count().where(F.col("count") > target_rows).select(*key)
+    if bound is not None and _hot_keys(bound, key, target_rows).isEmpty():
+        return df
+    hot = _hot_keys(df, key, target_rows)
     if hot.isEmpty():
         return df
 
@@ -67,8 +71,7 @@ def split_hot_tracks(
     cell_no = F.floor(pos / F.lit(float(cell)))
     by_track = Window.partitionBy(*key).orderBy("_cell")
     cells = (
-        # every hot track holds more than target_rows rows, so this side has at most rows/target_rows rows
-        df.join(F.broadcast(hot), key, "left_semi")
+        df.join(_broadcast_largest(hot).select(*key), key, "left_semi")
         .groupBy(*key, cell_no.alias("_cell"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_cell").isNotNull())
@@ -96,6 +99,18 @@ def split_hot_tracks(
     )
 
 
+def _hot_keys(df: DataFrame, key: list[str], target_rows: int) -> DataFrame:
+    return df.groupBy(*key).count().where(F.col("count") > target_rows)
+
+
+def _broadcast_largest(hot: DataFrame) -> DataFrame:
+    """At most ``BROADCAST_ROWS`` keys, those with the most rows, so the broadcast is bounded at any size.
+
+    A key left out holds less than one row in ``BROADCAST_ROWS`` and is joined like an ordinary one.
+    """
+    return F.broadcast(hot.orderBy(F.desc("count")).limit(BROADCAST_ROWS))
+
+
 def partition_keys(df: DataFrame, key: Keys) -> list[str]:
     """The columns whose rows one task may hold together."""
     return [*key, CHUNK] if CHUNK in df.columns else list(key)
@@ -124,29 +139,25 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join in which a key with more than ``target_rows`` left rows is salted.
 
-    Only the hot keys are salted, and only their right rows are repeated. The table of hot keys has at most
-    rows/target_rows rows, which bounds the broadcast. ``within_track`` says that the key contains the track and
+    Only the hot keys are salted, and only their right rows are repeated. ``within_track`` says that the key contains the track and
     that the rows went through ``split_hot_tracks``: without chunks no track is hot, so no key can be.
     """
     keys = list(keys)
     if within_track and CHUNK not in left.columns:
         return left.join(right, keys, how)
     target_rows = target_rows or target_rows_of(left)
-    hot = (
-        left.groupBy(*keys)
-        .count()
-        .where(F.col("count") > target_rows)
-        .select(*keys, F.ceil(F.col("count") / F.lit(target_rows)).cast("int").alias("_salts"))
+    hot = _broadcast_largest(_hot_keys(left, keys, target_rows)).select(
+        *keys, F.ceil(F.col("count") / F.lit(target_rows)).cast("int").alias("_salts")
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     # the salt depends on the row only, so a task that runs again puts it in the same place
     salted = (
-        left.join(F.broadcast(hot), keys, "left")
+        left.join(hot, keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
         .drop("_salts")
     )
     spread = (
-        right.join(F.broadcast(hot), keys, "left")
+        right.join(hot, keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )

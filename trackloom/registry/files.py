@@ -462,32 +462,39 @@ def read_ascii_grid_query(spark, sf):
 @query(
     "write_track_document",
     D_SQL + """SELECT track_id, CAST(0 AS BIGINT) AS part, idx, CAST(printf('%.7f', lat) AS DOUBLE) AS lat, CAST(printf('%.1f', alt) AS DOUBLE) AS alt, CAST(printf('%.2f', speed_kmh) AS DOUBLE) AS speed_kmh, CAST(printf('%.1f', distance_m) AS DOUBLE) AS distance_m, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS timestamp_ms,
-  count(*) OVER (PARTITION BY track_id) AS n_points, CAST(printf('%.1f', alt - t) AS DOUBLE) AS above_terrain FROM (SELECT *, CASE WHEN seq % 9 <> 0 THEN 300 + hdop END AS t FROM speeds)""",
+  count(*) OVER (PARTITION BY track_id) AS n_points, CAST(printf('%.1f', alt - t) AS DOUBLE) AS above_terrain,
+  'nmea' AS source_type, FALSE AS has_satellites, 0::DOUBLE AS suggested_z_offset_m FROM (SELECT *, CASE WHEN seq % 9 <> 0 THEN 300 + hdop END AS t FROM speeds)""",
 )
 def write_track_document(spark, sf):
     """The documents, read back as JSON."""
     docs = track_documents(enrich_speed(_terrain_track(spark, sf)))
-    kind = "struct<meta:struct<n_points:bigint>,points:struct<lat:array<double>,alt:array<double>,speed_kmh:array<double>,distance_m:array<double>,timestamp_ms:array<bigint>,above_terrain:array<double>>>"
-    df = docs.withColumn("d", F.from_json("document", kind)).select("track_id", "part", "d.meta.n_points", "d.points.*")
+    kind = "struct<meta:struct<n_points:bigint,source_type:string,has_satellites:boolean,suggested_z_offset_m:double>,points:struct<lat:array<double>,alt:array<double>,speed_kmh:array<double>,distance_m:array<double>,timestamp_ms:array<bigint>,above_terrain:array<double>>>"
+    df = docs.withColumn("d", F.from_json("document", kind)).select("track_id", "part", "d.meta.*", "d.points.*")
+    meta = ["n_points", "source_type", "has_satellites", "suggested_z_offset_m"]
     names = ["lat", "alt", "speed_kmh", "distance_m", "timestamp_ms", "above_terrain"]
-    rows = df.select("track_id", "part", "n_points", F.posexplode(F.arrays_zip(*names)).alias("i", "p"))
-    return rows.select("track_id", "part", F.col("i").cast("bigint").alias("idx"), "n_points", "p.*")
+    rows = df.select("track_id", "part", *meta, F.posexplode(F.arrays_zip(*names)).alias("i", "p"))
+    return rows.select("track_id", "part", F.col("i").cast("bigint").alias("idx"), *meta, "p.*")
 
 
 @query(
     "write_catalogue",
-    SAT_SQL + """SELECT track_id, count(*) AS n_points, CASE WHEN track_id IN (SELECT track_id FROM aligned) THEN 'satellites.json' END AS satellites, 'charts.json' AS charts FROM points GROUP BY track_id""",
+    SAT_SQL + """SELECT track_id, count(*) AS n_points, CASE WHEN track_id IN (SELECT track_id FROM aligned) THEN 'satellites.json' END AS satellites, 'charts.json' AS charts, CAST(track_id AS VARCHAR) AS dem_prefix, '1.1' AS viewer_version FROM points GROUP BY track_id""",
 )
 def write_catalogue(spark, sf):
     df = points(spark, sf)
-    return catalogue(df, align_satellites(df, bursts(spark, sf)), None, 1).select("track_id", "n_points", "satellites", "charts")
+    return catalogue(df, align_satellites(df, bursts(spark, sf)), None, 1).select(
+        "track_id", "n_points", "satellites", "charts", "dem_prefix", "viewer_version"
+    )
 
 
 @query(
     "export_tracks",
-    L_SQL + "SELECT track_id, string_agg(DISTINCT lod, ',' ORDER BY lod) AS levels FROM lods GROUP BY track_id",
+    L_SQL + "SELECT track_id, string_agg(DISTINCT lod, ',' ORDER BY lod) AS levels, (SELECT count(*) FROM track t WHERE t.track_id = lods.track_id) AS n_points FROM lods GROUP BY track_id",
 )
 def export_tracks(spark, sf):
-    """The whole export; the catalogue says which levels each track has."""
+    """The whole export: the levels that have a document, and the points that the track's documents hold."""
     out = pipelines.export_tracks(row_index(track(spark, sf)), None, tiles(spark, sf), pixels(spark, sf), cell_deg=CELL)
-    return out.catalogue.select("track_id", F.array_join("dem_lods", ",").alias("levels"))
+    levels = out.terrain_levels.groupBy("track_id").agg(F.array_join(F.array_sort(F.collect_list("lod")), ",").alias("levels"))
+    held = F.size(F.from_json("document", "struct<points:struct<lat:array<double>>>")["points"]["lat"])
+    n_points = out.documents.groupBy("track_id").agg(F.sum(held).cast("bigint").alias("n_points"))
+    return levels.join(n_points, "track_id")

@@ -118,7 +118,17 @@ def track_metadata(df: DataFrame, quantiles: DataFrame, n: int = DEFAULT_CLASSES
     """One row per track with the ``meta``, ``quantile_breaks`` and ``scales`` structs."""
     median = F.col("q_altitude_gnd_m.q")[n + 1]
     mode = F.when(median > FLIGHT_MEDIAN_AGL_M, "flight").otherwise("ground")
+    told = {
+        "suggested_z_offset_m": F.round(F.max("suggested_z_offset_m"), 2),
+        "source_file": F.min("source_file"),
+        "source_type": F.min("source_type"),
+    }
+    absent = {"suggested_z_offset_m": S.number(0), "source_file": F.lit(None).cast("string"), "source_type": F.lit(None).cast("string")}
+    named = [c for c in told if c in df.columns]
     meta = track_summary(df).join(quantiles, "track_id", "left").withColumn("track_mode", mode)
+    if named:
+        meta = meta.join(df.groupBy("track_id").agg(*[told[c].alias(c) for c in named]), "track_id")
+    meta = meta.withColumns({c: v for c, v in absent.items() if c not in named})
     bounds = F.struct(*[F.round(c, 6).alias(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")])
     breaks = [
         breaks_of(
@@ -142,6 +152,9 @@ def track_metadata(df: DataFrame, quantiles: DataFrame, n: int = DEFAULT_CLASSES
             bounds.alias("bounds"),
             "track_mode",
             "has_terrain",
+            "suggested_z_offset_m",
+            "source_file",
+            "source_type",
         ).alias("meta"),
         F.struct(*breaks, F.lit(n).alias("n_quantiles")).alias("quantile_breaks"),
         F.struct(
@@ -177,9 +190,12 @@ def point_arrays(df: DataFrame) -> DataFrame:
     return listed.select("track_id", "part", F.struct(*arrays).alias("points"))
 
 
-def track_documents(points: DataFrame, derivations: DataFrame | None = None, source_type: str = "nmea") -> DataFrame:
+def track_documents(
+    points: DataFrame, derivations: DataFrame | None = None, source_type: str = "nmea", aligned: DataFrame | None = None
+) -> DataFrame:
     """``(track_id, part, document)`` with one JSON text per part of a track.
 
+    ``source_type`` is told where the points have no column of that name, ``has_satellites`` for tracks in ``aligned``.
     The derived columns are written once; quantiles, summary and arrays read what they need from there.
     """
     df = settle(with_export_columns(points), "export")
@@ -192,9 +208,20 @@ def track_documents(points: DataFrame, derivations: DataFrame | None = None, sou
         )
         meta = meta.join(packed, "track_id", "left")
         derived = F.col("_derivation")
+    has_satellites = F.lit(False)
+    if aligned is not None:
+        seen = aligned.select("track_id").distinct().withColumn("_seen", F.lit(True))
+        meta = meta.join(seen, "track_id", "left")
+        has_satellites = F.coalesce("_seen", F.lit(False))
     meta = meta.withColumn(
-        "meta", F.struct("meta.*", F.lit(source_type).alias("source_type"), derived.alias("derivation"))
-    )
+        "meta",
+        F.struct(
+            F.col("meta").dropFields("source_type").alias("m"),
+            F.coalesce("meta.source_type", F.lit(source_type)).alias("source_type"),
+            has_satellites.alias("has_satellites"),
+            derived.alias("derivation"),
+        ),
+    ).withColumn("meta", F.struct("meta.m.*", "meta.source_type", "meta.has_satellites", "meta.derivation"))
     parts = point_arrays(with_classes(df, quantiles))
     body = F.struct("meta", "quantile_breaks", "scales", "points")
     return parts.join(meta, "track_id").select(

@@ -80,8 +80,10 @@ def read_overlays(spark: SparkSession, path) -> DataFrame:
         spark.read.options(wholetext="true", **options("*.txt")).text(path)
         .select(F.col("_metadata.file_path").alias("_path"), "value")
     )
+    # the same form of path as that of the texts
     pictures = (
-        spark.read.format("binaryFile").options(**options("*.png")).load(path).select(F.col("path").alias("_path"))
+        spark.read.format("binaryFile").options(**options("*.png")).load(path)
+        .select(F.col("_metadata.file_path").alias("_path"))
     )
     pictures = _listed(pictures).withColumnRenamed("_path", "picture")
     return parse_overlays(pair_by_stem(_listed(texts).drop("_path"), pictures))

@@ -52,7 +52,7 @@ def test_tracks_and_cuts_of_a_directory(spark, folder):
     assert by_track(plain) == [("log.txt", 47, 20), ("log.txt", 48, 20), ("my walk.gpx", 46, 5), ("tour.gpx", 47, 5), ("tour.gpx", 48, 5)]
     assert before.count() == 0 and all_sentences.select("track_id").distinct().count() == 2
     cut = {"source": "log.txt", "cut_ranges": [{"start": 0, "end": 4, "mode": "trim"}]}
-    (folder / "b" / "log.txt.cuts.json").write_text(json.dumps(cut))
+    (folder / "b" / "log.txt.cuts.json").write_text(json.dumps(cut, indent=2))
     # a sidecar without its log in the same folder edits nothing
     (folder / "a" / "my walk.gpx.cuts.json").write_text(json.dumps(cut))
     points, done, sentences = process_directory(spark, str(folder))

@@ -2,7 +2,7 @@
 
 Ordinary tracks use Spark's ``percentile``, which keeps the distinct values of a group in memory. Where a
 group may be huge (tracks with chunks, or values pooled over many tracks) the same numbers come from counting:
-count values per cell of the value range, find the cells that hold the wanted ranks, and order only those.
+count equal values, put them in order by ranges, find the ranges that hold the wanted ranks, and look only there.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from trackloom.plans.session import settle
 from trackloom.plans.skew import CHUNK, Keys, attach_track, skew_join
 
 DEFAULT_CLASSES = 5
-_CELL_ROWS = 65_536
-_MAX_CELLS = 4096
 
 
 def even_probabilities(n: int) -> list[float]:
@@ -30,39 +28,40 @@ def _known(df: DataFrame, value: str, key: Keys) -> DataFrame:
     return df.select(*key, *chunk, v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
 
 
-def _with_cells(data: DataFrame, key: Keys) -> tuple[DataFrame, DataFrame]:
-    """Values with the cell of the value range they fall in, and (n, lo, hi, cells) per group."""
-    sizes = (
-        data.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .withColumn("_cells", F.least(F.ceil(F.col("_n") / F.lit(_CELL_ROWS)), F.lit(_MAX_CELLS)))
-    )
-    share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), S.number(0))
-    cell = F.least(F.floor(F.coalesce(share, S.number(0)) * F.col("_cells")), F.col("_cells") - 1)
-    placed = attach_track(data, sizes, key, "inner").withColumn("_cell", cell.cast("bigint"))
-    return placed, sizes
+def _counted(values: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct values with their number ``_m``, written in value order.
 
+    ``_cell`` numbers the ranges of that order. Spark chooses them from a sample, so a range fits a task whatever the
+    distribution of the values and however many a group has; a value that many rows share is one row here.
+    """
+    counts = values.groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    ranged = counts.repartitionByRange(*[F.col(c) for c in [*key, "_v"]])
+    return settle(ranged.withColumn("_cell", F.spark_partition_id()), "values")
 
-def _quantiles_by_counting(df: DataFrame, value: str, probs: list[float], key: Keys) -> DataFrame:
-    key = list(key)
-    # the narrow value table is read several times, so it is written once
-    placed, sizes = _with_cells(settle(_known(df, value, key), "values"), key)
+
+def _sizes(counted: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(number, least and largest value of each group; ranks before and up to each of its ranges)."""
     by_cell = Window.partitionBy(*key).orderBy("_cell")
-    cells = placed.groupBy(*key, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    groups = counted.groupBy(*key).agg(F.sum("_m").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    cells = counted.groupBy(*key, "_cell").agg(F.sum("_m").alias("_c"))
     cells = cells.withColumn("_upto", F.sum("_c").over(by_cell)).withColumn("_from", F.col("_upto") - F.col("_c"))
+    return groups, cells
+
+
+def _quantiles_by_counting(df: DataFrame, value: str, probs: list[float], key: Keys) -> DataFrame:
+    key = list(key)
+    counted = _counted(_known(df, value, key), key)
+    sizes, cells = _sizes(counted, key)
     place = F.col("_p") * (F.col("_n") - 1)
     ranks = sizes.select(
         *key, F.col("_n"), F.posexplode(F.array(*[S.number(p) for p in probs])).alias("_i", "_p")
     ).withColumns({"_low": F.floor(place), "_high": F.ceil(place), "_place": place})
     ranks = ranks.select(*key, "_i", "_place", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_r"))
-    # at most _MAX_CELLS cells per group meet a handful of ranks
+    # a group has at most as many ranges as there are tasks; they meet a handful of ranks
     wanted = ranks.join(cells, key).where((F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_upto")))
     needed = wanted.select(*key, "_cell").distinct()
-    values = (
-        skew_join(placed.select(*key, "_cell", "_v"), needed, [*key, "_cell"], "left_semi")
-        .groupBy(*key, "_cell", "_v")
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .withColumn("_last", F.sum("_m").over(Window.partitionBy(*key, "_cell").orderBy("_v")))
+    values = counted.join(needed, [*key, "_cell"], "left_semi").withColumn(
+        "_last", F.sum("_m").over(Window.partitionBy(*key, "_cell").orderBy("_v"))
     )
     hit = values.join(wanted, [*key, "_cell"]).where(
         (F.col("_r") - F.col("_from") < F.col("_last")) & (F.col("_r") - F.col("_from") >= F.col("_last") - F.col("_m"))
@@ -209,15 +208,13 @@ def rank_position(df: DataFrame, value: str, name: str = "rank_pos", key: Keys =
         ties = F.count(F.lit(1)).over(Window.partitionBy(*key, known, F.col(value)))
         place = (F.rank().over(order) - 1 + (ties - 1) / 2) / (n - 1)
         return df.withColumn(name, F.when(known & (n <= 1), S.number(0.5)).when(known, place))
-    placed, _ = _with_cells(settle(_known(df, value, key), "values"), key)
-    per_chunk = placed.groupBy(*key, CHUNK, "_cell", "_v", "_n").agg(F.count(F.lit(1)).alias("_m"))
-    per_value = per_chunk.groupBy(*key, "_cell", "_v", "_n").agg(F.sum("_m").alias("_m"))
-    sizes = placed.groupBy(*key, "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    by_cell = Window.partitionBy(*key).orderBy("_cell")
-    offsets = sizes.select(*key, "_cell", (F.sum("_c").over(by_cell) - F.col("_c")).alias("_from"))
+    known_values = settle(_known(df, value, key), "chunk-values")
+    counted = _counted(known_values, key)
+    sizes, cells = _sizes(counted, key)
+    offsets = cells.join(sizes, key).select(*key, "_cell", "_from", "_n")
     upto = F.sum("_m").over(Window.partitionBy(*key, "_cell").orderBy("_v"))
-    first = F.col("_from") + upto - F.col("_m")
-    ranked = per_value.join(offsets, [*key, "_cell"]).select(
+    first = F.col("_from") + F.col("_last") - F.col("_m")
+    ranked = counted.withColumn("_last", upto).join(offsets, [*key, "_cell"]).select(
         *key,
         "_v",
         F.when(F.col("_n") <= 1, S.number(0.5))
@@ -225,7 +222,7 @@ def rank_position(df: DataFrame, value: str, name: str = "rank_pos", key: Keys =
         .alias(name),
     )
     # one row per value and chunk, so that a value shared by most rows is not one join key
-    local = per_chunk.select(*key, CHUNK, "_v").join(ranked, [*key, "_v"])
+    local = known_values.select(*key, CHUNK, "_v").distinct().join(ranked, [*key, "_v"])
     return df.withColumn("_v", F.col(value).cast("double")).join(local, [*key, CHUNK, "_v"], "left").drop("_v")
 
 

@@ -65,8 +65,8 @@ def parse_cuts(files: DataFrame) -> DataFrame:
 def read_cuts(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """(instructions, rejects) below a path; ``source_name`` is the log's file name taken from the document's."""
     files = (
-        spark.read.options(wholetext="true", **options(f"*{SUFFIX}"))
-        .text(path)
+        spark.read.options(**options(f"*{SUFFIX}"))
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     parsed = parse_cuts(files).withColumn(

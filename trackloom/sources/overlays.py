@@ -12,7 +12,7 @@ CORNERS = ("tl", "tr", "bl", "br")
 
 def _metadata(lines: Column, key: str) -> Column:
     hits = F.filter(lines, lambda s: F.lower(F.trim(F.regexp_extract(s, r"^([^:]*):", 1))) == key)
-    return F.trim(F.regexp_replace(F.element_at(hits, -1), r"^[^:]*:", ""))
+    return F.trim(F.regexp_replace(F.try_element_at(hits, F.lit(-1)), r"^[^:]*:", ""))
 
 
 def parse_overlays(texts: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def _listed(df: DataFrame) -> DataFrame:
 def read_overlays(spark: SparkSession, path) -> DataFrame:
     """All overlays below a path, with the picture's path."""
     texts = (
-        spark.read.options(wholetext="true", **options("*.txt")).text(path)
+        spark.read.options(**options("*.txt")).text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("_path"), "value")
     )
     # the same form of path as that of the texts

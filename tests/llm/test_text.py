@@ -212,6 +212,13 @@ def test_awkward_pages(spark):
     assert htmltext.extract_text(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("wrapper", ["<div id='page' class='no-sidebar'>%s</div>", "<div class='share-page'>%s</div>", "<form>%s</form>"])
+@pytest.mark.parametrize("inner", ["<article><h1>Title</h1><p>Some text.</p></article>", "<h1>Title</h1><p>Some text.</p>", "<p>Title</p><p>Some text.</p>"])
+def test_marked_wrapper_keeps_its_article(wrapper, inner):
+    assert htmltext.extract("<body>" + wrapper % inner + "</body>").endswith("Some text.")
+    assert htmltext.extract(f"<body><div class='sidebar'><p>Beside.</p></div>{wrapper % '<article>Text.</article>'}</body>") == "Text."
+
+
 def test_page_query(spark):
     """The generated pages hold one article each, whose blocks are known."""
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}

@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree. Elements that never belong to an article (menus, footers, forms, scripts, notices, adverts, reader
-comments and the like, told by their tag, role or class) are left out. Every node then gets a density: its characters for
+comments and the like, told by their tag, role or class) are left out, unless a marked one holds the article. Every node then gets a density: its characters for
 each tag, less where they are link text. The subtree whose children have the largest sum of densities is the article; the
 smallest density on its path up to the body is the threshold over which other parts are text as well.
 """
@@ -51,12 +51,13 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element: its name, children (nodes and texts in order), and counts of characters and tags, in links or not."""
 
-    __slots__ = ("name", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked")
 
     def __init__(self, name: str):
         self.name, self.children = name, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.marked = False
 
 
 def _closed_by(opened: str, name: str) -> bool:
@@ -77,8 +78,13 @@ _SCOPE = frozenset("html body table td th ul ol dl article section main div bloc
 
 
 def _unwanted(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is left out; ``inside``: it lies in an article or main element."""
-    if name in LEFT_OUT or name == "header" and not inside:
+    """Whether an element is left out for its tag; ``inside``: it lies in an article or main element."""
+    return name in LEFT_OUT and name != "form" or name == "header" and not inside
+
+
+def _marked(name: str, attributes: str) -> bool:
+    """Whether an element is a form or its class, id or role speaks against it; ``prune`` looks at what it holds."""
+    if name == "form":
         return True
     if name in FRAMES and name != "article" or "=" not in attributes:
         return False
@@ -140,13 +146,14 @@ def parse(html: str) -> Node:
                     if stack[i][0] in _SCOPE:
                         break
             inside = any(n in ("article", "main") for n, _ in stack)
-            out = _unwanted(name, attributes, inside)
+            out, marked = _unwanted(name, attributes, inside), _marked(name, attributes)
             if name in RAW:
                 if lower is None:
                     lower = html.lower() if len(html.lower()) == end else html
                 close = lower.find(f"</{name}", at)
                 if not out and not skipping:
                     node = Node(name)
+                    node.marked = marked
                     node.children.append(html[at : close if close >= 0 else end])
                     stack[-1][1].children.append(node)
                 at = end if close < 0 else (html.find(">", close) + 1 or end)
@@ -161,13 +168,44 @@ def parse(html: str) -> Node:
                     skipping -= stack.pop()[1] is None
             node = None if skipping or out else Node(name)
             if node:
+                node.marked = marked
                 stack[-1][1].children.append(node)
             else:
                 skipping += 1
             stack.append((name, node))
+    prune(root)
     return root
 
 
+def prune(root: Node) -> None:
+    """Takes out the marked elements, but none that holds an article, main or h1 element of its own.
+
+    Of a page that has no such element, those around the subtree with the largest density sum stay too.
+    """
+    order, parents = [root], {}
+    for node in order:
+        for child in node.children:
+            if isinstance(child, Node):
+                parents[child] = node
+                order.append(child)
+    if not any(n.marked for n in order):
+        return
+    stay: set[Node] = set()
+    anchors = [n for n in order if n.name in ("article", "main", "h1") and not n.marked]
+    if not anchors:
+        measure(root)
+        anchors = [max((n for n in order), key=lambda n: n.total)]
+        for n in order:
+            n.chars = n.tags = n.link_chars = n.link_tags = 0
+    for node in anchors:
+        while node is not None and node not in stay:
+            stay.add(node)
+            node = parents.get(node)
+    for node in order:
+        if any(isinstance(c, Node) and c.marked and c not in stay for c in node.children):
+            node.children = [c for c in node.children if isinstance(c, str) or not c.marked or c in stay]
+
+
 def measure(root: Node) -> None:
     """Counts, densities and density sums of all nodes, children before parents."""
     order, todo = [], [(root, False)]

@@ -212,6 +212,16 @@ def test_awkward_pages(spark):
     assert htmltext.extract_text(df.limit(0)).collect() == []
 
 
+def test_article_in_parts():
+    part = "<article><p>Part {} goes on for some words about its matter, and then a few more.</p></article>"
+    text = [f"Part {i} goes on for some words about its matter, and then a few more." for i in range(3)]
+    parts = "".join(part.format(i) for i in range(3))
+    links = "<ul>" + "".join(f'<li><a href="/{i}">link {i} to somewhere</a></li>' for i in range(9)) + "</ul>"
+    assert htmltext.extract(f"<body>{links}{parts}</body>") == "\n".join(text)
+    assert htmltext.extract(f"<body>{links}<main><h1>Title</h1>{parts}</main></body>") == "\n".join(["Title", *text])
+    assert htmltext.extract(f"<body>{parts}<article><p><a href='/'>only a link</a></p></article></body>") == "\n".join(text)
+
+
 @pytest.mark.parametrize("wrapper", ["<div id='page' class='no-sidebar'>%s</div>", "<div class='share-page'>%s</div>", "<form>%s</form>"])
 @pytest.mark.parametrize("inner", ["<article><h1>Title</h1><p>Some text.</p></article>", "<h1>Title</h1><p>Some text.</p>", "<p>Title</p><p>Some text.</p>"])
 def test_marked_wrapper_keeps_its_article(wrapper, inner):

@@ -241,16 +241,18 @@ def select(root: Node) -> list[Node]:
     """The nodes that hold the main text, in page order.
 
     The subtree with the largest density sum is looked for inside article and main elements if the page has any with text,
-    else everywhere. Inside such an element the whole element is the article. Elsewhere the smallest density on the way
-    from that subtree to the body is the threshold: parts beside the way that reach it belong to the article too.
+    else everywhere. The smallest density on the way from it to the body is the threshold: parts beside the way that reach
+    it belong to the article too. An outermost article or main element is one part, taken as a whole.
     """
     measure(root)
     parents: dict[Node, Node] = {}
+    frames: list[Node] = []
     best, frame_of_best, todo = None, None, [(root, None)]
     while todo:
         node, frame = todo.pop()
-        if node.name in ("article", "main") and node.chars:
+        if frame is None and node.name in ("article", "main") and node.chars:
             frame = node
+            frames.append(node)
         # a frame comes before any sum of densities, the first of equals before later ones
         if node.chars and (best is None or (frame is not None, node.total) > (frame_of_best is not None, best.total)):
             best, frame_of_best = node, frame
@@ -258,13 +260,15 @@ def select(root: Node) -> list[Node]:
             if isinstance(child, Node):
                 parents[child] = node
                 todo.append((child, frame))
-    if best is None or frame_of_best is not None:
-        return [frame_of_best] if frame_of_best else []
+    if best is None:
+        return []
     way, threshold, node = {best}, best.density, best
     while node in parents:
         node = parents[node]
         way.add(node)
         threshold = min(threshold, node.density)
+    if frames:
+        return [f for f in frames if f is frame_of_best or f.density >= threshold]
     chosen: list[Node] = []
     branches = [root]
     while branches:

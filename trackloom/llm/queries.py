@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, chat, exactdedup, htmltext, langid, linededup, packing, quality, search, simhash
+from trackloom.llm import (
+    bpe, chat, exactdedup, htmltext, langid, linededup, merkle, packing, quality, search, simhash, tokencount, whiten,
+)
 from trackloom.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +121,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, separator=0)
 
 
+@query
+def op11_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    found = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four whitened components of the largest variance."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), count=4, scale=256)
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and roots of every document, and the root that a tampered seventh of them leads to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claim = {"n_chars": F.when(chosen, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    found = merkle.document_manifest(docs, claim=claim)
+    return found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 SQL["op7_exact_dedup"] = """
     WITH rows AS (
       SELECT doc_id,
@@ -144,3 +173,52 @@ SQL["op9_chat_format"] = r"""
       sum(length('<|im_start|>') + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + 1
         + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
     FROM rows GROUP BY conv_id"""
+
+SQL["op13_merkle"] = """
+    WITH RECURSIVE rows AS (
+      SELECT *, coalesce('+' || lang, '!') AS grp, coalesce(
+        xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+          lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0, false) AS chosen
+      FROM documents),
+    told AS (
+      SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+          || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+        coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS chars,
+        coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS more,
+        coalesce(strlen(text) || ':' || text, '-') AS body
+      FROM rows),
+    hashed AS (
+      SELECT doc_id, grp, sha256(head || chars || body) AS leaf,
+        sha256(head || CASE WHEN chosen THEN more ELSE chars END || body) AS claimed FROM told),
+    leaves AS MATERIALIZED (
+      SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY grp) AS width FROM hashed),
+    tree AS (
+      SELECT grp, 0 AS level, pos, width, leaf AS h FROM leaves
+      UNION ALL
+      SELECT grp, level + 1, pos // 2, (width + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+      FROM tree WHERE width > 1 GROUP BY grp, level, pos // 2, width),
+    tops AS MATERIALIZED (
+      SELECT grp, h AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS width
+      FROM tree WHERE width = 1),
+    crown AS (
+      SELECT 0 AS level, pos, width, subroot AS h FROM tops
+      UNION ALL
+      SELECT level + 1, pos // 2, (width + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+      FROM crown WHERE width > 1 GROUP BY level, pos // 2, width),
+    low AS (
+      SELECT grp, pos AS leaf_pos, pos, 0 AS level, width, claimed AS h, '' AS proof FROM leaves
+      UNION ALL
+      SELECT f.grp, f.leaf_pos, f.pos // 2, f.level + 1, (f.width + 1) // 2,
+        sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+      FROM low f LEFT JOIN tree s ON s.grp = f.grp AND s.level = f.level AND s.pos = xor(f.pos, 1) WHERE f.width > 1),
+    high AS (
+      SELECT l.grp, l.leaf_pos, t.pos, 0 AS level, t.width, l.h, l.proof FROM low l JOIN tops t USING (grp) WHERE l.width = 1
+      UNION ALL
+      SELECT f.grp, f.leaf_pos, f.pos // 2, f.level + 1, (f.width + 1) // 2,
+        sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+      FROM high f LEFT JOIN crown s ON s.level = f.level AND s.pos = xor(f.pos, 1) WHERE f.width > 1)
+    SELECT l.doc_id, l.leaf, t.subroot, c.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = c.h AS verified
+    FROM leaves l JOIN tops t USING (grp) JOIN high g ON g.grp = l.grp AND g.leaf_pos = l.pos AND g.width = 1
+      JOIN crown c ON c.width = 1"""

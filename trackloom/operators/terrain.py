@@ -1,18 +1,18 @@
 """Elevation grids: which tile, which pixel, and grid operations.
 
-``tiles`` has ``(tile_id, priority, left, bottom, right, top, dx, dy, n_rows, n_cols)``; ``pixels`` has
-``(tile_id, row, col, elev)`` with row 0 in the north and NULL for no data. A spatial range join becomes an
-equi-join on degree cells, and the pixel lookup an equi-join on ``(tile_id, row, col)``; both salt hot places.
+``tiles`` has ``(tile_id, priority, left, bottom, right, top, dx, dy, n_rows, n_cols)``; ``pixels`` is a table of blocks (see
+``raster``) or has ``(tile_id, row, col, elev)`` with row 0 in the north and NULL for no data, and is packed then. A spatial
+range join becomes an equi-join on degree cells, and the pixel lookup one on blocks; both salt hot places.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as S
+from trackloom.operators import raster
+from trackloom.operators.raster import as_blocks, gaussian_weights
 from trackloom.plans.skew import Keys, skew_join
 
 # Detail levels as (level, metres per pixel, pixels per axis).
@@ -61,13 +61,12 @@ def point_in_tile(points: DataFrame, tiles: DataFrame, cell_deg: float = 1.0, ke
 
 def pixel_lookup(located: DataFrame, pixels: DataFrame) -> DataFrame:
     """Add ``terrain_elev`` of the pixel; a pixel without data gives NULL and no other tile is tried."""
-    values = pixels.select("tile_id", "row", "col", F.col("elev").alias("terrain_elev"))
-    return skew_join(located, values, ["tile_id", "row", "col"])
+    return raster.block_lookup(located, as_blocks(pixels))
 
 
 def sample_dem_nearest(points: DataFrame, tiles: DataFrame, pixels: DataFrame, cell_deg: float = 1.0, key: Keys = POINT) -> DataFrame:
     """Every point with the raw elevation of the pixel that contains it."""
-    found = pixel_lookup(point_in_tile(points, tiles, cell_deg, key), pixels).select(*key, "terrain_elev")
+    found = pixel_lookup(point_in_tile(points, tiles, cell_deg, key), as_blocks(pixels, tiles)).select(*key, "terrain_elev")
     return points.join(found, list(key), "left")
 
 
@@ -87,7 +86,7 @@ def above_neutral(df: DataFrame) -> DataFrame:
 def sample_dem_bilinear(points: DataFrame, tiles: DataFrame, pixels: DataFrame, cell_deg: float = 1.0, key: Keys = POINT) -> DataFrame:
     """Elevation between the four pixel centres around a point; unknown neighbours count as 0, outside is NULL.
 
-    Each point becomes four weighted pixel lookups and one sum.
+    The four pixels are taken from one block, from more only where it ends between them.
     """
     key = list(key)
     half_x, half_y = F.col("dx") / 2, F.col("dy") / 2
@@ -121,13 +120,8 @@ def sample_dem_bilinear(points: DataFrame, tiles: DataFrame, pixels: DataFrame,
             for dc in (0, 1)
         ]
     )
-    wanted = best.select(*key, "tile_id", F.explode(corners).alias("k")).select(*key, "tile_id", "k.*")
-    summed = (
-        pixel_lookup(wanted, pixels)
-        .groupBy(*key)
-        .agg(F.sum(F.coalesce("terrain_elev", S.number(0)) * F.col("weight")).alias("terrain_elev"))
-    )
-    return points.join(summed, key, "left")
+    wanted = best.select(*key, "tile_id", corners.alias("corners"))
+    return points.join(raster.weighted_lookup(wanted, as_blocks(pixels, tiles), key), key, "left")
 
 
 # --- grids ----------------------------------------------------------------------------------
@@ -163,8 +157,8 @@ def prune_tiles(bounds: DataFrame, tiles: DataFrame, cell_deg: float = 1.0) -> D
     )
 
 
-def clip_windows(bounds: DataFrame, tiles: DataFrame, cell_deg: float = 1.0) -> DataFrame:
-    """Per track and overlapping tile the rows and columns whose pixel centres lie in the padded bounds."""
+def _covered(bounds: DataFrame, tiles: DataFrame, cell_deg: float) -> DataFrame:
+    """Per track and overlapping tile the rows and columns whose pixel centres lie in the padded bounds, if there are any."""
     west, east = F.greatest("box_w", "left"), F.least("box_e", "right")
     south, north = F.greatest("box_s", "bottom"), F.least("box_n", "top")
     # a centre lies at origin + (i + 0.5) * step
@@ -176,42 +170,38 @@ def clip_windows(bounds: DataFrame, tiles: DataFrame, cell_deg: float = 1.0) ->
             "r1": F.least(F.col("n_rows") - 1, F.floor((F.col("top") - south) / F.col("dy") - S.number(0.5))),
         }
     )
-    windows = windows.where((F.col("c0") <= F.col("c1")) & (F.col("r0") <= F.col("r1")))
+    return windows.where((F.col("c0") <= F.col("c1")) & (F.col("r0") <= F.col("r1")))
+
+
+def _sized(windows: DataFrame) -> list[Column]:
+    """Number of rows and columns of a window, and its middle latitude."""
     lat0, lat1 = pixel_centre("r0", "c0")[0], pixel_centre("r1", "c0")[0]
-    return windows.select(
-        "track_id", "tile_id", "priority", "left", "top", "dx", "dy", "c0", "c1", "r0", "r1",
+    return [
         (F.col("r1") - F.col("r0") + 1).cast("int").alias("n_rows"),
         (F.col("c1") - F.col("c0") + 1).cast("int").alias("n_cols"),
         ((lat0 + lat1) / 2).alias("mid_lat"),
-    )
+    ]
+
+
+def clip_windows(bounds: DataFrame, tiles: DataFrame, cell_deg: float = 1.0) -> DataFrame:
+    """Per track and overlapping tile the rows and columns whose pixel centres lie in the padded bounds."""
+    windows = _covered(bounds, tiles, cell_deg)
+    return windows.select("track_id", "tile_id", "priority", "left", "top", "dx", "dy", "c0", "c1", "r0", "r1", *_sized(windows))
 
 
 def clip_pixels(windows: DataFrame, pixels: DataFrame) -> DataFrame:
-    """The pixels inside each window, renumbered from its first row and column."""
-    extra = [c for c in ("lod", "step_row", "step_col") if c in windows.columns]
-    joined = pixels.select("tile_id", "row", "col", "elev").join(windows, "tile_id")
-    lat, lon = pixel_centre("row", "col")
-    inside = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    return joined.where(inside).select(
-        "track_id",
-        "tile_id",
-        *extra,
-        "priority",
-        (F.col("row") - F.col("r0")).cast("int").alias("row"),
-        (F.col("col") - F.col("c0")).cast("int").alias("col"),
-        "n_rows",
-        "n_cols",
-        "dx",
-        "dy",
-        lat.alias("lat"),
-        lon.alias("lon"),
-        "elev",
+    """The pixels inside each window, renumbered from its first row and column; a window meets the blocks that it touches."""
+    held = ("track_id", "n_rows", "n_cols", "left", "top", "dx", "dy", "r0", "c0")
+    cells = raster.clip_blocks(windows, as_blocks(pixels), held)
+    lat, lon = pixel_centre(F.col("row") + F.col("r0"), F.col("col") + F.col("c0"))
+    return cells.select(
+        "track_id", "tile_id", "priority", "row", "col", "n_rows", "n_cols", "dx", "dy", lat.alias("lat"), lon.alias("lon"), "elev"
     )
 
 
 def clip_dem(bounds: DataFrame, tiles: DataFrame, pixels: DataFrame, cell_deg: float = 1.0) -> DataFrame:
     """The part of each overlapping tile around each track; grids are keyed ``(track_id, tile_id)``."""
-    return clip_pixels(clip_windows(bounds, tiles, cell_deg), pixels)
+    return clip_pixels(clip_windows(bounds, tiles, cell_deg), as_blocks(pixels, tiles))
 
 
 def downsample_steps(n_rows, n_cols, dx, dy, ref_lat, target_m: float | None, max_px: int | None) -> tuple[Column, Column]:
@@ -243,56 +233,16 @@ def decimate_dem(grid: DataFrame, step_row: Column, step_col: Column) -> DataFra
     return df.withColumns(out).drop("_sr", "_sc")
 
 
-def gaussian_weights(sigma: float) -> list[float]:
-    radius = int(4 * sigma + 0.5)
-    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    return [w / sum(raw) for w in raw]
-
-
-def _blur_axis(df: DataFrame, grid: list[str], across: str, along: str, value: str, sigma: float, rest: list[str]) -> DataFrame:
-    """Blur every line of the grids; lines are mirrored at their ends with the end value repeated."""
-    weights = gaussian_weights(sigma)
-    radius = len(weights) // 2
-    # one line of a raster, a few thousand values at most
-    lines = df.groupBy(*grid, across).agg(F.array_sort(F.collect_list(F.struct(along, value, *rest))).alias("_line"))
-    n = F.size("_line")
-
-    def mirrored(i: Column) -> Column:
-        p = F.pmod(i, n * 2)
-        return F.when(p < n, p).otherwise(n * 2 - 1 - p)
-
-    lines = lines.withColumn("_values", F.col("_line").getField(value)).withColumn(
-        "_padded", F.transform(F.sequence(F.lit(-radius), n + radius - 1), lambda i: F.get("_values", mirrored(i)))
-    )
-
-    def blurred(i: Column) -> Column:
-        total = S.number(0)
-        for k, w in enumerate(weights):
-            total = total + S.number(w) * F.get("_padded", i + k)
-        return total
-
-    lines = lines.withColumn("_b", F.transform(F.sequence(F.lit(0), n - 1), blurred))
-    return lines.select(
-        *grid, across, F.explode(F.arrays_zip(F.col("_line").alias("p"), F.col("_b").alias("b"))).alias("z")
-    ).select(
-        *grid, across, F.col("z.p")[along].alias(along), F.col("z.b").alias(value), *[F.col("z.p")[c].alias(c) for c in rest]
-    )
-
-
 def smooth_dem(grid: DataFrame, sigma: float = 1.0, key: Keys = ("track_id", "tile_id")) -> DataFrame:
-    """Gaussian blur of complete grids, first along columns, then along rows.
+    """Gaussian blur of grids of pixels, first along columns, then along rows, block by block with a halo.
 
-    Unknown pixels take the grid's mean while blurring and are unknown again afterwards.
+    Unknown pixels take the grid's mean while blurring and are unknown again afterwards. Further columns stay.
     """
     key = list(key)
-    mean = grid.groupBy(*key).agg(F.avg("elev").alias("_mean"))
+    blocks = raster.pack_blocks(grid.select(*key, "row", "col", "elev"), None, key, kind="double")
+    blurred = raster.unpack_blocks(raster.smooth_blocks(blocks, sigma, key), key)
     rest = [c for c in grid.columns if c not in (*key, "row", "col", "elev")]
-    filled = grid.join(mean, key).withColumns(
-        {"_known": F.col("elev").isNotNull(), "elev": F.coalesce(F.col("elev"), F.col("_mean"))}
-    ).drop("_mean")
-    down = _blur_axis(filled, key, "col", "row", "elev", sigma, ["_known", *rest])
-    across = _blur_axis(down, key, "row", "col", "elev", sigma, ["_known", *rest])
-    return across.withColumn("elev", F.when(F.col("_known"), F.col("elev"))).drop("_known")
+    return blurred.join(grid.drop("elev"), [*key, "row", "col"]).select(*grid.columns) if rest else blurred
 
 
 def mosaic_dem(pixels: DataFrame, tiles: DataFrame, key: Keys = ()) -> DataFrame:
@@ -322,8 +272,8 @@ def mosaic_dem(pixels: DataFrame, tiles: DataFrame, key: Keys = ()) -> DataFrame
     )
 
 
-def lod_windows(windows: DataFrame, levels=LODS) -> DataFrame:
-    """Per track and level the window with the most pixels after decimation, with its steps."""
+def _level_steps(windows: DataFrame, levels=LODS) -> DataFrame:
+    """A row for each window and level, with the steps between the rows and columns that stay."""
     table = F.array(
         *[F.struct(F.lit(i).alias("lod"), S.number(m).alias("m"), F.lit(px).alias("px")) for i, m, px in levels]
     )
@@ -341,18 +291,79 @@ def lod_windows(windows: DataFrame, levels=LODS) -> DataFrame:
             "step_col": step("n_cols", F.col("dx") * (k * F.cos(F.radians("mid_lat")))),
         }
     )
-    count = F.ceil(F.col("n_rows") / F.col("step_row")) * F.ceil(F.col("n_cols") / F.col("step_col"))
-    return largest_tile(sized.withColumn("n_pixels", count))
+    kept = {"m_rows": F.ceil(F.col("n_rows") / F.col("step_row")), "m_cols": F.ceil(F.col("n_cols") / F.col("step_col"))}
+    return sized.withColumns({n: c.cast("int") for n, c in kept.items()})
+
+
+def lod_windows(windows: DataFrame, levels=LODS) -> DataFrame:
+    """Per track and level the window with the most pixels after decimation, with its steps."""
+    sized = _level_steps(windows, levels)
+    return largest_tile(sized.withColumn("n_pixels", F.col("m_rows").cast("bigint") * F.col("m_cols")))
+
+
+_GRID = ("top", "left", "dx", "dy", "r0", "c0", "step_row", "step_col", "m_rows", "m_cols")
 
 
-def dem_lods(windows: DataFrame, pixels: DataFrame, levels=LODS, sigma: float = 1.0) -> DataFrame:
-    """Three detail levels per track: the largest clipped tile of each level, decimated and blurred.
+def mosaic_windows(bounds: DataFrame, tiles: DataFrame, levels=LODS, cell_deg: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(grids, sources): per track and level a window on the raster of its first tile, over all of its tiles; and these tiles."""
+    covered = _covered(bounds, tiles, cell_deg)
+    base = covered.groupBy("track_id").agg(
+        F.min_by(F.struct("left", "top", "dx", "dy"), "priority").alias("_b"),
+        F.greatest(F.max("box_w"), F.min("left")).alias("_w"), F.least(F.min("box_e"), F.max("right")).alias("_e"),
+        F.greatest(F.max("box_s"), F.min("bottom")).alias("_s"), F.least(F.min("box_n"), F.max("top")).alias("_n"),
+    ).select("track_id", "_b.*", "_w", "_e", "_s", "_n")
+    half = S.number(0.5)
+    base = base.withColumns(
+        {
+            "c0": F.ceil((F.col("_w") - F.col("left")) / F.col("dx") - half), "c1": F.floor((F.col("_e") - F.col("left")) / F.col("dx") - half),
+            "r0": F.ceil((F.col("top") - F.col("_n")) / F.col("dy") - half), "r1": F.floor((F.col("top") - F.col("_s")) / F.col("dy") - half),
+        }
+    ).where("c0 <= c1 and r0 <= r1")
+    sized = _level_steps(base.select("track_id", "left", "top", "dx", "dy", "r0", "c0", *_sized(base)), levels)
+    grids = sized.select("track_id", "lod", *_GRID)
+    return grids, grids.join(_tiles_of(covered).select("track_id", *_TILE), "track_id")
+
+
+_TILE = ("tile_id", "priority", "tile_left", "tile_top", "tile_dx", "tile_dy", "tile_rows", "tile_cols")
+
+
+def _tiles_of(windows: DataFrame) -> DataFrame:
+    own = {"tile_left": "left", "tile_top": "top", "tile_dx": "dx", "tile_dy": "dy", "tile_rows": "n_rows", "tile_cols": "n_cols"}
+    return windows.withColumns({n: F.col(c) for n, c in own.items()})
+
+
+def dem_lods(
+    bounds: DataFrame, tiles: DataFrame, pixels: DataFrame, levels=LODS, sigma: float = 1.0, cell_deg: float = 1.0, largest: bool = False
+) -> DataFrame:
+    """Detail levels around each track as blocks ``(track_id, lod, brow, bcol, ..., values)``, decimated and blurred.
 
-    The choice needs the windows only, so pixels are read once and only for the chosen tiles.
+    A level is the mosaic of all tiles under the track, on the raster of the first of them by priority: each of its pixels takes
+    the first tile that has data there. With ``largest`` it is the clip of one tile, that with the most pixels, whose
+    ``tile_id`` is given. lat0, lon0 are the centre of the first pixel, dlat and dlon the steps to the south and east.
     """
-    grid = clip_pixels(lod_windows(windows, levels), pixels)
-    thin = decimate_dem(grid, F.col("step_row"), F.col("step_col")).drop("step_row", "step_col")
-    return smooth_dem(thin, sigma, ("track_id", "tile_id", "lod"))
+    if largest:
+        grids = lod_windows(clip_windows(bounds, tiles, cell_deg), levels)
+        dims = tiles.select("tile_id", F.col("n_rows").alias("tile_rows"), F.col("n_cols").alias("tile_cols"))
+        own = {f"tile_{c}": F.col(c) for c in ("left", "top", "dx", "dy")}
+        sources = grids.withColumns(own).join(dims, "tile_id").select("track_id", "lod", *_GRID, *_TILE)
+    else:
+        grids, sources = mosaic_windows(bounds, tiles, levels, cell_deg)
+    key = ("track_id", "lod")
+    blocks = raster.mosaic_blocks(grids, sources, as_blocks(pixels, tiles), key)
+    lat0, lon0 = pixel_centre("r0", "c0")
+    place = grids.select(
+        *key, *(["tile_id"] if largest else []), lat0.alias("lat0"), lon0.alias("lon0"),
+        (F.col("step_row") * F.col("dy")).alias("dlat"), (F.col("step_col") * F.col("dx")).alias("dlon"),
+    )
+    return raster.smooth_blocks(blocks, sigma, key).join(place, list(key))
+
+
+def level_pixels(levels: DataFrame) -> DataFrame:
+    """The pixels of detail levels: row, col, elev, lat and lon, and ``tile_id`` where the levels have it."""
+    keep = ["lat0", "lon0", "dlat", "dlon", *[c for c in ("tile_id",) if c in levels.columns]]
+    cells = raster.unpack_blocks(levels, ("track_id", "lod"), keep)
+    lat, lon = F.col("lat0") - F.col("row") * F.col("dlat"), F.col("lon0") + F.col("col") * F.col("dlon")
+    return cells.withColumns({"lat": lat, "lon": lon}).drop("lat0", "lon0", "dlat", "dlon")
 
 
 def largest_tile(sized: DataFrame, key: Keys = ("track_id", "lod")) -> DataFrame:

@@ -31,7 +31,8 @@ from trackloom.operators.nmea import (
 from trackloom.operators.quantiles import class_by_boundaries, global_boundaries
 from trackloom.operators.satellites import align_satellites
 from trackloom.operators.summary import comparison_bounds, reference_point, track_bounds
-from trackloom.operators.terrain import above_neutral, clip_windows, dem_lods, enrich_terrain
+from trackloom.operators.raster import as_blocks
+from trackloom.operators.terrain import above_neutral, dem_lods, enrich_terrain
 from trackloom.plans.session import settle
 from trackloom.plans.skew import attach_track, split_hot_tracks
 from trackloom.sinks.catalogue import catalogue, save_track
@@ -44,7 +45,7 @@ from trackloom.sinks.document import (
 )
 from trackloom.sinks.gpx import write_gpx
 from trackloom.sources.cuts import cut_rows, read_cuts
-from trackloom.sources.dem import read_ascii_grid
+from trackloom.sources.dem import read_ascii_blocks
 from trackloom.sources.discover import discover_inputs
 from trackloom.sources.files import track_id
 from trackloom.sources.gpx import read_gpx
@@ -97,9 +98,12 @@ def export_tracks(
     derivations: DataFrame | None = None,
     source_type: str = "nmea",
     cell_deg: float = 1.0,
+    largest_tile: bool = False,
 ) -> Export:
     """Documents for every track: points, satellites, terrain levels, overlays and the catalogue.
 
+    Terrain levels show the mosaic of all tiles under a track, or with ``largest_tile`` only the one with the most pixels.
+
     ``source_type`` is that of tracks without a column of this name; columns ``source_file`` and
     ``suggested_z_offset_m`` of the points are told in the documents.
     """
@@ -107,8 +111,9 @@ def export_tracks(
     lods = None
     if tiles is not None and pixels is not None:
         bounds = track_bounds(points)
+        pixels = settle(as_blocks(pixels, tiles), "blocks")
         points = settle(above_neutral(enrich_terrain(points, tiles, pixels, 0.0, cell_deg)), "points")
-        lods = settle(dem_lods(clip_windows(bounds, tiles, cell_deg), pixels), "lods")
+        lods = settle(dem_lods(bounds, tiles, pixels, cell_deg=cell_deg, largest=largest_tile), "lods")
     aligned = None
     if schema_a is not None:
         aligned = settle(align_satellites(points, schema_a.where(F.col("sentence_type") == "GSV")), "aligned")
@@ -211,7 +216,7 @@ def export_directory(spark: SparkSession, path: str, out: str, cell_deg: float =
     points, derivations, schema_a = process_directory(spark, path)
     points, derivations = settle(points, "edited-points"), settle(derivations, "derivations")
     kinds = {r["kind"] for r in discover_inputs(spark, path).select("kind").distinct().collect()}
-    tiles, pixels = (settle(t, "grids") for t in read_ascii_grid(spark, path)) if "dem" in kinds else (None, None)
+    tiles, pixels = (settle(t, "grids") for t in read_ascii_blocks(spark, path)) if "dem" in kinds else (None, None)
     overlays = read_overlays(spark, path) if "overlay" in kinds else None
     export = export_tracks(points, schema_a, tiles, pixels, overlays, derivations, cell_deg=cell_deg)
     write_export(export, out)

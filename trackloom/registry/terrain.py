@@ -142,8 +142,8 @@ def _clipped(spark, sf) -> DataFrame:
     return terrain.clip_dem(summary.track_bounds(track(spark, sf)), tiles(spark, sf), pixels(spark, sf), CELL)
 
 
-def _lods(spark, sf) -> DataFrame:
-    return terrain.dem_lods(_windows(spark, sf), pixels(spark, sf))
+def _lods(spark, sf, largest: bool) -> DataFrame:
+    return terrain.dem_lods(summary.track_bounds(track(spark, sf)), tiles(spark, sf), pixels(spark, sf), cell_deg=CELL, largest=largest)
 
 
 @query("prune_tiles", with_(Q_TRACK, Q_TILES, Q_BOX) + "SELECT track_id, tile_id FROM pruned")
@@ -201,19 +201,21 @@ def smooth_dem(spark, sf):
 
 @query(
     "mosaic_dem",
-    G_SQL + """SELECT track_id, CAST(round((90 - lat) / dy - 0.5::DOUBLE) AS BIGINT) AS row_no, CAST(round((lon + 180) / dx - 0.5::DOUBLE) AS BIGINT) AS col_no, arg_min(elev, p) FILTER (elev IS NOT NULL) AS elev
-FROM (SELECT tile_id % 1000000 AS track_id, dx, dy, tt - (r + 0.5::DOUBLE) * dy AS lat, tl + (c + 0.5::DOUBLE) * dx AS lon, elev, 1 AS p FROM pixels JOIN tiles USING (tile_id) WHERE tile_id >= 1000000
-  UNION ALL SELECT tile_id % 1000000, dx, dy, tt - (r + 0.5::DOUBLE) * dy, tl + (c + 0.5::DOUBLE) * dx, 500 + r, 2 FROM pixels JOIN tiles USING (tile_id) WHERE tile_id >= 1000000 AND r % 2 = 0) GROUP BY ALL""",
+    G_SQL + """SELECT track_id, step, CAST(round((90 - lat) / dy - 0.5::DOUBLE) AS BIGINT) AS row_no, CAST(round((lon + 180) / dx - 0.5::DOUBLE) AS BIGINT) AS col_no, arg_min(elev, p) FILTER (elev IS NOT NULL) AS elev
+FROM (SELECT tile_id % 1000000 AS track_id, CAST(round(dx * 10000) AS INT) AS step, dx, dy, tt - (r + 0.5::DOUBLE) * dy AS lat, tl + (c + 0.5::DOUBLE) * dx AS lon, elev, 1 AS p FROM pixels JOIN tiles USING (tile_id)
+  UNION ALL SELECT tile_id % 1000000, CAST(round(dx * 10000) AS INT), dx, dy, tt - (r + 0.5::DOUBLE) * dy, tl + (c + 0.5::DOUBLE) * dx, 500 + r, 2 FROM pixels JOIN tiles USING (tile_id) WHERE r % 2 = 0) GROUP BY ALL""",
 )
 def mosaic_dem(spark, sf):
-    coarse = pixels(spark, sf).where(F.col("tile_id") >= 1_000_000).withColumn("track_id", F.col("tile_id") % 1_000_000)
-    second = coarse.where(F.col("row") % 2 == 0).withColumns(
-        {"tile_id": F.col("tile_id") + 1_000_000, "elev": (F.col("row") + 500).cast("double")}
+    """The fine and the coarse tiles of each track, each resolution as one mosaic, under a second layer in every other row."""
+    t = tiles(spark, sf)
+    step = F.round(F.col("dx") * 10_000).cast("int").alias("step")
+    first = pixels(spark, sf).join(t.select("tile_id", (F.col("tile_id") % 1_000_000).alias("track_id"), step), "tile_id")
+    second = first.where(F.col("row") % 2 == 0).withColumns(
+        {"tile_id": F.col("tile_id") + 10_000_000, "elev": (F.col("row") + 500).cast("double")}
     )
-    t = tiles(spark, sf).where(F.col("tile_id") >= 1_000_000)
-    copies = t.withColumns({"tile_id": F.col("tile_id") + 1_000_000, "priority": F.col("priority") + 1_000_000})
-    df = terrain.mosaic_dem(coarse.unionByName(second), t.unionByName(copies), ("track_id",))
-    return df.select("track_id", F.col("row").alias("row_no"), F.col("col").alias("col_no"), "elev")
+    copies = t.withColumns({"tile_id": F.col("tile_id") + 10_000_000, "priority": F.col("priority") + 10_000_000})
+    df = terrain.mosaic_dem(first.unionByName(second), t.unionByName(copies), ("track_id", "step"))
+    return df.select("track_id", "step", F.col("row").alias("row_no"), F.col("col").alias("col_no"), "elev")
 
 
 Q_LODS = f"""lod_size AS (SELECT *, CAST(greatest(1, floor(m / (dy * 111320::DOUBLE)), ceil(nr / px)) AS INT) AS sr,
@@ -227,10 +229,32 @@ L_SQL = with_(Q_TRACK, Q_TILES, Q_PIXELS, Q_BOX, Q_CLIP, Q_LODS)
 
 @query("dem_lods", L_SQL + "SELECT track_id, tile_id, lod, r AS row_no, c AS col_no, round(elev, 6) AS elev FROM lods")
 def dem_lods(spark, sf):
-    df = _lods(spark, sf)
+    df = terrain.level_pixels(_lods(spark, sf, True))
     return df.select("track_id", "tile_id", "lod", F.col("row").alias("row_no"), F.col("col").alias("col_no"), F.round("elev", 6).alias("elev"))
 
 
+Q_MOSAIC = f"""base AS (SELECT track_id, arg_min({{'l': tl, 't': tt, 'dx': dx, 'dy': dy}}, priority) AS b, greatest(max(w), min(tl)) AS w, least(min(e), max(tr)) AS e, greatest(max(s), min(tb)) AS s, least(min(n), max(tt)) AS n
+  FROM windows WHERE r0 <= r1 AND c0 <= c1 GROUP BY track_id),
+frame AS (SELECT track_id, b.l AS bl, b.t AS bt, b.dx AS bdx, b.dy AS bdy, ceil((w - b.l) / b.dx - 0.5::DOUBLE) AS fc0, floor((e - b.l) / b.dx - 0.5::DOUBLE) AS fc1, ceil((b.t - n) / b.dy - 0.5::DOUBLE) AS fr0, floor((b.t - s) / b.dy - 0.5::DOUBLE) AS fr1 FROM base),
+level AS (SELECT *, CAST(greatest(1, floor(m / (bdy * 111320::DOUBLE)), ceil((fr1 - fr0 + 1) / px)) AS INT) AS sr,
+  CAST(greatest(1, floor(m / (bdx * (111320::DOUBLE * cos(radians(((bt - (fr0 + 0.5::DOUBLE) * bdy) + (bt - (fr1 + 0.5::DOUBLE) * bdy)) / 2))))), ceil((fc1 - fc0 + 1) / px)) AS INT) AS sc
+  FROM frame CROSS JOIN (VALUES (0, 10::DOUBLE, 2000), (1, 50::DOUBLE, 1000), (2, 200::DOUBLE, 500)) l(lod, m, px) WHERE fr0 <= fr1 AND fc0 <= fc1),
+cells AS (SELECT * EXCLUDE (m, px), CAST(unnest(range(CAST(ceil((fc1 - fc0 + 1) / sc) AS BIGINT))) AS INT) AS c FROM (SELECT *, CAST(unnest(range(CAST(ceil((fr1 - fr0 + 1) / sr) AS BIGINT))) AS INT) AS r FROM level)),
+centres AS (SELECT *, bt - (fr0 + r * sr + 0.5::DOUBLE) * bdy AS lat, bl + (fc0 + c * sc + 0.5::DOUBLE) * bdx AS lon FROM cells),
+laid AS (SELECT k.track_id, k.lod, k.r, k.c, any_value(k.lat) AS lat, any_value(k.lon) AS lon, arg_min(p.elev, w.priority) FILTER (p.elev IS NOT NULL) AS elev
+  FROM centres k LEFT JOIN windows w ON w.track_id = k.track_id AND w.r0 <= w.r1 AND w.c0 <= w.c1
+  LEFT JOIN pixels p ON p.tile_id = w.tile_id AND p.r = floor((w.tt - k.lat) / w.dy + 0.000001::DOUBLE) AND p.c = floor((k.lon - w.tl) / w.dx + 0.000001::DOUBLE) GROUP BY ALL),
+{sql_smooth('laid', 'track_id, lod', 'levels')}"""
+M_SQL = with_(Q_TRACK, Q_TILES, Q_PIXELS, Q_BOX, Q_CLIP, Q_MOSAIC)
+
+
+@query("mosaic_lods", M_SQL + "SELECT track_id, lod, r AS row_no, c AS col_no, round(lat, 8) AS lat, round(lon, 8) AS lon, round(levels.elev, 6) AS elev FROM levels JOIN laid USING (track_id, lod, r, c)")
+def mosaic_lods(spark, sf):
+    """Levels of the fine and the coarse tile under each track: fine where it reaches, coarse beyond and in its gaps."""
+    df = terrain.level_pixels(_lods(spark, sf, False))
+    return df.select("track_id", "lod", F.col("row").alias("row_no"), F.col("col").alias("col_no"), *[F.round(c, 8).alias(c) for c in ("lat", "lon")], F.round("elev", 6).alias("elev"))
+
+
 @query("largest_tile", with_(Q_TRACK, Q_TILES, Q_PIXELS, Q_BOX, Q_CLIP, Q_LODS) + "SELECT track_id, lod, tile_id FROM lod_best WHERE lod = 0")
 def largest_tile(spark, sf):
     sized = _windows(spark, sf).select("track_id", "tile_id", "priority", (F.col("n_rows") * F.col("n_cols")).alias("n_pixels"))
@@ -255,15 +279,17 @@ def reduce_to_budget(spark, sf):
 
 @query(
     "write_dem_level",
-    L_SQL + "SELECT track_id, lod, CAST(max(r) + 1 AS BIGINT) AS n_rows, CAST(max(c) + 1 AS BIGINT) AS n_cols, round(sum(round(elev, 1)), 4) AS total, count(elev) AS n_known FROM lods GROUP BY track_id, lod",
+    M_SQL + """SELECT track_id, lod, 0 AS part, CAST(max(r) OVER g + 1 AS BIGINT) AS n_rows, CAST(max(c) OVER g + 1 AS BIGINT) AS n_cols,
+  CAST(max(r) OVER g - r AS BIGINT) AS row_from_south, CAST(c AS BIGINT) AS col_no, round(elev, 1) AS elev FROM levels WINDOW g AS (PARTITION BY track_id, lod)""",
 )
 def write_dem_level(spark, sf):
-    """The documents, read back as JSON and summed up."""
+    """The documents, read back as JSON, value by value."""
     bounds = summary.track_bounds(track(spark, sf))
-    docs = dem_documents(_lods(spark, sf), bounds)
-    kind = "struct<lod:int,grid:struct<n_rows:bigint,n_cols:bigint,elevations:array<double>>>"
-    df = docs.withColumn("d", F.from_json("document", kind)).withColumn("e", F.filter("d.grid.elevations", lambda x: x.isNotNull()))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return df.select(
-        "track_id", "lod", "d.grid.n_rows", "d.grid.n_cols", F.when(F.size("e") > 0, F.round(total, 4)).alias("total"), F.size("e").cast("bigint").alias("n_known")
-    )
+    docs = dem_documents(_lods(spark, sf, False), bounds)
+    kind = "struct<grid:struct<n_rows:bigint,n_cols:bigint,first_row:bigint,elevations:array<double>>>"
+    df = docs.withColumn("d", F.from_json("document", kind)).select("track_id", "lod", "part", "d.grid.*")
+    cells = df.select("track_id", "lod", "part", "n_rows", "n_cols", "first_row", F.posexplode("elevations").alias("i", "elev"))
+    return cells.select(
+        "track_id", "lod", "part", "n_rows", "n_cols",
+        (F.col("first_row") + F.floor(F.col("i") / F.col("n_cols"))).alias("row_from_south"), (F.col("i") % F.col("n_cols")).alias("col_no"), "elev",
+    )

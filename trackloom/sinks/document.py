@@ -27,6 +27,8 @@ from trackloom.plans.session import settle
 from trackloom.plans.skew import attach_track
 
 PART_POINTS = 100_000
+#: Rows of a terrain level in one document.
+BAND_ROWS = 256
 
 # Exported name -> (column, decimals); None keeps the value as it is.
 POINT_COLUMNS = {
@@ -265,31 +267,32 @@ def satellite_documents(points: DataFrame, aligned: DataFrame) -> DataFrame:
     )
 
 
-def dem_documents(lods: DataFrame, bounds: DataFrame) -> DataFrame:
-    """``(track_id, lod, document)``: elevations row by row from the south, one decimal, null for gaps.
+def dem_documents(levels: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``(track_id, lod, part, document)``: elevations row by row from the south, one decimal, null for gaps.
 
-    A level has at most 2000 x 2000 pixels; lines are put together before levels.
+    A document is a band of BAND_ROWS rows at most; ``first_row`` is its first one, counted from the south.
     """
     key = ["track_id", "lod"]
-    lines = lods.groupBy(*key, "row").agg(
-        F.array_sort(F.collect_list(F.struct("col", F.round("elev", 1).alias("e")))).getField("e").alias("line"),
-        F.min("lat").alias("lat"),
-        F.min("lon").alias("w"),
-        F.max("lon").alias("e"),
+    line = F.transform(
+        F.sequence(F.lit(0), F.col("height") - 1), lambda i: F.slice("values", (i * F.col("width") + 1).cast("int"), F.col("width"))
     )
-    grids = lines.groupBy(*key).agg(
-        F.flatten(F.array_sort(F.collect_list(F.struct("lat", "line"))).getField("line")).alias("elevations"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.max(F.size("line")).alias("n_cols"),
-        F.round(F.min("lat"), 6).alias("lat_min"),
-        F.round(F.max("lat"), 6).alias("lat_max"),
-        F.round(F.min("w"), 6).alias("lon_min"),
-        F.round(F.max("e"), 6).alias("lon_max"),
+    south = F.col("lat0") - (F.col("n_rows") - 1) * F.col("dlat")
+    east = F.col("lon0") + (F.col("n_cols") - 1) * F.col("dlon")
+    edges = {"lat_min": south, "lat_max": F.col("lat0"), "lon_min": F.col("lon0"), "lon_max": east}
+    frame = ["n_rows", "n_cols", *edges]
+    rows = levels.withColumns({n: F.round(c, 6) for n, c in edges.items()}).select(
+        *key, *frame, "r0", "bcol", F.posexplode(line).alias("_i", "line")
+    )
+    rows = rows.withColumn("row", F.col("n_rows") - 1 - F.col("r0") - F.col("_i"))
+    bands = rows.groupBy(*key, *frame, F.floor(F.col("row") / BAND_ROWS).cast("int").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("row", "bcol", F.transform("line", lambda e: F.round(e, 1)).alias("line")))).alias("_l")
+    )
+    grid = F.struct(
+        "n_rows", "n_cols", F.get("_l.row", F.lit(0)).alias("first_row"), *edges, F.flatten("_l.line").alias("elevations")
     )
-    grid = F.struct("n_rows", "n_cols", "lat_min", "lat_max", "lon_min", "lon_max", "elevations")
     box = bounds.select("track_id", F.struct(*[c for c in bounds.columns if c != "track_id"]).alias("bounds"))
-    return grids.select(*key, grid.alias("grid")).join(box, "track_id").select(
-        *key, F.to_json(F.struct("lod", "bounds", "grid"), {"ignoreNullFields": "false"}).alias("document")
+    return bands.select(*key, "part", grid.alias("grid")).join(box, "track_id").select(
+        *key, "part", F.to_json(F.struct("lod", "part", "bounds", "grid"), {"ignoreNullFields": "false"}).alias("document")
     )
 
 

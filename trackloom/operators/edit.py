@@ -1,7 +1,8 @@
 """Cut instructions: trim, gap and bridge on tracks and on the sentence table.
 
-Cuts are ``(track_id, cut_id, start, end, mode)`` with inclusive point indices. The cuts of one track come from
-one instruction record, so they travel as one array next to the rows; there is no row-by-cut join.
+Cuts are ``(track_id, cut_id, start, end, mode)`` with inclusive point indices; they may overlap. They are swept: their ends
+become events in the order of the rows, and running sums over both tell whether a row lies in a cut and what the bridges
+before it add up to. So the work grows with rows plus cuts, and no row carries the cuts of its track.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as S
 from trackloom.operators.summary import neighbourhood_speed
-from trackloom.plans.sequence import TRACK, row_index, running_sum
-from trackloom.plans.skew import CHUNK, attach_track, split_hot_tracks
+from trackloom.plans.sequence import TRACK, row_index, running_sum, running_sums
+from trackloom.plans.skew import CHUNK, attach_track, skew_join, split_hot_tracks
 
 # Fixed values.
 MODES = ("trim", "gap", "bridge")
 NEIGHBOURS = 10
 MIN_SPEED_MPS = 0.1
 MIN_SHOWN_OFFSET_M = 0.05
+CELL_POINTS = 1024
 MODE_LABELS = {"trim": "Trim", "gap": "Gap", "bridge": "Brücke"}
 
 
@@ -65,6 +67,13 @@ def clamp_cuts(cuts: DataFrame, counts: DataFrame) -> DataFrame:
     return force_edge_trim(cuts, counts).withColumns({"lo": lo, "hi": hi}).where(F.col("lo") <= F.col("hi"))
 
 
+def _at_positions(points: DataFrame, cuts: DataFrame, positions: dict[str, Column], fields: list[str]) -> DataFrame:
+    """``(track_id, cut_id, side, fields)``: the points at positions that belong to each cut; one equi-join on the place."""
+    places = F.array(*[F.struct(F.lit(n).alias("side"), p.cast("bigint").alias("idx")) for n, p in positions.items()])
+    wanted = cuts.select("track_id", "cut_id", F.inline(places))
+    return points.select("track_id", "idx", *fields).join(wanted, ["track_id", "idx"]).drop("idx")
+
+
 def bridge_shift(points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS) -> DataFrame:
     """Seconds by which a bridge cut moves what follows: the pause minus the time to cross the gap.
 
@@ -73,20 +82,14 @@ def bridge_shift(points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS) -> Dat
     bridges = cuts.where(
         (F.col("mode") == "bridge") & (F.col("lo") > 0) & (F.col("hi") < F.col("n_points") - 1)
     ).select("track_id", "cut_id", "lo", "hi")
-    listed = bridges.groupBy("track_id").agg(F.collect_list(F.struct("cut_id", "lo", "hi")).alias("_cuts"))
-    idx = F.col("idx")
-    rows = attach_track(points, listed, how="inner").select(
-        "track_id", "idx", "ts", "lat", "lon",
-        F.explode(F.filter("_cuts", lambda c: (idx == c["lo"] - 1) | (idx == c["hi"] + 1))).alias("c"),
-    )
-    is_before = F.col("idx") < F.col("c.lo")
+    rows = _at_positions(points, bridges, {"before": F.col("lo") - 1, "after": F.col("hi") + 1}, ["ts", "lat", "lon"])
 
-    def anchor(name: str, before: bool) -> Column:
-        return F.max(F.when(is_before if before else ~is_before, F.col(name)))
+    def anchor(name: str, side: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(name)))
 
-    anchors = rows.groupBy("track_id", F.col("c.cut_id").alias("cut_id")).agg(
-        *[anchor(c, True).alias(f"{c}_1") for c in ("ts", "lat", "lon")],
-        *[anchor(c, False).alias(f"{c}_2") for c in ("ts", "lat", "lon")],
+    anchors = rows.groupBy("track_id", "cut_id").agg(
+        *[anchor(c, "before").alias(f"{c}_1") for c in ("ts", "lat", "lon")],
+        *[anchor(c, "after").alias(f"{c}_2") for c in ("ts", "lat", "lon")],
     )
     ranges = bridges.withColumnsRenamed({"lo": "start", "hi": "end"})
     speeds = neighbourhood_speed(points, ranges, n).select("track_id", "cut_id", "avg_speed_kmh")
@@ -108,34 +111,44 @@ def effective_cuts(points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS) -> D
     return clamped.join(shifts, ["track_id", "cut_id"], "left")
 
 
-def _cut_array(effective: DataFrame) -> DataFrame:
-    return effective.groupBy("track_id").agg(
-        F.array_sort(F.collect_list(F.struct("lo", "hi", "mode", "cut_id", "shift_s"))).alias("_cuts")
-    )
+def _merged(rows: DataFrame, events: DataFrame, order: str) -> DataFrame:
+    """Rows and events in one table, split anew where a track is long; ``_row`` is 1 for rows."""
+    timeline = rows.drop(CHUNK).withColumn("_row", F.lit(1)).unionByName(events, allowMissingColumns=True)
+    return split_hot_tracks(timeline, order=order) if CHUNK in rows.columns else timeline
 
 
 def mark_cuts(points: DataFrame, effective: DataFrame) -> DataFrame:
     """Add whether a point lies in a cut, the seconds it moves, and whether a bridge comes before it."""
-    idx = F.col("idx")
-    bridges = F.filter("_cuts", lambda c: c["shift_s"].isNotNull() & (c["hi"] < idx))
-    total = F.aggregate(bridges, S.number(0), lambda a, c: a + c["shift_s"])
-    marked = attach_track(points, _cut_array(effective))
-    return marked.withColumns(
+    bridge = F.col("shift_s").isNotNull()
+    ends = F.array(
+        F.struct(F.col("lo").cast("bigint").alias("idx"), F.lit(1).alias("_open"), S.number(0).alias("_shift"), F.lit(0).alias("_bridge")),
+        F.struct(
+            (F.col("hi") + 1).cast("bigint").alias("idx"), F.lit(-1).alias("_open"), F.coalesce("shift_s", S.number(0)).alias("_shift"), bridge.cast("int").alias("_bridge")
+        ),
+    )
+    # an event stands before the point of its place; several of one place are one
+    events = effective.select("track_id", F.inline(ends)).groupBy("track_id", "idx").agg(*[F.sum(c).alias(c) for c in ("_open", "_shift", "_bridge")])
+    timeline = _merged(points, events.withColumn("_row", F.lit(0)), "idx")
+    sums = {n: F.coalesce(F.col(n), F.lit(0)) for n in ("_open", "_shift", "_bridge")}
+    swept = running_sums(timeline, {f"{n}_sum": v for n, v in sums.items()}, order=("idx", "_row")).where("_row = 1")
+    has_cuts = effective.select("track_id").distinct().withColumn("has_cuts", F.lit(True))
+    marked = attach_track(swept, has_cuts).withColumns(
         {
-            "in_cut": F.coalesce(F.exists("_cuts", lambda c: idx.between(c["lo"], c["hi"])), F.lit(False)),
-            "shift_s": F.coalesce(total, S.number(0)),
-            "is_bridged": F.coalesce(F.size(bridges) > 0, F.lit(False)),
-            "has_cuts": F.col("_cuts").isNotNull(),
+            "in_cut": F.col("_open_sum") > 0,
+            "shift_s": F.when(F.col("_bridge_sum") > 0, F.col("_shift_sum")).otherwise(S.number(0)),
+            "is_bridged": F.col("_bridge_sum") > 0,
+            "has_cuts": F.coalesce("has_cuts", F.lit(False)),
         }
-    ).drop("_cuts")
+    )
+    return marked.drop("_row", *sums, *[f"{n}_sum" for n in sums])
 
 
 def cut_points(points: DataFrame, effective: DataFrame) -> DataFrame:
-    """The points inside each cut, one row per point and cut."""
-    idx = F.col("idx")
-    hits = F.filter("_cuts", lambda c: idx.between(c["lo"], c["hi"]))
-    rows = attach_track(points, _cut_array(effective), how="inner").withColumn("_c", F.explode(hits))
-    return rows.withColumns({"cut_id": F.col("_c.cut_id"), "mode": F.col("_c.mode")}).drop("_c", "_cuts")
+    """The points inside each cut, one row per point and cut; both meet in cells of the index."""
+    cell = lambda i: F.floor(F.col(i) / CELL_POINTS)
+    spread = effective.select("track_id", "cut_id", "mode", "lo", "hi", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("_cell"))
+    rows = skew_join(points.withColumn("_cell", cell("idx")), spread, ["track_id", "_cell"], "inner")
+    return rows.where(F.col("idx").between(F.col("lo"), F.col("hi"))).drop("_cell", "lo", "hi")
 
 
 def apply_cuts_track(points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS, effective: DataFrame | None = None) -> DataFrame:
@@ -160,27 +173,25 @@ def apply_cuts_track(points: DataFrame, cuts: DataFrame, n: int = NEIGHBOURS, ef
 
 def cut_intervals(points: DataFrame, effective: DataFrame) -> DataFrame:
     """Time limits of the cuts: the times of their first and last points."""
-    listed = effective.groupBy("track_id").agg(F.collect_list(F.struct("cut_id", "lo", "hi")).alias("_cuts"))
-    idx = F.col("idx")
-    rows = attach_track(points, listed, how="inner").select(
-        "track_id", "idx", "ts", F.explode(F.filter("_cuts", lambda c: (idx == c["lo"]) | (idx == c["hi"]))).alias("c")
-    )
+    rows = _at_positions(points, effective, {"lo": F.col("lo"), "hi": F.col("hi")}, ["ts"])
     return (
-        rows.groupBy("track_id", F.col("c.cut_id").alias("cut_id"))
-        .agg(
-            F.max(F.when(F.col("idx") == F.col("c.lo"), F.col("ts"))).alias("ts_lo"),
-            F.max(F.when(F.col("idx") == F.col("c.hi"), F.col("ts"))).alias("ts_hi"),
-        )
+        rows.groupBy("track_id", "cut_id")
+        .agg(*[F.max(F.when(F.col("side") == x, F.col("ts"))).alias(f"ts_{x}") for x in ("lo", "hi")])
         .where(F.col("ts_lo").isNotNull() & F.col("ts_hi").isNotNull())
     )
 
 
 def drop_intervals(rows: DataFrame, intervals: DataFrame) -> DataFrame:
     """Remove rows whose time lies in an interval of their track, limits included; rows without time stay."""
-    listed = intervals.groupBy("track_id").agg(F.collect_list(F.struct("ts_lo", "ts_hi")).alias("_gone"))
-    ts = F.col("ts")
-    inside = F.exists("_gone", lambda g: ts.between(g["ts_lo"], g["ts_hi"]))
-    return attach_track(rows, listed).where(~F.coalesce(inside, F.lit(False))).drop("_gone")
+    # an interval opens before the rows of its first time and closes after those of its last
+    ends = F.array(
+        F.struct(F.col("ts_lo").alias("ts"), F.lit(0).alias("_row"), F.lit(1).alias("_open")),
+        F.struct(F.col("ts_hi").alias("ts"), F.lit(2).alias("_row"), F.lit(-1).alias("_open")),
+    )
+    events = intervals.where("ts_lo <= ts_hi").select("track_id", F.inline(ends))
+    events = events.groupBy("track_id", "ts", "_row").agg(F.sum("_open").alias("_open"))
+    swept = running_sum(_merged(rows, events, "ts"), F.coalesce("_open", F.lit(0)), "_inside", order=("ts", "_row"))
+    return swept.where((F.col("_row") == 1) & (F.col("ts").isNull() | (F.col("_inside") == 0))).drop("_row", "_open", "_inside")
 
 
 def shift_by_breakpoints(rows: DataFrame, breakpoints: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import scalar as S
 from trackloom.operators.quantiles import exact_quantiles
 from trackloom.plans.sequence import TRACK
-from trackloom.plans.skew import Keys, attach_track
+from trackloom.plans.skew import Keys
 
 FLIGHT_MEDIAN_AGL_M = 100.0
 
@@ -120,14 +120,11 @@ def neighbourhood_speed(df: DataFrame, ranges: DataFrame, n: int = 10, key: Keys
     50 km/h.
     """
     key = list(key)
-    listed = ranges.groupBy(*key).agg(F.collect_list(F.struct("cut_id", "start", "end")).alias("_ranges"))
-    idx = F.col("idx")
-
-    def close(r: Column) -> Column:
-        return idx.between(r["start"] - n, r["start"] - 1) | idx.between(r["end"] + 1, r["end"] + n)
-
-    rows = attach_track(df, listed, key, "inner").select(*key, "speed_kmh", F.explode(F.filter("_ranges", close)).alias("r"))
-    near = rows.groupBy(*key, F.col("r.cut_id").alias("cut_id")).agg(F.avg("speed_kmh").alias("_near"))
+    # the 2 n positions around a range; a position of the track is one row, so no key of the join is hot
+    around = F.concat(F.sequence(F.col("start") - n, F.col("start") - 1), F.sequence(F.col("end") + 1, F.col("end") + n))
+    wanted = ranges.select(*key, "cut_id", F.explode(around.cast("array<bigint>")).alias("idx"))
+    rows = df.select(*key, "idx", "speed_kmh").join(wanted, [*key, "idx"])
+    near = rows.groupBy(*key, "cut_id").agg(F.avg("speed_kmh").alias("_near"))
     median = _median(df, "speed_kmh", "_median", key)
     return (
         ranges.join(near, [*key, "cut_id"], "left")

@@ -43,18 +43,23 @@ def running_sum(
     df: DataFrame, value: Column, name: str, key: Keys = TRACK, order: Keys = ORDER
 ) -> DataFrame:
     """Sum of ``value`` over the rows up to and including this one."""
+    return running_sums(df, {name: value}, key, order)
+
+
+def running_sums(df: DataFrame, values: dict[str, Column], key: Keys = TRACK, order: Keys = ORDER) -> DataFrame:
+    """For each name the sum of its value over the rows up to and including this one, in one pass."""
     frame = track_window(df, key, order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_v", value)
-    local = F.sum("_v").over(frame)
+    raw = {f"_v_{n}": v for n, v in values.items()}
+    df = df.withColumns(raw)
+    local = {n: F.sum(f"_v_{n}").over(frame) for n in values}
     if CHUNK not in df.columns:
-        return df.withColumn(name, local).drop("_v")
-    sums = df.groupBy(*key, CHUNK).agg(F.sum("_v").alias("_s"))
-    before = sums.select(*key, CHUNK, F.sum("_s").over(_earlier(key)).alias("_before"))
-    return (
-        df.join(before, [*key, CHUNK])
-        .withColumn(name, F.when(F.col("_before").isNull(), local).otherwise(F.coalesce(local, F.lit(0)) + F.col("_before")))
-        .drop("_v", "_before")
-    )
+        return df.withColumns(local).drop(*raw)
+    sums = df.groupBy(*key, CHUNK).agg(*[F.sum(c).alias(f"_s{c}") for c in raw])
+    before = sums.select(*key, CHUNK, *[F.sum(f"_s{c}").over(_earlier(key)).alias(f"_b{c}") for c in raw])
+    whole = {
+        n: F.when(F.col(f"_b_v_{n}").isNull(), local[n]).otherwise(F.coalesce(local[n], F.lit(0)) + F.col(f"_b_v_{n}")) for n in values
+    }
+    return df.join(before, [*key, CHUNK]).withColumns(whole).drop(*raw, *[f"_b{c}" for c in raw])
 
 
 def carry(

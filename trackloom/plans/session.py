@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Paths that the innermost ``passing_tables`` has to remove.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are settled inside are removed at the end; what is returned must have been read or written by then.
+
+    An inner block removes its own tables only. Tables stay if an error ends the block, as its cause may lie in them.
+    """
+    made: list[str] = []
+    token = _PASSING.set(made)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -32,8 +56,12 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it from there.
 
     Used where a result is needed several times: it is computed once, survives lost executors, and later
-    readers fetch only the columns they use. The folder belongs to the cluster, which clears it.
+    readers fetch only the columns they use. The folder belongs to the cluster, which clears it, unless the table
+    was made in a block of ``passing_tables``.
     """
     path = scratch_path(df.sparkSession, label)
+    passing = _PASSING.get()
+    if passing is not None:
+        passing.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

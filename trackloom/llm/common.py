@@ -68,6 +68,14 @@ def add_columns(
     return df.mapInArrow(run, schema)
 
 
+def fresh_name(df: DataFrame, wanted: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted in taken:
+        wanted += "_"
+    return wanted
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

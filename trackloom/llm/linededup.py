@@ -13,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.plans.session import settle
+from trackloom.llm.common import fresh_name
+from trackloom.plans.session import passing_tables, scratch_path, settle
 
 #: Most ids that are broadcast to fetch the texts of candidates, 16 bytes each; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
+#: A line that more than one in so many rows hold is common.
+COMMON_SHARE = 1024
 _HALF = 1 << 31
 
 
@@ -154,25 +157,49 @@ def near_repeats(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
     return both.where(within_edits(F.col("a_chars"), F.col("b_chars"), tau)).select("b.doc_id", "b.pos").distinct()
 
 
-def kept_lines(
+def _repeats(lines: DataFrame, first: DataFrame) -> DataFrame:
+    """(doc_id, pos) of lines that are equal to one that occurs earlier.
+
+    ``first`` is small beside the lines, as it counts only here if a line occurs again. The commonest lines, fewer than
+    COMMON_SHARE, are met where they lie, so no key of the shuffled join holds more than that share of the rows.
+    """
+    again = first.where("rows > 1").select("h1", "h2", "rows", F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"))
+    total = first.agg(F.sum("rows")).first()[0] or 0
+    common = F.col("rows") * COMMON_SHARE > total
+    few, others = F.broadcast(again.where(common).drop("rows")), again.where(~common).drop("rows")
+    rest = lines.join(few.select("h1", "h2"), ["h1", "h2"], "left_anti")
+    met = lines.join(few, ["h1", "h2"]).unionByName(rest.join(others, ["h1", "h2"]))
+    return met.where((F.col("doc_id") != F.col("_doc")) | (F.col("pos") != F.col("_pos"))).select("doc_id", "pos")
+
+
+def lost_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = 2, min_chars: int = 20, near_chars: int = 40
 ) -> DataFrame:
-    """(doc_id, kept array<int>): line numbers, from 0, of the lines of ``min_chars`` characters or more that stay.
+    """(doc_id, gone array<int>): line numbers, from 0, of the lines that go, for the documents that lose any.
 
     Of equal lines the first stays, by document id and line number. Of lines with ``near_chars`` characters or more, one also
-    goes if a line that occurs earlier is within ``tau`` edits. Shorter lines are never compared and always stay.
+    goes if a line that occurs earlier is within ``tau`` edits. Lines of less than ``min_chars`` are never compared and stay.
+    What is found on the way is removed again.
     """
     lines = lines_of(docs, doc_id, text, min_chars)
-    first = settle(first_lines(lines), "first-lines")
-    near = near_repeats(lines.where(F.length("line") >= near_chars), first, tau)
-    stay = first.join(near, ["doc_id", "pos"], "left_anti")
-    return stay.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
-
-
-def _long(lines: str, min_chars: int) -> Column:
-    """The numbers of the lines that are long enough to be compared."""
-    number = F.transform(lines, lambda x, i: F.when(F.length(F.trim(x)) >= min_chars, i))
-    return F.filter(number, lambda i: i.isNotNull())
+    with passing_tables(docs.sparkSession):
+        places = settle(lines.select("doc_id", "pos", "h1", "h2"), "line-places")
+        first = settle(first_lines(places), "first-lines")
+        near = near_repeats(lines.where(F.length("line") >= near_chars), first, tau)
+        lost = _repeats(places, first).unionByName(near.select("doc_id", "pos")).distinct()
+        grouped = lost.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+        path = scratch_path(docs.sparkSession, "lost-lines")
+        grouped.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _with_lost(docs: DataFrame, lost: DataFrame, doc_id: str, name: str) -> DataFrame:
+    """``docs`` with the lost lines of each in column ``name``; texts stay where they are unless the lists are too many."""
+    key = fresh_name(docs, "lost_id")
+    lost = lost.select(F.col("doc_id").alias(key), F.col("gone").alias(name))
+    if (lost.agg(F.sum(F.size(name))).first()[0] or 0) <= BROADCAST_IDS:
+        lost = F.broadcast(lost)
+    return docs.join(lost, F.col(f"`{doc_id}`") == F.col(key), "left").drop(key)
 
 
 def line_decisions(
@@ -180,15 +207,14 @@ def line_decisions(
 ) -> DataFrame:
     """``docs``' id, n_lines and dropped, the numbers (from 0) of the lines that go, for every row.
 
-    Null text is one empty line. Rows without an id keep all lines. Ids are taken to be unique: rows that repeat one share
-    the decision by line number. An empty table gives an empty result; other columns are not read.
+    Null text is one empty line. Rows without an id keep all lines. Ids are whole numbers and taken to be unique: rows that
+    repeat one share the decision by line number. An empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_lines"))
-    rows = rows.select("doc_id", F.size("_lines").alias("n_lines"), _long("_lines", min_chars).alias("_long"))
-    kept = kept_lines(docs, doc_id, text, tau, min_chars, near_chars)
-    none = F.array().cast("array<int>")
-    gone = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except("_long", F.coalesce("kept", none)))
-    return rows.join(kept, "doc_id", "left").select("doc_id", "n_lines", gone.alias("dropped"))
+    count = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), count.alias("n_lines"))
+    found = _with_lost(rows, lost_lines(docs, doc_id, text, tau, min_chars, near_chars), "doc_id", "gone")
+    gone = F.coalesce(F.filter("gone", lambda i: i < F.col("n_lines")), F.array().cast("array<int>"))
+    return found.select("doc_id", "n_lines", gone.alias("dropped"))
 
 
 def drop_repeated_lines(
@@ -196,14 +222,12 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text; all rows stay, a text may become empty.
 
-    Rules as in ``line_decisions``. A text that loses no line stays as it is, null included.
+    Rules as in ``line_decisions``. A text that loses no line stays as it is, null included. Columns may have any names.
     """
-    kept = kept_lines(docs, doc_id, text, tau, min_chars, near_chars).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(kept.withColumnRenamed("kept", "_kept"), F.col(doc_id) == F.col("_id"), "left")
-    none = F.array().cast("array<int>")
-    rows = rows.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    rows = rows.withColumn("_gone", F.array_except(_long("_lines", min_chars), F.coalesce("_kept", none)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    rebuilt = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
-    whole = F.col(doc_id).isNull() | (F.size("_gone") == 0)
-    return rows.withColumn(text, F.when(whole, F.col(text)).otherwise(rebuilt)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = fresh_name(docs, "lost")
+    rows = _with_lost(docs, lost_lines(docs, doc_id, text, tau, min_chars, near_chars), doc_id, gone)
+    lines = F.split(F.col(f"`{text}`"), "\n")
+    # a lambda's place comes with each line, so the text is split once
+    stay = F.filter(lines, lambda line, i: ~F.array_contains(gone, i))
+    kept = F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(stay, "\n"))
+    return rows.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import components
+from trackloom.llm.common import components, fresh_name
 from trackloom.llm.fingerprints import fingerprint
 from trackloom.plans.session import settle
 
@@ -199,5 +199,6 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Rows that repeat an id stay or go together. Ids alone are shuffled against the documents.
     """
     groups = near_groups(docs, doc_id, text, words, tau)
-    gone = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    name = fresh_name(docs, "gone")
+    gone = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(name), "left_anti")

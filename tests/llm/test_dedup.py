@@ -296,3 +296,19 @@ def test_hot_line(docs):
     line = "the very same line in all of the documents of this table"
     found = linededup.line_decisions(docs([(i, f"{line}\nshort {i}") for i in range(300)])).collect()
     assert sorted((r["doc_id"], r["dropped"]) for r in found) == [(i, [0] if i else []) for i in range(300)]
+
+
+def test_columns_of_any_name(spark):
+    """Stages keep columns that are named like their own."""
+    from trackloom.llm import nearsets
+
+    names = ["_id", "_kept", "_gone", "gone", "lost", "lost_id", "_lines", "doc id"]
+    line = "a line of more than forty characters that repeats"
+    rows = [(i, f"{line}\nown {i} and some more words here {i}", *["v"] * len(names)) for i in range(3)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in [("doc_id", "bigint"), ("text", "string"), *[(n, "string") for n in names]]))
+    shorter = linededup.drop_repeated_lines(df)
+    assert shorter.columns == df.columns
+    assert sorted(r["text"].count(line) for r in shorter.collect()) == [0, 0, 1]
+    for stage in (nearsets, simhash):
+        left = stage.drop_near_duplicates(df.unionByName(df.withColumn("doc_id", F.col("doc_id") + 10)))
+        assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} <= {0, 1, 2}

@@ -85,19 +85,27 @@ def test_bpe_query(spark, enc):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)  # strings of special tokens are those tokens by default
+
+
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b.", "x<|endoftext|>\n\n<|endoftext|>,", "word <|endoftext |> <|endoftext|", "end.<|endoftext|> "]
 
 
 def test_ids_by_word_are_the_librarys(tokenizer):
     words = packing.WordTokenizer(packing.read_vocabulary(VOCABULARY))
-    texts = [*ODD, *random_texts(seed=5), "", "x" * 500, " " * 300]
+    texts = [*ODD, *random_texts(seed=5), "", "x" * 500, " " * 300, *SPECIAL]
     for _ in range(2):  # the second time from memory
         for text, found in zip(texts, words.ids(texts), strict=True):
             assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_forgotten_words(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 6)
+    words = packing.WordTokenizer(packing.read_vocabulary(VOCABULARY))
+    for text in [*random_texts(seed=6), *SPECIAL, "one two, three. one two four\nfive one."] * 2:
+        assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def check_packing(got, texts, tokenizer, capacity):
     """Every document's ids are there once, gapless, in pieces and sequences of the right size."""
     by_doc = defaultdict(list)
@@ -125,7 +133,8 @@ def check_packing(got, texts, tokenizer, capacity):
 
 @pytest.mark.parametrize("capacity", [5, 64, 2048])
 def test_pack_awkward_rows(docs, tokenizer, capacity):
-    rows = [r for r in AWKWARD if len(r[1] or "") < 10_000]
+    rows = [r for r in AWKWARD if capacity > 1000 or len(r[1] or "") < 10_000]
+    rows += [(100 + i, t) for i, t in enumerate(SPECIAL)]
     got = packing.pack(docs(rows), VOCABULARY, capacity=capacity).collect()
     n = check_packing(got, [(r[0], r[1]) for r in rows], tokenizer, capacity)
     assert n >= -(-sum(r["length"] for r in got) // capacity)

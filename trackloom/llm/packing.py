@@ -31,7 +31,7 @@ CAPACITY = 2048
 #: Most bytes that the vocabulary may have, as it is sent to every worker.
 VOCABULARY_BYTES = 64 << 20
 #: Words that a worker remembers the ids of, and the longest that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 1_000_000, 64
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
 # White space of which not all engines agree that it is, or that does not stand alone.
 _WILD = (
     "  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007",
@@ -54,8 +54,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings of special tokens inside a text are those tokens, as the library has it; such a text is not divided
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
         self.stops = dict(zip(".,", self._encoded([".", ","]), strict=True))
@@ -86,7 +88,7 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         # words are divided at single spaces and line feeds; a text with other white space, or more of it, is one word
-        tame = [not any(x in t for x in _WILD) for t in texts]
+        tame = [not any(x in t for x in (*_WILD, *self.special)) for t in texts]
         words = [t.replace("\n", " \n").split(" ") if ok else None for t, ok in zip(texts, tame, strict=True)]
         known, get = self.known, self.known.get
         heads = self._encoded([text[0] if text else t for text, t in zip(words, texts, strict=True)])
@@ -95,15 +97,17 @@ class WordTokenizer:
         gaps = [[i for i, x in enumerate(row) if x is None] if None in row else () for row in found]
         new = {text[i + 1] for text, at in zip(words, gaps, strict=True) for i in at}
         if new:
-            self._learn(list(new))
+            met = {w: self.older[w] for w in new if w in self.older}
+            known.update(met)
+            self._learn([w for w in new if w not in met])
         for text, row, at in zip(words, found, gaps, strict=True):
             for i in at:
                 row[i] = known[text[i + 1]]
         for w in new:
             if len(w) > REMEMBERED_CHARS:
                 del known[w]
-        if len(known) > REMEMBERED:
-            self.known = {w: known[w] for text in words if text for w in text[1:] if w in known}
+        if len(known) > REMEMBERED // 2:
+            self.known, self.older = {}, known  # words not met again until the next such turn are forgotten
         return [head + b"".join(row) for head, row in zip(heads, found, strict=True)]
 
 
@@ -140,18 +144,20 @@ def token_pieces(
     def run(batches):
         tokenizer, seen, part = _tokenizer(sent.value), Counter(), TaskContext.get().partitionId()
         gc.disable()  # millions of words that are in no cycle, and that the collector would walk again and again
-        for batch in batches:
-            for piece_batch, texts in pieces_of(batch, "text"):
-                rows = []
-                for key, found in zip(piece_batch.column(0).to_pylist(), tokenizer.ids(texts), strict=True):
-                    found += end
-                    for piece, (start, length) in enumerate(cut(len(found) // 4, capacity)):
-                        crc = zlib.crc32(found[4 * start : 4 * (start + length)])
-                        rows.append((key, piece, start, length, crc, part, seen[length]))
-                        seen[length] += 1
-                columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-        gc.enable()
+        try:
+            for batch in batches:
+                for piece_batch, texts in pieces_of(batch, "text"):
+                    rows = []
+                    for key, found in zip(piece_batch.column(0).to_pylist(), tokenizer.ids(texts), strict=True):
+                        found += end
+                        for piece, (start, length) in enumerate(cut(len(found) // 4, capacity)):
+                            crc = zlib.crc32(found[4 * start : 4 * (start + length)])
+                            rows.append((key, piece, start, length, crc, part, seen[length]))
+                            seen[length] += 1
+                    columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kinds = {"doc_id": None, "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "part": pa.int32(), "rank": pa.int64()}

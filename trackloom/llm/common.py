@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +27,14 @@ def share_of(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.col(doc_id), F.lit("share")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def release_memory() -> None:
+    """Gives memory that a reused worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cuts a batch into runs of rows whose texts together have about PIECE_CHARS characters; null text as ''."""
     texts = batch.column(batch.schema.get_field_index(column))
@@ -64,6 +73,7 @@ def add_columns(
             for part, texts in pieces_of(batch, column):
                 made = [pa.array(v, type=t) for v, t in zip(compute(texts), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *[n for n, _ in kinds]])
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trackloom.llm.common import pieces_of
+from trackloom.llm.common import pieces_of, release_memory
 from trackloom.plans.session import settle
 
 CAPACITY = 2048
@@ -158,6 +158,7 @@ def token_pieces(
                     yield pa.RecordBatch.from_arrays(columns, names=names)
         finally:
             gc.enable()
+            release_memory()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kinds = {"doc_id": None, "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "part": pa.int32(), "rank": pa.int64()}

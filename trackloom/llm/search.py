@@ -12,7 +12,6 @@ pivot of WAND skips rows. Queries are looked at together, so bounds and scores a
 
 from __future__ import annotations
 
-import ctypes
 import re
 from collections import Counter, defaultdict
 from itertools import count
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import pieces_of
+from trackloom.llm.common import pieces_of, release_memory
 from trackloom.plans.session import settle
 
 K1, B = 1.2, 0.75
@@ -40,14 +39,6 @@ _WORD = re.compile(r"\w+")
 INDEX = "shard bigint, n int, terms string, df binary, rows binary, counts binary, wide boolean, lengths binary, ids binary, bytes bigint"
 
 
-def release_memory() -> None:
-    """Gives memory that a reused worker has freed back to the system."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def terms_of(text: str) -> list[str]:
     """Words in lower case: runs of letters, digits and underscores."""
     return _WORD.findall(text.lower())

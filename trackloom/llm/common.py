@@ -14,6 +14,8 @@ from trackloom.plans.session import settle
 
 #: Characters that a Python worker handles at once, unless one text alone is longer.
 PIECE_CHARS = 4_000_000
+#: The same where every word of them is an object of its own.
+WORD_PIECE_CHARS = 1_000_000
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
@@ -35,15 +37,15 @@ def release_memory() -> None:
         trim(0)
 
 
-def pieces_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cuts a batch into runs of rows whose texts together have about PIECE_CHARS characters; null text as ''."""
+def pieces_of(batch: pa.RecordBatch, column: str, chars: int = PIECE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cuts a batch into runs of rows whose texts together have about ``chars`` characters; null text as ''."""
     texts = batch.column(batch.schema.get_field_index(column))
     start, held, size = 0, [], 0
     for i in range(len(texts)):
         text = texts[i].as_py() or ""
         held.append(text)
         size += len(text)
-        if size >= PIECE_CHARS:
+        if size >= chars:
             yield batch.slice(start, i + 1 - start), held
             start, held, size = i + 1, [], 0
     if held:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trackloom.llm.common import pieces_of, release_memory
+from trackloom.llm.common import WORD_PIECE_CHARS, pieces_of, release_memory
 from trackloom.plans.session import settle
 
 CAPACITY = 2048
@@ -146,7 +146,7 @@ def token_pieces(
         gc.disable()  # millions of words that are in no cycle, and that the collector would walk again and again
         try:
             for batch in batches:
-                for piece_batch, texts in pieces_of(batch, "text"):
+                for piece_batch, texts in pieces_of(batch, "text", WORD_PIECE_CHARS):
                     rows = []
                     for key, found in zip(piece_batch.column(0).to_pylist(), tokenizer.ids(texts), strict=True):
                         found += end

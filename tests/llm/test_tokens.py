@@ -99,13 +99,20 @@ def test_ids_by_word_are_the_librarys(tokenizer):
             assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_forgotten_words(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 6)
-    words = packing.WordTokenizer(packing.read_vocabulary(VOCABULARY))
+def test_forgotten_words(tokenizer):
+    words = packing.WordTokenizer(packing.read_vocabulary(VOCABULARY), remembered=6)
     for text in [*random_texts(seed=6), *SPECIAL, "one two, three. one two four\nfive one."] * 2:
         assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_texts_in_parts(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "PART_CHARS", 9)
+    words = packing.WordTokenizer(packing.read_vocabulary(VOCABULARY))
+    texts = [*ODD, *random_texts(seed=7), *SPECIAL, "one two, three.\nfour " * 50, "x" * 300, "é " * 40, "ends with a space ", "ends with a line\n"]
+    for text, found in zip(texts, words.ids(texts), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def check_packing(got, texts, tokenizer, capacity):
     """Every document's ids are there once, gapless, in pieces and sequences of the right size."""
     by_doc = defaultdict(list)

@@ -13,6 +13,7 @@ import gc
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,6 +33,8 @@ CAPACITY = 2048
 VOCABULARY_BYTES = 64 << 20
 #: Words that a worker remembers the ids of, and the longest that it remembers.
 REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+#: Characters of a long text whose words are held at once.
+PART_CHARS = 250_000
 # White space of which not all engines agree that it is, or that does not stand alone.
 _WILD = (
     "  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007",
@@ -50,10 +53,10 @@ class WordTokenizer:
     feed between words that hold none is a token of its own, at which the ids are divided again.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer, self.remembered = Tokenizer.from_str(vocabulary), remembered
         # strings of special tokens inside a text are those tokens, as the library has it; such a text is not divided
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -86,9 +89,28 @@ class WordTokenizer:
         known.update((w, known[w[:-1]] + self.stops[w[-1]]) for w in ended)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text; of a long text, only the words of one part of it are held at once."""
+        found = self._ids([t if len(t) <= PART_CHARS else "" for t in texts])
+        for i, t in enumerate(texts):
+            if len(t) > PART_CHARS:
+                found[i] = b"".join(self._ids([part])[0] for part in self._parts(t))
+        return found
+
+    def _tame(self, text: str) -> bool:
+        return not any(x in text for x in (*_WILD, *self.special))
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """The text cut before spaces, at which words begin, about every PART_CHARS characters; one that is not divided, whole."""
+        start = 0
+        while start < len(text):
+            end = text.find(" ", start + PART_CHARS) if start or self._tame(text) else -1
+            end = len(text) if end < 0 else end
+            yield text[start:end]
+            start = end
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         # words are divided at single spaces and line feeds; a text with other white space, or more of it, is one word
-        tame = [not any(x in t for x in (*_WILD, *self.special)) for t in texts]
+        tame = [self._tame(t) for t in texts]
         words = [t.replace("\n", " \n").split(" ") if ok else None for t, ok in zip(texts, tame, strict=True)]
         known, get = self.known, self.known.get
         heads = self._encoded([text[0] if text else t for text, t in zip(words, texts, strict=True)])
@@ -106,14 +128,14 @@ class WordTokenizer:
         for w in new:
             if len(w) > REMEMBERED_CHARS:
                 del known[w]
-        if len(known) > REMEMBERED // 2:
+        if len(known) > self.remembered // 2:
             self.known, self.older = {}, known  # words not met again until the next such turn are forgotten
         return [head + b"".join(row) for head, row in zip(heads, found, strict=True)]
 
 
 @lru_cache(2)
-def _tokenizer(vocabulary: str) -> WordTokenizer:
-    return WordTokenizer(vocabulary)
+def _tokenizer(vocabulary: str, remembered: int) -> WordTokenizer:
+    return WordTokenizer(vocabulary, remembered)
 
 
 def read_vocabulary(path: str) -> str:
@@ -131,7 +153,13 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(
-    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, separator: int = 0
+    docs: DataFrame,
+    vocabulary: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    capacity: int = CAPACITY,
+    separator: int = 0,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank): the pieces of every document.
 
@@ -142,7 +170,7 @@ def token_pieces(
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches):
-        tokenizer, seen, part = _tokenizer(sent.value), Counter(), TaskContext.get().partitionId()
+        tokenizer, seen, part = _tokenizer(sent.value, remembered), Counter(), TaskContext.get().partitionId()
         gc.disable()  # millions of words that are in no cycle, and that the collector would walk again and again
         try:
             for batch in batches:
@@ -307,18 +335,25 @@ def runs_of(bins: list[Bins]) -> pd.DataFrame:
 
 
 def pack(
-    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, separator: int = 0
+    docs: DataFrame,
+    vocabulary: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    capacity: int = CAPACITY,
+    separator: int = 0,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every token of every document is in one piece, every piece in one sequence of at most ``capacity`` tokens, whose pieces
     follow each other from offset 0 without a gap. Only documents longer than that are cut; the first piece takes what is
     over. Null and empty texts are one piece of the separator alone; rows that repeat an id are packed each. An empty table
-    gives an empty result; other columns are not read.
+    gives an empty result; other columns are not read. A worker remembers the ids of up to ``remembered`` words: fewer need
+    less memory and more time, the result is the same.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    pieces = settle(token_pieces(docs, vocabulary, doc_id, text, capacity, separator), "pieces")
+    pieces = settle(token_pieces(docs, vocabulary, doc_id, text, capacity, separator, remembered), "pieces")
     by_part = settle(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     runs = runs_of(plan(counts, capacity))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trackloom.llm.common import WORD_PIECE_CHARS, pieces_of, release_memory
+from trackloom.llm.common import PIECE_CHARS, pieces_of, release_memory
 from trackloom.plans.session import settle
 
 CAPACITY = 2048
@@ -160,6 +160,7 @@ def token_pieces(
     capacity: int = CAPACITY,
     separator: int = 0,
     remembered: int = REMEMBERED,
+    held_chars: int = PIECE_CHARS,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank): the pieces of every document.
 
@@ -174,7 +175,7 @@ def token_pieces(
         gc.disable()  # millions of words that are in no cycle, and that the collector would walk again and again
         try:
             for batch in batches:
-                for piece_batch, texts in pieces_of(batch, "text", WORD_PIECE_CHARS):
+                for piece_batch, texts in pieces_of(batch, "text", held_chars):
                     rows = []
                     for key, found in zip(piece_batch.column(0).to_pylist(), tokenizer.ids(texts), strict=True):
                         found += end
@@ -342,18 +343,19 @@ def pack(
     capacity: int = CAPACITY,
     separator: int = 0,
     remembered: int = REMEMBERED,
+    held_chars: int = PIECE_CHARS,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every token of every document is in one piece, every piece in one sequence of at most ``capacity`` tokens, whose pieces
     follow each other from offset 0 without a gap. Only documents longer than that are cut; the first piece takes what is
     over. Null and empty texts are one piece of the separator alone; rows that repeat an id are packed each. An empty table
-    gives an empty result; other columns are not read. A worker remembers the ids of up to ``remembered`` words: fewer need
-    less memory and more time, the result is the same.
+    gives an empty result; other columns are not read. A worker remembers the ids of up to ``remembered`` words and
+    holds the words of about ``held_chars`` characters at once: less of either needs less memory and more time, the result is the same.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    pieces = settle(token_pieces(docs, vocabulary, doc_id, text, capacity, separator, remembered), "pieces")
+    pieces = settle(token_pieces(docs, vocabulary, doc_id, text, capacity, separator, remembered, held_chars), "pieces")
     by_part = settle(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     runs = runs_of(plan(counts, capacity))

@@ -94,3 +94,20 @@ def test_crowded_key_with_texts_that_are_not_near(docs):
     found = {r["doc_id"]: r["component_id"] for r in nearsets.near_groups(docs(rows)).collect()}
     assert found == groups_brute(rows)
     assert len(set(found.values())) == 60
+
+
+def test_stage_drops_by_fingerprints_too(spark, docs):
+    """Fingerprints within 2 bits, though less than 0.8 of the five-word shingles are shared."""
+    from trackloom.llm.fingerprints import fingerprint
+
+    base = " ".join(["a b c d e f g h i j k"] * 30)
+    other = base + " x y"
+    distant = base + " " + " ".join(f"w{i}" for i in range(9))
+    texts = {3: base, 5: other, 9: distant}
+    prints = {d: fingerprint(t, 3, 42) for d, t in texts.items()}
+    assert (prints[3] ^ prints[9]).bit_count() <= 2
+    sets = {d: set(nearsets.shingle_set(t, 5)) for d, t in texts.items()}
+    assert len(sets[3] & sets[9]) < 0.8 * len(sets[3] | sets[9])
+    stage = dict(corpus_pipeline.STAGES)["near-dedup"]
+    assert [r["doc_id"] for r in nearsets.drop_near_duplicates(docs([(3, base), (9, distant)])).collect()] != [3]
+    assert [r["doc_id"] for r in stage(spark, docs(sorted(texts.items())), "").collect()] == [3]

@@ -31,6 +31,8 @@ VERIFY = 0.2
 PATTERNS = 50_000
 #: A fingerprint that more than one row in so many has is joined without a shuffle; there are fewer than HOT_SHARE such.
 HOT_SHARE = 1024
+#: Most ids of dropped documents that are broadcast, 8 bytes each; beyond it ids are shuffled against the documents.
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -200,5 +202,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     groups = near_groups(docs, doc_id, text, words, tau)
     name = fresh_name(docs, "gone")
-    gone = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    gone = settle(groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(name)).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col(f"`{doc_id}`") == F.col(name), "left_anti")

@@ -13,9 +13,9 @@ from trackloom.sources.files import read_lines
 HEADER = ("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value")
 
 
-def _ascii_lines(spark: SparkSession, path, glob: str | None) -> tuple[DataFrame, DataFrame]:
+def _ascii_lines(spark: SparkSession, path, glob: str | None, named: bool = False) -> tuple[DataFrame, DataFrame]:
     """(tiles with ``nodata``, lines of words) of ASCII grids."""
-    lines = read_lines(spark, path, "dem", glob).withColumn("value", F.trim("value")).where(F.col("value") != "")
+    lines = read_lines(spark, path, "dem", glob, named).withColumn("value", F.trim("value")).where(F.col("value") != "")
     words = F.split("value", r"\s+")
     head = F.lower(F.get(words, F.lit(0)))
     header = (
@@ -40,9 +40,11 @@ def _ascii_lines(spark: SparkSession, path, glob: str | None) -> tuple[DataFrame
     return tiles, body.select(F.col("track_id").alias("tile_id"), F.col("row").cast("int").alias("row"), words.alias("words"))
 
 
-def read_ascii_grid(spark: SparkSession, path, glob: str | None = "*.asc") -> tuple[DataFrame, DataFrame]:
-    """(tiles, pixels) of ASCII grids; tile order is file name order."""
-    tiles, lines = _ascii_lines(spark, path, glob)
+def read_ascii_grid(
+    spark: SparkSession, path, glob: str | None = "*.asc", named: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(tiles, pixels) of ASCII grids; tile order is file name order. ``named``: as in ``read_lines``."""
+    tiles, lines = _ascii_lines(spark, path, glob, named)
     pixels = (
         lines.select("tile_id", "row", F.posexplode("words").alias("col", "text"))
         .join(tiles.select("tile_id", "nodata"), "tile_id")

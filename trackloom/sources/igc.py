@@ -92,5 +92,6 @@ def points_from_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_igc(spark: SparkSession, path, glob: str | None = "*.igc") -> DataFrame:
-    return points_from_lines(read_lines(spark, path, "igc", glob))
+def read_igc(spark: SparkSession, path, glob: str | None = "*.igc", named: bool = False) -> DataFrame:
+    """All accepted fixes of all logs below ``path``. ``named``: as in ``read_lines``."""
+    return points_from_lines(read_lines(spark, path, "igc", glob, named))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import scalar as S
 from trackloom.sources.files import in_file_order, options
 
-TRACK_SCHEMA = "when array<string>, `gx:coord` array<string>"
+TRACK_SCHEMA = "_id string, when array<string>, `gx:coord` array<string>"
 
 
 def kml_coord(text) -> Column:
@@ -44,8 +44,11 @@ def points_from_tracks(tracks: DataFrame) -> DataFrame:
     ).dropna(subset=["lat", "lon", "ts"]).withColumn("seq", F.col("_place.line_no") * (1 << 24) + F.col("_place._at")).drop("_place")
 
 
-def read_kml(spark: SparkSession, path, glob: str | None = "*.kml") -> DataFrame:
-    """All points of all ``gx:Track`` elements below ``path``; files with only lines or points give no rows."""
+def read_kml(spark: SparkSession, path, glob: str | None = "*.kml", named: bool = False) -> DataFrame:
+    """All points of all ``gx:Track`` elements below ``path``; files with only lines or points give no rows.
+
+    A file is a track; where files are ``named``, the elements of one ``id`` are, and they are in one file.
+    """
     scan = spark.read.format("xml").options(rowTag="gx:Track", **options(glob)).schema(TRACK_SCHEMA).load(path)
-    scan = in_file_order(scan, F.col("_metadata.file_path"), "kml")
+    scan = in_file_order(scan, F.col("_metadata.file_path"), "kml", F.col("_id") if named else None)
     return points_from_tracks(scan.withColumnRenamed("gx:coord", "coord"))

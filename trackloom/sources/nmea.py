@@ -9,9 +9,9 @@ from trackloom.operators.nmea import tokenize
 from trackloom.sources.files import read_lines
 
 
-def read_nmea(spark: SparkSession, path, glob: str | None = "*.txt") -> DataFrame:
-    """Tokenized sentences of all logs below ``path``; unsound lines stay, with their ``status``."""
-    return tokenize(read_lines(spark, path, "nmea", glob))
+def read_nmea(spark: SparkSession, path, glob: str | None = "*.txt", named: bool = False) -> DataFrame:
+    """Tokenized sentences of all logs below ``path``; unsound lines stay, with their ``status``. ``named``: as in ``read_lines``."""
+    return tokenize(read_lines(spark, path, "nmea", glob, named))
 
 
 def corrupt_lines(tokens: DataFrame) -> DataFrame:

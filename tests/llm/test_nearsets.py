@@ -111,3 +111,79 @@ def test_stage_drops_by_fingerprints_too(spark, docs):
     stage = dict(corpus_pipeline.STAGES)["near-dedup"]
     assert [r["doc_id"] for r in nearsets.drop_near_duplicates(docs([(3, base), (9, distant)])).collect()] != [3]
     assert [r["doc_id"] for r in stage(spark, docs(sorted(texts.items())), "").collect()] == [3]
+
+
+def test_long_parity_never_shows_more_differences_than_there_are():
+    rng = random.Random(5)
+    sets = []
+    for size in (0, 1, 200, 256, 257, 700, 3000):
+        whole = nearsets.shingle_set(" ".join(f"w{rng.randrange(10_000)}" for _ in range(size)), 5)
+        sets += [whole, whole[: len(whole) * 9 // 10], np.sort(np.concatenate([whole[: len(whole) // 2], whole[:7] + 1]))]
+    for a in sets:
+        for b in sets:
+            bits, differ = nearsets.apart(nearsets.long_parity(a), nearsets.long_parity(b)), len(np.setxor1d(a, b))
+            assert bits <= differ and (bits - differ) % 2 == 0
+    assert nearsets.apart(nearsets.long_parity(sets[-6]), nearsets.long_parity(sets[-3])) > 300
+
+
+def test_whole_sets_go_to_pairs_that_are_about_as_near(docs, monkeypatch):
+    """Long texts that meet under a few shingles, where 256 bits tell nothing."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([*(f"w{rng.randrange(50_000)}" for _ in range(1200)), *passage])) for i in range(0, 60, 2)]
+    rows += [(d + 1, t + " end") for d, t in rows[:3]]
+    counts, plain = {}, nearsets.settle
+
+    def counted(df, label="table"):
+        made = plain(df, label)
+        counts[label] = max(counts.get(label, 0), made.count())
+        return made
+
+    monkeypatch.setattr(nearsets, "settle", counted)
+    monkeypatch.setattr(nearsets, "COMMON", 1)  # the passage is not known to be common
+    found = {r["doc_id"]: r["component_id"] for r in nearsets.near_groups(docs(rows)).collect()}
+    assert found == groups_brute(rows)
+    assert len(set(found.values())) == 30 and counts["met-pairs"] > 20
+    assert counts["whole-sets"] <= 6
+
+
+def test_sets_without_one_of_their_size_under_a_key_do_not_meet(docs, monkeypatch):
+    """A passage in texts of quite different lengths leads to no meetings."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([*passage, *(f"w{rng.randrange(50_000)}" for _ in range(50 * 3**i))])) for i in range(4)]
+    rows += [(10, rows[0][1] + " end"), (20, rows[3][1] + " end")]
+    counts, plain = {}, nearsets.settle
+
+    def counted(df, label="table"):
+        made = plain(df, label)
+        if label == "prefix-meetings":
+            counts.update((r["fp"], r["count"]) for r in made.groupBy("fp").count().collect())
+        return made
+
+    monkeypatch.setattr(nearsets, "settle", counted)
+    monkeypatch.setattr(nearsets, "COMMON", 1)
+    found = {r["doc_id"]: r["component_id"] for r in nearsets.near_groups(docs(rows)).collect()}
+    assert found == groups_brute(rows)
+    assert len(counts) == 4
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    """However rarely the driver collects its garbage."""
+    import time
+
+    from trackloom.plans.session import settle
+
+    def shuffled():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    settings = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    table = settle(spark.range(0, 1000, 1, 4).selectExpr("id % 10 as k", "id").groupBy("k").sum("id"))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == settings
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert table.count() == 10

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -160,6 +161,42 @@ def test_search_against_brute_force(docs, small, monkeypatch):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
 
 
+def test_search_does_not_shuffle_the_index(spark, docs, monkeypatch):
+    """Neither the index for each block of queries nor the queries for each part of the index."""
+    monkeypatch.setattr(search, "SHARD_ROWS", 10)
+    monkeypatch.setattr(search, "TASK_QUERIES", 4)
+    explained, plain = {}, search.settle
+
+    def explain(df):
+        return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+    def watched(df, label="table"):
+        explained[f"{label} {len(explained)}"] = explain(df)
+        return plain(df, label)
+
+    monkeypatch.setattr(search, "settle", watched)
+    rows = [(i, f"all{i % 2} w{i % 7} v{i % 5}") for i in range(60)]
+    found = search.search(docs(rows), docs(rows).selectExpr("doc_id as query_id", "text"), k=3)
+    explained["result"] = explain(found)
+    assert found.count() == 180
+    for label, plan in explained.items():
+        if not label.startswith("index"):
+            sent = "".join(re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan))
+            assert not re.search(r"\b(lengths|counts|rows|terms)#", sent), label
+
+
+def test_search_adds_up_in_pieces(docs, monkeypatch):
+    """Few postings at once, and what is kept merged often, lead to the same results."""
+    for name, value in (("POSTINGS", 3), ("KEPT", 1), ("TOGETHER", 7), ("SHARD_ROWS", 40), ("BLOCK", 4), ("FREQUENT", 0.5)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.choice([0, 3, 30])))) for i in range(100)]
+    rows += [(i, rows[i - 200][1]) for i in range(200, 230)]
+    asked = docs(rows).selectExpr("doc_id as query_id", "text")
+    got = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in search.search(docs(rows), asked, k=4).collect())
+    assert got == [w[:3] for w in bm25(rows, rows, 4)]
+
+
 def test_search_of_awkward_rows(docs):
     df = docs([r for r in AWKWARD if r[0] != 7])
     asked = df.select(F.col("doc_id").alias("query_id"), "text")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -27,12 +28,14 @@ from trackloom.llm.common import pieces_of, release_memory
 from trackloom.plans.session import settle
 
 K1, B = 1.2, 0.75
-#: Rows and words at which a shard ends, rows of a block, bytes of index and number of queries that meet in a task.
+#: Rows and words at which a shard ends, rows of a block, bytes and number of queries that are sent to the tasks at once.
 SHARD_ROWS, SHARD_WORDS, BLOCK, TASK_BYTES, TASK_QUERIES = 1 << 14, 1 << 21, 64, 32 << 20, 4096
 #: Blocks that a query looks at before the others, and queries that are looked at together.
 FIRST, TOGETHER = 2, 128
 #: A term is frequent in a shard if at least this share of its rows hold it.
-FREQUENT = 1 / 32
+FREQUENT = 1 / 8
+#: Postings of rare terms that are added up at once, and places of the k best that may be kept for each before they are merged.
+POSTINGS, KEPT = 1 << 16, 8
 #: Scores are compared after rounding to so many digits, so that the order of additions cannot decide a tie.
 DIGITS = 9
 _WORD = re.compile(r"\w+")
@@ -95,87 +98,116 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, INDEX)
 
 
+class Queries:
+    """Queries as runs of term numbers with weights; ``numbers`` has the number of each term that some query has."""
+
+    def __init__(self, terms: list[list[str]], weights: list[np.ndarray]):
+        numbers = defaultdict(count().__next__)
+        self.terms = [np.fromiter(map(numbers.__getitem__, t), np.int64, len(t)) for t in terms]
+        self.weights = [np.asarray(w, float) for w in weights]
+        self.numbers = dict(numbers)
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+
 class Shard:
     """A shard's index with the weights of the whole corpus, for the terms that some query has."""
 
-    def __init__(self, row: dict, mean_length: float, wanted: set[str]):
+    def __init__(self, row: dict, mean_length: float, queries: Queries):
+        self.queries = queries
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.blocks = -(-len(self.ids) // BLOCK)
         lengths = np.frombuffer(row["lengths"], "<i4")
-        rows = np.frombuffer(row["rows"], "<u2").astype(np.int32)
+        self.rows = np.frombuffer(row["rows"], "<u2").astype(np.int32)
         counts = np.frombuffer(row["counts"], "<u4" if row["wide"] else "u1").astype(float)
-        impacts = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[rows] / mean_length))
-        sizes = np.frombuffer(row["df"], "<i4")
-        ends, terms = np.cumsum(sizes), row["terms"].split("\n") if len(sizes) else []
-        self.rare: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        self.frequent: dict[str, int] = {}
-        dense, maxima = [], []
-        for term, end, df in zip(terms, ends.tolist(), sizes.tolist(), strict=True):
-            if term not in wanted:
+        self.worth = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[self.rows] / mean_length))
+        sizes = np.frombuffer(row["df"], "<i4").astype(np.int64)
+        terms = row["terms"].split("\n") if len(sizes) else []
+        number = np.fromiter((queries.numbers.get(t, -1) for t in terms), np.int64, len(terms))
+        known = number >= 0
+        # by number of a term: where its postings begin, how many there are, and its row of the dense arrays
+        self.begin, self.df, self.row = (np.full(len(queries.numbers), x, np.int64) for x in (0, 0, -1))
+        self.begin[number[known]], self.df[number[known]] = (np.cumsum(sizes) - sizes)[known], sizes[known]
+        frequent = np.flatnonzero(self.df >= max(1, FREQUENT * len(self.ids)))
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK))
+        for row_of, number_of in zip(self.dense, frequent, strict=True):
+            at = slice(self.begin[number_of], self.begin[number_of] + self.df[number_of])
+            row_of[self.rows[at]] = self.worth[at]
+        self.maxima = self.dense.reshape(len(frequent), self.blocks, BLOCK).max(axis=2)
+
+    def added(self, owner: np.ndarray, numbers: np.ndarray, weights: np.ndarray, many: int) -> np.ndarray:
+        """Scores, many x rows, by the postings of rare terms, about POSTINGS at a time."""
+        width = self.blocks * BLOCK
+        sums, sizes = np.zeros(many * width), self.df[numbers]
+        ends = np.cumsum(sizes)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // POSTINGS)) + 1).tolist(), len(sizes)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
                 continue
-            at, worth = rows[end - df : end], impacts[end - df : end]
-            if df < FREQUENT * len(self.ids):
-                self.rare[term] = (at, worth)
-            else:
-                full = np.zeros(self.blocks * BLOCK)
-                full[at] = worth
-                self.frequent[term] = len(dense)
-                dense.append(full)
-                maxima.append(full.reshape(self.blocks, BLOCK).max(axis=1))
-        self.dense = np.array(dense).reshape(len(dense), self.blocks * BLOCK)
-        self.maxima = np.array(maxima).reshape(len(maxima), self.blocks)
-
-    def best(self, queries: list[tuple[list[str], np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores, queries x k, of the k best rows of each query; of equal scores the smaller ids come first.
+            own, first = sizes[lo:hi], owner[lo] * width
+            at = np.arange(own.sum()) + np.repeat(self.begin[numbers[lo:hi]] - (np.cumsum(own) - own), own)
+            place = self.rows[at] + np.repeat(owner[lo:hi] * width - first, own)
+            made = np.bincount(place, self.worth[at] * np.repeat(weights[lo:hi], own))
+            sums[first : first + len(made)] += made
+        return sums.reshape(many, width)
+
+    def best(self, part: range, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores, queries x k, of the k best rows of some queries, among those given and this shard's; of equal scores
+        the smaller ids come first.
 
         Places without a row that scores above 0 hold a score of 0.
         """
-        width, many = self.blocks * BLOCK, len(queries)
-        sums, share = np.zeros((many, width)), np.zeros((many, len(self.dense)))
-        for q, (terms, weights) in enumerate(queries):
-            found = [(self.rare[t], w) for t, w in zip(terms, weights, strict=True) if t in self.rare]
-            if found:
-                at = np.concatenate([x[0] for x, _ in found])
-                worth = np.concatenate([x[1] for x, _ in found])
-                worth *= np.repeat([w for _, w in found], [len(x[0]) for x, _ in found])
-                sums[q] = np.bincount(at, worth, width)
-            common = [(self.frequent[t], w) for t, w in zip(terms, weights, strict=True) if t in self.frequent]
-            if common:
-                share[q, [i for i, _ in common]] = [w for _, w in common]
+        many, k = ids.shape
+        numbers = np.concatenate([self.queries.terms[q] for q in part])
+        weights = np.concatenate([self.queries.weights[q] for q in part])
+        owner = np.repeat(np.arange(many), [len(self.queries.terms[q]) for q in part])
+        rare, common = (self.row[numbers] < 0) & (self.df[numbers] > 0), self.row[numbers] >= 0
+        sums, share = self.added(owner[rare], numbers[rare], weights[rare], many), np.zeros((many, len(self.dense)))
+        share[owner[common], self.row[numbers[common]]] = weights[common]
         bounds = sums.reshape(many, self.blocks, BLOCK).max(axis=2) + share @ self.maxima
         bounds = np.round(bounds * (1 + 1e-9) + 1e-9, DIGITS)  # never below a score that is rounded
-        ids = np.full((many, k), np.iinfo(np.int64).max)
-        scores, least = np.zeros((many, k)), np.zeros(many)
+        least, found = scores[:, -1].copy(), []
 
         def finish(block: int, asked: np.ndarray) -> None:
-            """Complete scores of one block for some queries, merged into their best."""
+            """Complete scores of one block for some queries; those that may be among the best are kept."""
             lo, hi = block * BLOCK, min((block + 1) * BLOCK, len(self.ids))
             some = np.round(sums[asked, lo:hi] + share[asked] @ self.dense[:, lo:hi], DIGITS)
-            use = some.max(axis=1) >= np.maximum(least[asked], 10.0**-DIGITS)
-            asked, some = asked[use], some[use]
-            if len(asked):
-                all_scores = np.concatenate((scores[asked], some), axis=1)
-                all_ids = np.concatenate((ids[asked], np.broadcast_to(self.ids[lo:hi], some.shape)), axis=1)
-                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-                ids[asked] = np.take_along_axis(all_ids, order, axis=1)
-                scores[asked] = np.take_along_axis(all_scores, order, axis=1)
-                least[asked] = scores[asked, -1]
-
-        # the blocks with the highest bounds first, so that most others are below the k-th best when their turn comes
+            q, row = np.nonzero(some >= np.maximum(least[asked], 10.0**-DIGITS)[:, None])
+            found.append((asked[q], self.ids[lo + row], some[q, row]))
+
+        def merge() -> None:
+            """Puts what has been kept among the best of each query."""
+            nonlocal ids, scores, least
+            rows = np.repeat(np.arange(many), k)
+            held = [np.concatenate(x) for x in zip((rows, ids.ravel(), scores.ravel()), *found, strict=True)]
+            order = np.lexsort((held[1], -held[2], held[0]))
+            q = held[0][order]
+            order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+            ids, scores = held[1][order].reshape(many, k), held[2][order].reshape(many, k)
+            least = scores[:, -1].copy()
+            found.clear()
+
+        # the blocks with the highest bounds first, so that most others are below the k-th best when their turn comes;
+        # what earlier shards have led to does the same
         done = np.zeros(bounds.shape, bool)
         first = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST]
         for turn in range(first.shape[1]):
-            block_of = first[:, turn]
-            for block in np.unique(block_of):
-                asked = np.flatnonzero(block_of == block)
-                asked = asked[(bounds[asked, block] >= least[asked]) & (bounds[asked, block] > 0)]
-                done[block_of == block, block] = True
+            block_of = np.where(least > 0, -1, first[:, turn])
+            for block in np.unique(block_of[block_of >= 0]):
+                asked = np.flatnonzero((block_of == block) & (bounds[:, block] > 0))
+                done[asked, block] = True
                 if len(asked):
                     finish(block, asked)
+        merge()
         for block in np.argsort(-bounds.max(axis=0)):
             asked = np.flatnonzero(~done[:, block] & (bounds[:, block] >= least) & (bounds[:, block] > 0))
             if len(asked):
                 finish(block, asked)
+            if sum(len(x[0]) for x in found) > KEPT * many * k:
+                merge()
+        merge()
         return ids, scores
 
 
@@ -186,15 +218,15 @@ def search(
 
     score = sum over the query's terms of occurrences in the query x idf x BM25 weight, idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
     Rows that share no term with the query are no results, so a query may have fewer than k, and one without words
-    has none. Ties go to the smaller id. Rows that repeat an id are results each. Queries are split into blocks and index
-    shards into groups; a task reads one group for one block, both of bounded size.
+    has none. Ties go to the smaller id. Rows that repeat an id are results each. Queries are split into blocks of bounded size,
+    which are broadcast one after the other; the index is not shuffled, a task reads its shards one by one.
     """
     spark = docs.sparkSession
     index = settle(index if index is not None else build_index(docs, doc_id, text), "index")
-    total = index.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
-    result = "query_id bigint, doc_id bigint, score double"
+    total = index.agg(F.sum("n").alias("n")).first()
+    result = "query_id bigint, rank int, doc_id bigint, score double"
     if not total["n"]:
-        return spark.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
+        return spark.createDataFrame([], result)
 
     def lengths(batches):
         for batch in batches:
@@ -225,32 +257,40 @@ def search(
     weighed = asked.join(df, "term").groupBy("query_id", "term").agg(F.max(F.col("n") * idf).alias("weight"))
     vectors = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))
     vectors = settle(vectors.select("query_id", F.array_join("t.term", "\n").alias("terms"), "t.weight"), "queries")
-    blocks = max(1, -(-vectors.count() // TASK_QUERIES))
-    groups = max(1, -(-total["bytes"] // TASK_BYTES))
-    numbered = F.pmod(F.xxhash64("shard"), F.lit(groups)).alias("_group")
-    shards = index.select("*", numbered).withColumn("_block", F.explode_outer(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = vectors.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    sent = sent.withColumn("_group", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
-
-    def answer(shard_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        asked = [(t.split("\n"), np.asarray(w, float)) for t, w in zip(query_rows["terms"], query_rows["weight"], strict=True)]
-        wanted = {t for terms, _ in asked for t in terms}
-        ids, scores = np.full((len(asked), k), np.iinfo(np.int64).max), np.zeros((len(asked), k))
-        for row in shard_rows.to_dict("records"):
-            shard = None  # the one before goes first
-            shard = Shard(row, mean_length, wanted)
-            for at in range(0, len(asked), TOGETHER):
-                part = slice(at, at + TOGETHER)
-                found = shard.best(asked[part], k)
-                all_ids, all_scores = np.concatenate((ids[part], found[0]), axis=1), np.concatenate((scores[part], found[1]), axis=1)
-                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-                ids[part], scores[part] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
-        shard = None
-        release_memory()
-        use = scores > 0
-        query_ids = np.repeat(query_rows["query_id"].to_numpy(np.int64), k).reshape(-1, k)
-        return pd.DataFrame({"query_id": query_ids[use], "doc_id": ids[use], "score": scores[use]})
-
-    met = shards.groupBy("_group", "_block").cogroup(sent.groupBy("_group", "_block")).applyInPandas(answer, result)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("terms") + 8 * F.size("weight")).alias("bytes")).first()
+    blocks = max(-(-size["n"] // TASK_QUERIES), -(-(size["bytes"] or 0) // TASK_BYTES))
+    kind = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def ranked(block: int) -> DataFrame:
+        """Results of one block of queries; the index is read where it lies and only the k best rows of each task are shuffled."""
+        some = vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        sent = spark.sparkContext.broadcast((some["query_id"].to_numpy(np.int64), some["terms"].tolist(), some["weight"].tolist()))
+
+        def answer(batches):
+            query_ids, terms, weights = sent.value
+            asked = Queries([t.split("\n") for t in terms], weights)
+            ids, scores = np.full((len(asked), k), np.iinfo(np.int64).max), np.zeros((len(asked), k))
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    shard = None  # the one before goes first
+                    shard = Shard(batch.slice(i, 1).to_pylist()[0], mean_length, asked)
+                    for at in range(0, len(asked), TOGETHER):
+                        part = range(at, min(at + TOGETHER, len(asked)))
+                        of = slice(part.start, part.stop)
+                        ids[of], scores[of] = shard.best(part, ids[of], scores[of])
+            shard = None
+            release_memory()
+            use = scores > 0
+            query_ids = np.repeat(query_ids, k).reshape(-1, k)
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (query_ids, ids, scores)], schema=kind)
+
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+        met = index.mapInArrow(answer, "query_id bigint, doc_id bigint, score double")
+        found = met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        found = settle(found, "ranked")
+        sent.destroy()
+        return found
+
+    if not blocks:
+        return spark.createDataFrame([], result)
+    return reduce(DataFrame.unionByName, [ranked(block) for block in range(blocks)])

@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackloom.llm import nearsets
@@ -134,8 +135,8 @@ def test_whole_sets_go_to_pairs_that_are_about_as_near(docs, monkeypatch):
     rows += [(d + 1, t + " end") for d, t in rows[:3]]
     counts, plain = {}, nearsets.settle
 
-    def counted(df, label="table"):
-        made = plain(df, label)
+    def counted(df, label="table", **more):
+        made = plain(df, label, **more)
         counts[label] = max(counts.get(label, 0), made.count())
         return made
 
@@ -155,8 +156,8 @@ def test_sets_without_one_of_their_size_under_a_key_do_not_meet(docs, monkeypatc
     rows += [(10, rows[0][1] + " end"), (20, rows[3][1] + " end")]
     counts, plain = {}, nearsets.settle
 
-    def counted(df, label="table"):
-        made = plain(df, label)
+    def counted(df, label="table", **more):
+        made = plain(df, label, **more)
         if label == "prefix-meetings":
             counts.update((r["fp"], r["count"]) for r in made.groupBy("fp").count().collect())
         return made
@@ -187,3 +188,16 @@ def test_settled_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not shuffled() - before
     assert table.count() == 10
+
+
+def test_settled_tables_bound_what_python_workers_get(spark):
+    from trackloom.plans.session import settle
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    # 500 rows of about 10,000 bytes
+    rows = spark.range(0, 500, 1, 1).selectExpr("id", "repeat('x', 10000) as text").mapInArrow(sizes, "n long")
+    most = [max(r["n"] for r in settle(rows, "sizes", **more).collect()) for more in ({}, {"batch_bytes": 100_000})]
+    assert most[0] == 500 and most[1] <= 20

@@ -170,9 +170,9 @@ def test_search_does_not_shuffle_the_index(spark, docs, monkeypatch):
     def explain(df):
         return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
-    def watched(df, label="table"):
+    def watched(df, label="table", **more):
         explained[f"{label} {len(explained)}"] = explain(df)
-        return plain(df, label)
+        return plain(df, label, **more)
 
     monkeypatch.setattr(search, "settle", watched)
     rows = [(i, f"all{i % 2} w{i % 7} v{i % 5}") for i in range(60)]

@@ -355,7 +355,10 @@ def pack(
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    pieces = settle(token_pieces(docs, vocabulary, doc_id, text, capacity, separator, remembered, held_chars), "pieces")
+    # where little is to be held at once, the batches are as small
+    batch_bytes = 4 * held_chars if held_chars < PIECE_CHARS else 0
+    pieces = token_pieces(docs, vocabulary, doc_id, text, capacity, separator, remembered, held_chars)
+    pieces = settle(pieces, "pieces", batch_bytes=batch_bytes)
     by_part = settle(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     runs = runs_of(plan(counts, capacity))
